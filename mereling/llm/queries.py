@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mereling.llm import exact_dedup, pii, sentencepiece_codec, token_counts, url_filter
+from mereling.llm import exact_dedup, pii, scratch, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -25,10 +25,25 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_file())
 
 
+def graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity grades from the labels: 2 toxic, 1 not toxic but of low quality, 0 neither."""
+    grade = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
+    return table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, graded(spark, sf_dir), 3))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model_file())
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch.new_path(spark, "warc"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -49,7 +64,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_toxicity": op3_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,

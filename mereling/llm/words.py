@@ -104,3 +104,15 @@ def grams(words: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.
     own = owners(first)
     at = np.flatnonzero(own[: len(words) - n + 1] == own[n - 1 :])
     return at, hash_runs(words, at, at + n)
+
+
+LETTER = np.zeros(256, bool)
+LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[0x41:0x5B] += 0x20
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`split` into runs of ASCII letters, digits and non-ASCII bytes, and the bytes with A-Z lowered."""
+    plain = np.where(LETTER[data], LOWER[data], np.uint8(0x20))
+    return *split(plain, offsets), plain
