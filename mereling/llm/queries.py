@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mereling.llm import exact_dedup, pii, scratch, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from mereling.llm import decontaminate, exact_dedup, pii, scratch, sentencepiece_codec, token_counts, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -21,6 +21,10 @@ def model_file() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"), model_file())
 
@@ -63,6 +67,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
     "op5_token_counts": op5_token_counts,
