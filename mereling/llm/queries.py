@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mereling.llm import decontaminate, exact_dedup, near_dedup, pii, scratch, sentencepiece_codec, token_counts, toxicity, url_filter, warc
+from mereling.llm import decontaminate, exact_dedup, near_dedup, pii, scratch, sentencepiece_codec, substring_dedup, token_counts, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -40,6 +40,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predict(docs, toxicity.train(docs, graded(spark, sf_dir), 3))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), model_file())
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_toxicity": op3_toxicity,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_token_counts": op5_token_counts,
     "op6_warc": op6_warc,
     "op7_exact_dedup": op7_exact_dedup,
