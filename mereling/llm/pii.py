@@ -110,12 +110,15 @@ def spans_text(*arrays: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """`docs` with confirmed spans of each kind replaced by <kind>, kind by kind; all columns stay."""
+    def cut(kind: Kind) -> Column:
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        spans = _found(text, kind)
+        start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
+        step = lambda a, s: F.struct(F.concat(a["done"], text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(f"<{kind.name}>")).alias("done"), s["end"].alias("at"))
+        rest = lambda a: F.concat(a["done"], text.substr(a["at"] + 1, F.length(text)))
+        return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(F.col(text_col))
+
     out = docs
     for kind in kinds:
-        text = F.col(text_col)
-        spans = _found(F.coalesce(text, F.lit("")), kind)
-        step = lambda a, s, t=text, k=kind: F.struct(
-            F.concat(a["done"], t.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(f"<{k.name}>")).alias("done"), s["end"].alias("at"))
-        cut = F.aggregate(spans, F.struct(F.lit("").alias("done"), F.lit(0).alias("at")), step, lambda a, t=text: F.concat(a["done"], t.substr(a["at"] + 1, F.length(t))))
-        out = out.withColumn(text_col, F.when(F.size(spans) > 0, cut).otherwise(text))
+        out = out.withColumn(text_col, cut(kind))
     return out
