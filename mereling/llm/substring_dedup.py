@@ -128,7 +128,7 @@ def _places(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _marked(lists: pa.Array, i: int, j: int, first: np.ndarray, length: int) -> np.ndarray:
     """The words of texts i to j at which a listed run of places begins or goes on."""
     part = lists.slice(i, j - i)
-    sizes = np.diff(np.asarray(part.offsets)) if not part.null_count else np.array([len(x) if x is not None else 0 for x in part.to_pylist()], np.int64)
+    sizes = np.asarray(part.value_lengths().fill_null(0), np.int64)
     values = np.asarray(part.flatten().to_numpy(zero_copy_only=False), np.int64)
     base = np.repeat(first[:-1], sizes)
     begin, n = base + (values >> 24), values & ((1 << 24) - 1)
@@ -161,13 +161,13 @@ def occurrences(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, phras
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text, places of recurring seeds) -> rows of the windows whose seed recurs."""
+    """(k1, k2, text, id, places of recurring seeds) -> rows of the windows whose seed recurs."""
     for batch in batches:
         k1, k2 = _keys(batch)
         for i, j, data, offsets in words.pieces(batch.column(2), 4 * words.PIECE):
             starts, ends, first = words.split(data, offsets)
             tokens = words.hash_spans(data, starts, ends)
-            phrases = np.flatnonzero(_marked(batch.column(3), i, j, first, len(tokens)))
+            phrases = np.flatnonzero(_marked(batch.column(4), i, j, first, len(tokens)))
             if not len(phrases):
                 continue
             window, place, hashes = seeds(tokens, first)
@@ -190,7 +190,8 @@ def covered_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col), F.lit(-1)).cast("long").alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"))
     bare = rows.select("k1", "k2", "text")
     phrases = _places_by_document(bare.mapInArrow(_seed_rows, _ROW))
-    with_phrases = rows.join(phrases.hint("shuffle_hash"), ["k1", "k2"], "left").where("places is not null").select("k1", "k2", "text", "places")
+    # all columns of `rows`, so that both joins with the texts read one shuffle of them
+    with_phrases = rows.join(phrases.hint("shuffle_hash"), ["k1", "k2"], "left").select("k1", "k2", "text", "id", "places")
     windows = _places_by_document(with_phrases.mapInArrow(_window_rows, _ROW))
     return rows.join(windows.hint("shuffle_hash"), ["k1", "k2"], "left")
 
