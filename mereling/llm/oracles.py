@@ -29,3 +29,63 @@ kept AS (SELECT doc_id, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, str
 SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, coalesce(k.n_removed, 0) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+
+# PII. The patterns of the contract, and those of the two added kinds, whose neighbours are tested after the match.
+_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+}
+_KINDS = " UNION ALL ".join(f"SELECT doc_id, t, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS bs FROM d" for i, (k, p) in enumerate(_PATTERNS.items()))
+ORACLE_SQL["op10_pii"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_KINDS}),
+e AS (SELECT doc_id, t, kind, o, ms[i] AS s, CAST(list_sum(list_transform(bs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM m, unnest(range(1, len(ms) + 1)) AS r(i)),
+f AS (SELECT *, a + length(s) AS z, regexp_replace(s, '[^0-9]', '', 'g') AS digits, replace(s, ' ', '') AS bare, substr(t, a, 1) AS prior, substr(t, a + length(s) + 1, 1) AS next,
+      lower(substr(t, greatest(a - 40, 0) + 1, least(a, 40)) || ' ' || substr(t, a + length(s) + 1, 40)) AS around FROM e),
+g AS (SELECT *, string_split(reverse(digits), '') AS ds, list_transform(string_split(substr(bare, 5) || substr(bare, 1, 4), ''), lambda c: CASE WHEN c BETWEEN 'A' AND 'Z' THEN CAST(ascii(c) - 55 AS VARCHAR) ELSE c END) AS ns FROM f),
+v AS (SELECT * FROM g WHERE CASE kind
+  WHEN 'email' THEN true
+  WHEN 'ip' THEN list_max(list_transform(string_split(s, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+  WHEN 'card' THEN length(digits) BETWEEN 16 AND 19 AND list_sum(list_transform(range(1, len(ds) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(ds[i] AS INTEGER) ELSE CAST(ds[i] AS INTEGER) * 2 - CASE WHEN CAST(ds[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+  WHEN 'phone' THEN length(digits) BETWEEN 8 AND 15
+  WHEN 'iban' THEN NOT regexp_matches(prior, '[A-Za-z0-9]') AND NOT regexp_matches(next, '[A-Za-z0-9]') AND
+    list_reduce(list_transform(string_split(array_to_string(ns, ''), ''), lambda c: CAST(c AS BIGINT)), lambda x, y: (x * 10 + y) % 97) = 1
+  ELSE NOT regexp_matches(prior, '[0-9-]') AND NOT regexp_matches(next, '[0-9-]') AND NOT regexp_matches(s, '^(000|666|9)|-00-|-0000$') AND regexp_matches(around, 'ssn|social security|tax id') END),
+w AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
+      string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) FILTER (WHERE o < 4) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) AS spans FROM v GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN w ON d.doc_id = w.doc_id
+"""
+
+
+def _url_tree(levels: int = 3, pages: int = 20, z: float = 2.58, prior: float = 10.0) -> str:
+    """The template tree: a step per level, as in `url_filter`."""
+    steps = ["""p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages)""",
+             "votes AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
+             """r0 AS (SELECT p.page_id, host, path, CASE WHEN path = '' THEN [] ELSE string_split(regexp_replace(path, '^/', ''), '/') END AS segs, '' AS tpl, CASE WHEN bad IS NULL THEN 0 ELSE 1 END AS l, coalesce(bad, 0) AS b
+  FROM p LEFT JOIN votes ON p.page_id = votes.page_id)"""]
+    for i in range(1, levels + 1):
+        steps += [
+            f"w{i} AS (SELECT host, tpl, sum(l) AS pl, sum(b) AS pb FROM r{i - 1} WHERE len(segs) >= {i} GROUP BY host, tpl)",
+            f"e{i} AS (SELECT host, tpl, segs[{i}] AS seg, sum(l) AS l, sum(b) AS b FROM r{i - 1} WHERE len(segs) >= {i} GROUP BY host, tpl, segs[{i}] HAVING count(*) >= {pages})",
+            f"g{i} AS (SELECT host, tpl, seg, (b / nullif(l, 0)::DOUBLE) - ((pb - b) / nullif(pl - l, 0)::DOUBLE) AS gap, pb / nullif(pl, 0)::DOUBLE AS share, 1 / nullif(l, 0)::DOUBLE + 1 / nullif(pl - l, 0)::DOUBLE AS inv FROM e{i} JOIN w{i} USING (host, tpl))",
+            f"k{i} AS (SELECT host, tpl, seg FROM g{i} WHERE gap * gap > {z}::DOUBLE * {z}::DOUBLE * (share * (1 - share) * inv))",
+            f"""r{i} AS (SELECT page_id, host, path, segs, CASE WHEN len(segs) < {i} THEN r.tpl ELSE r.tpl || '/' || CASE WHEN k.seg IS NULL THEN '*' ELSE k.seg END END AS tpl, l, b
+  FROM r{i - 1} r LEFT JOIN (SELECT host AS kh, tpl AS kt, seg FROM k{i}) k ON r.host = k.kh AND r.tpl = k.kt AND len(segs) >= {i} AND segs[{i}] = k.seg)""",
+        ]
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    fits = lambda h, p: f"(d.host = '{h}' OR ends_with(d.host, '.{h}')) AND starts_with(d.path, '{p}')"
+    ordered = sorted(rules, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in ordered) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
+    steps += [
+        f"done AS (SELECT page_id, host, path, CASE WHEN len(segs) > {levels} THEN tpl || '/**' ELSE tpl END AS tpl, l, b FROM r{levels})",
+        "t AS (SELECT host, tpl, sum(l) AS l, sum(b) AS b FROM done GROUP BY host, tpl)", "h AS (SELECT host, sum(l) AS hl, sum(b) AS hb FROM t GROUP BY host)",
+        "a AS (SELECT coalesce(sum(b) / nullif(sum(l), 0)::DOUBLE, 0) AS g FROM t)",
+        f"j AS (SELECT host, tpl, (b + {prior}::DOUBLE * ((hb + {prior}::DOUBLE * g) / (hl + {prior}::DOUBLE))) / (l + {prior}::DOUBLE) AS share FROM t JOIN h USING (host), a)",
+    ]
+    return f"WITH {', '.join(steps)} SELECT d.page_id, d.host, d.path, {rule} AS rule, {verdict} WHEN j.share >= 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM done d JOIN j ON d.host = j.host AND d.tpl = j.tpl"
+
+
+ORACLE_SQL["op9_url_filter"] = _url_tree()
