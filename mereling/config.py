@@ -2,6 +2,7 @@
 
 from dataclasses import dataclass
 
+# The class names in order, and below the settings of a full-size run.
 CLASS_NAMES = ("land", "reservoirs", "sea", "water-bodies")
 
 

@@ -3,8 +3,9 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Sides of a chunk and of a patch box in pixels, mini-chunks along a side, and the
+# placeholder box of land and sea patches.
 CHUNK_SIDE, BOX_SIDE, MINI = 157.0, 31.4, 5
-#: The placeholder box of land and sea patches.
 PLACEHOLDER = "[50.0 50.0 55.0 55.0]"
 BOX = "struct<ulx:double,uly:double,lrx:double,lry:double>"
 

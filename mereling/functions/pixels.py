@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Masked classes, shares of the greatest value that is white (labels, predictions), and
+# the grey of no data.
 CLOUD_CLASSES, URBAN_CLASSES = (1, 2, 3), (20, 21)
 LABEL_SHARE, PREDICT_SHARE, NO_DATA = 0.4, 0.41, 128
 

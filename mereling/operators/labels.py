@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mereling.functions import grid, names, pixels
 
+# The header of a label file, and where its boxes begin.
 HEADER = "chunk,reservoirs,water-bodies,reservoir-coordinates,,,,,water-body-coordinates"
 #: Fields of a line: chunk, two counts, five reservoir boxes, then any number of water-body boxes.
 RESERVOIRS, BODIES = 3, 8

@@ -45,6 +45,7 @@ def csv_lines(predictions: DataFrame) -> DataFrame:
     return wide(predictions).select("chunk", F.concat(F.col("chunk").cast("string"), F.lit(","), *cells).alias("value"))
 
 
+# The two header lines.
 CSV_HEADER = [",minichunks,", "chunk," + ",".join(map(str, MINI_CHUNKS))]
 
 
