@@ -88,3 +88,28 @@ def crop_rows(block: Column, width: Column, window: Column) -> Column:
     return F.flatten(F.transform(
         F.when(window["y1"] > window["y0"], F.sequence(window["y0"], window["y1"] - 1)).otherwise(F.array().cast("array<int>")),
         lambda y: F.slice(block, y * width + window["x0"] + 1, window["x1"] - window["x0"])))
+
+
+def _draw(key: Column, what: str, n: int) -> Column:
+    """A number in 0 .. n-1 from a hash of a key: the same in every run and partitioning."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(what))), 1, 6), 16, 10).cast("bigint") % n
+
+
+def random_box(key: Column, low: int = 0, high: int = 157) -> Column:
+    """A box with whole corners in low .. high, upper left before lower right."""
+    span = high - low
+    x0, y0 = _draw(key, "x0", span), _draw(key, "y0", span)
+    x1, y1 = x0 + 1 + _draw(key, "x1", 1 << 20) % (span - x0), y0 + 1 + _draw(key, "y1", 1 << 20) % (span - y0)
+    return F.struct(*((v + low).cast("double").alias(n) for n, v in (("ulx", x0), ("uly", y0), ("lrx", x1), ("lry", y1))))
+
+
+def nine_boxes(box: Column, key: Column, side: float = CHUNK_SIDE) -> Column:
+    """A box's 3 x 3 parts, row by row, each moved by 0 to 2 pixels either way and clamped to the chunk."""
+    width, height = (box["lrx"] - box["ulx"]) / 3, (box["lry"] - box["uly"]) / 3
+    clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(side))
+
+    def part_box(i: int) -> Column:
+        x, y = box["ulx"] + width * (i % 3) + _draw(key, f"dx{i}", 3), box["uly"] + height * (i // 3) + _draw(key, f"dy{i}", 3)
+        return F.struct(clamp(x).alias("ulx"), clamp(y).alias("uly"), clamp(x + width).alias("lrx"), clamp(y + height).alias("lry"))
+
+    return F.array(*map(part_box, range(9)))

@@ -147,6 +147,22 @@ def fixed_boxes(spark, d):
     return rounded(out.select("l_orderkey", "l_partkey", "box.*"), "ulx", "uly", "lrx", "lry")
 
 
+def _drawn(what: str, n: str) -> str:
+    return f"(CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || ':{what}'), 1, 6) AS BIGINT) % {n})"
+
+
+_RANDOM_SQL = f"""drawn AS (SELECT c_custkey, {_drawn('x0', '157')} AS x0, {_drawn('y0', '157')} AS y0, {_drawn('x1', '1048576')} AS rx, {_drawn('y1', '1048576')} AS ry, [{', '.join(_drawn(f'dx{i}', '3') for i in range(9))}] AS dx, [{', '.join(_drawn(f'dy{i}', '3') for i in range(9))}] AS dy FROM customer),
+  box AS (SELECT *, x0 + 1 + rx % (157 - x0) AS x1, y0 + 1 + ry % (157 - y0) AS y1 FROM drawn)"""
+
+
+@query(f"""WITH {_RANDOM_SQL}, p AS (SELECT c_custkey, i, x0 + (x1 - x0) / 3 * (i % 3) + dx[i + 1] AS x, y0 + (y1 - y0) / 3 * (i // 3) + dy[i + 1] AS y, (x1 - x0) / 3 AS w, (y1 - y0) / 3 AS h FROM box, unnest(range(9)) AS t(i))
+  SELECT c_custkey, CAST(i AS INTEGER) AS part, round(least(greatest(x, 0.0), 157.0), 6) AS ulx, round(least(greatest(y, 0.0), 157.0), 6) AS uly, round(least(greatest(x + w, 0.0), 157.0), 6) AS lrx, round(least(greatest(y + h, 0.0), 157.0), 6) AS lry FROM p""")
+def nine_boxes(spark, d):
+    k = F.col("c_custkey")
+    parts = b.table(spark, d, "customer").select("c_custkey", grid.random_box(k).alias("b")).select("c_custkey", F.posexplode(grid.nine_boxes(F.col("b"), k)).alias("part", "s"))
+    return rounded(parts.select("c_custkey", "part", "s.*"), "ulx", "uly", "lrx", "lry")
+
+
 @query("""WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, '[ ' || CAST(l_quantity AS INTEGER) || '.  ' || (l_partkey % 157) || '.5 ' || (l_suppkey % 90) || CASE WHEN l_linenumber = 3 THEN ' x]' WHEN l_linenumber = 4 THEN ']' ELSE ' 157. ]' END AS cell FROM lineitem),
   p AS (SELECT *, list_transform(regexp_split_to_array(trim(regexp_replace(cell, '[\\[\\]]', '', 'g')), '\\s+'), lambda v: TRY_CAST(v AS DOUBLE)) AS n FROM s),
   g AS (SELECT *, CASE WHEN len(list_filter(n, lambda v: v IS NULL)) > 0 THEN [] ELSE n END AS c FROM p)
