@@ -23,6 +23,13 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u > v").distinct()
 
 
+def _stars(links: DataFrame) -> bool:
+    """Whether each u has one link and no v is a u."""
+    ends = links.select("u", F.lit(1).alias("n")).unionByName(links.select(F.col("v").alias("u"), F.lit(None).cast("int").alias("n")))
+    odd = ends.groupBy("u").agg(F.count("n").alias("up"), F.count(F.lit(1)).alias("all")).where("up > 1 or (up = 1 and all > 1)")
+    return odd.isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row per node that has a link to another: node, component (its least node).
 
@@ -33,12 +40,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = scratch.keep(now.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    state = None
-    while True:
-        new = scratch.keep(_star(scratch.keep(_star(now, True), "links"), False), "links")
-        then, state = state, new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()  # a digest of the links
-        now = new
-        if then == state:
-            break
+    while not _stars(now):
+        now = scratch.keep(_star(scratch.keep(_star(now, True), "links"), False), "links")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

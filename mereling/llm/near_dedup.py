@@ -8,10 +8,13 @@ interval is thinned down its halves to one unit and counts if the weight reaches
 of a shingle come in order of time and stop at the latest first point of the text's registers.
 
 Equal texts are one node from the start. Nodes that agree on all ROWS registers of one of BANDS
-bands are candidates. In a bucket every node is first compared with one centre, which is linear;
-then only nodes of different components are compared, so a large group of copies never makes all
-its pairs, and no candidate link between components is left untested. A pair is a link if its
-multiset overlap is at least the threshold. Of each component, one row stays.
+bands are candidates. In each bucket every node is compared with two centres, which is linear in
+the bucket and links most of what belongs together. Nodes of buckets that still hold several
+components are then compared exactly, across components only, by the prefix filter: with all
+shingles in one order, rare ones first, two texts of overlap t or more share one of the first
+n - ceil(t n) + 1. So no link between components is left untested, and a large group of copies
+never makes all its pairs. A pair is a link if its multiset overlap is at least the threshold.
+Of each component, one row stays.
 """
 
 from collections.abc import Iterator
@@ -25,8 +28,6 @@ from mereling.llm import components, scratch, words
 
 #: A pair at 0.8 is in no common bucket with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 WORDS, BANDS, ROWS, THRESHOLD = 5, 24, 4, 0.8
-#: Star rounds go on while pairs across components would number more than this many per node.
-CROSS = 4
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +128,41 @@ def _verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame
     return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
+def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Distinct pairs (a < b) whose sizes allow the threshold."""
+    return pairs.where(F.least("xa", "xb") >= threshold * F.greatest("xa", "xb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _links_across(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
+    """All links between `nodes` (node, shingles, component) of different components, by the prefix filter.
+
+    Shingles that only one component has come first in the order, for no such pair shares them;
+    the others follow, rare ones first. A pair is formed at its first common shingle only, and
+    only if what follows there can still reach the overlap that both sizes ask for.
+    """
+    nodes = scratch.keep(nodes.select("node", "component", F.size("shingles").alias("n"), "shingles"), "open-lists")
+    each = nodes.select("node", "component", F.explode("shingles").alias("shingle"))
+    shared = each.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle").agg(
+        F.sum("k").alias("df"), F.max_by("component", F.struct("k", "component")).alias("most"), F.count(F.lit(1)).alias("c"))
+    shared = scratch.keep(shared.where("c > 1").drop("c"), "shared-shingles")
+    own = each.join(shared.select("shingle", "df"), "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    own = own.join(nodes.select("node", "component", "n"), "node").withColumn("lone", F.col("n") - F.size("own"))
+    length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1 - F.col("lone")
+    own = own.where(length > 0).withColumn("own", F.transform(F.slice("own", 1, F.greatest(length, F.lit(0))), lambda s: s["shingle"]))
+    rows = own.select("node", "component", "n", "lone", "own", F.posexplode("own").alias("i", "shingle")).select(
+        "node", "component", "n", "shingle", (F.col("lone") + F.col("i")).alias("at"), F.slice("own", 1, F.col("i")).alias("before"))
+    rows = scratch.keep(rows.join(shared.select("shingle", "most"), "shingle"), "prefixes")
+    # of each shingle, all nodes meet those outside its most frequent component
+    side = lambda df, n: df.select("shingle", *(F.col(c).alias(c + n) for c in ("node", "component", "n", "at", "before")))
+    left, right = side(rows.where("component <> most"), "_a"), rows.select("shingle", "most", *(F.col(c).alias(c + "_b") for c in ("node", "component", "n", "at", "before")))
+    need = threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = left.join(right, "shingle").where(
+        (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
+        & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
+        & ~F.arrays_overlap("before_a", "before_b"))
+    return scratch.keep(_verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), lists, threshold), "links-across")
+
+
 def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct text: node (its MD5), component (least node of its class), n (rows), least (id)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -143,43 +179,21 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     wanted = nodes.join(some, "node", "left_semi").select("node", F.col("least").alias("id"))
     texts = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["id"]) & (rows["node"] == wanted["node"]), "left_semi").select("node", "text")
     lists = scratch.keep(texts.mapInArrow(_listed, "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
-    n_nodes = some.count()
-
-    parts = buckets.withColumn("component", F.col("node"))
-    links, tested, turn = None, None, 0
-    near = lambda p: p.where(F.least("xa", "xb") >= threshold * F.greatest("xa", "xb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    while True:
-        # pairs of different components that share a bucket, without forming them
-        sizes = parts.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("bucket").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("c")).where("c > 1")
-        sizes = scratch.keep(sizes.select("bucket", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")), "open-buckets")
-        across = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-        if across == 0:
-            break
-        parts = scratch.keep(parts.join(sizes.select("bucket"), "bucket", "left_semi"), "open-parts")
-        last = across <= CROSS * n_nodes * BANDS or turn >= 4
-        if last:
-            l, r = (parts.select("bucket", F.col("node").alias(n), F.col("size").alias(f"x{n}"), F.col("component").alias(f"c{n}")) for n in "ab")
-            pairs = l.join(r, "bucket").where("ca != cb and a < b")
-        else:
-            order = F.struct(F.xxhash64("node", F.lit(turn)), "node", "size", "component")
-            centre = scratch.keep(parts.groupBy("bucket").agg(F.min(order).alias("o")).select("bucket", F.col("o.node").alias("a"), F.col("o.size").alias("xa"), F.col("o.component").alias("ca")), "centres")
-            pairs = parts.select("bucket", F.col("node").alias("b"), F.col("size").alias("xb"), "component").join(centre, "bucket").where("component != ca")
-        pairs = near(pairs)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.keep(_verified(pairs, lists, threshold), "near")
-        links = new if links is None else links.unionByName(new)
-        labels = scratch.keep(components.components(links), "labels")
-        if last:
-            break
-        parts = buckets.join(labels, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
-        turn += 1
+    order = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "size"))
+    centres = buckets.groupBy("bucket").agg(order(1).alias("o"), order(2).alias("p"))
+    centres = centres.select("bucket", F.array_distinct(F.transform(F.array("o", "p"), lambda c: F.struct(c["node"].alias("a"), c["size"].alias("xa")))).alias("c"))
+    star = buckets.select("bucket", F.col("node").alias("b"), F.col("size").alias("xb")).join(scratch.keep(centres, "centres"), "bucket")
+    star = star.select("b", "xb", F.explode("c").alias("c")).select("b", "xb", "c.a", "c.xa").where("a <> b")
+    links = scratch.keep(_verified(_plausible(star, threshold), lists, threshold), "star-links")
+    labels = scratch.keep(components.components(links), "labels")
+    labelled = scratch.keep(buckets.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "labelled")
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("bucket")
+    open_ = scratch.keep(labelled.join(several, "bucket", "left_semi").select("node", "component").distinct(), "open-nodes")
+    more = _links_across(lists.join(open_, "node"), lists, threshold)
+    if not more.isEmpty():
+        stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+        labels = scratch.keep(components.components(stars.unionByName(more)), "labels")
     out = nodes.select("node", "least", "n")
-    if links is None:
-        return out.withColumn("component", F.col("node"))
     return out.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 

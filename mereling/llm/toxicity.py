@@ -47,12 +47,12 @@ class Model:
 def fit(rows: list[np.ndarray], grades: np.ndarray, weight: np.ndarray, n_grades: int, penalty: float = 1e-3, steps: int = 150, rate: float = 0.3) -> Model:
     """Minimise the weighted mean negative log-likelihood plus penalty * |weights|, by proximal
     gradient steps whose size per feature follows its past gradients. Features in fewer than 5
-    texts or more than a fifth of them are left out."""
+    texts are left out."""
     n = len(rows)
     sizes = np.fromiter(map(len, rows), np.int64, n)
     flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
     df = np.bincount(flat, minlength=1 << BITS)
-    used = np.flatnonzero((df >= 5) & (df <= 0.2 * n))
+    used = np.flatnonzero(df >= 5)
     place = np.full(1 << BITS, -1, np.int64)
     place[used] = np.arange(len(used))
     column = place[flat]
