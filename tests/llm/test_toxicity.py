@@ -9,7 +9,7 @@ from tests.llm.conftest import make, words
 BAD = ["vilify", "lostraxy", "scumbag"]
 
 
-def corpus(n=900):
+def corpus(n=3000):
     r = random.Random(5)
     texts, grades = [], []
     for i in range(n):
@@ -25,14 +25,15 @@ def corpus(n=900):
 def test_held_out_accuracy(spark):
     texts, grades = corpus()
     docs = make(spark, list(enumerate(texts)))
-    graded = spark.createDataFrame([(i, g) for i, g in enumerate(grades) if i % 3] + [(None, 1), (3, None)], "doc_id long, grade int")
+    graded = spark.createDataFrame([(i, g) for i, g in enumerate(grades) if i % 7] + [(None, 1), (3, None)], "doc_id long, grade int")
     model = X.train(docs, graded, 3)
     assert model.thresholds[0] <= model.thresholds[1]
     rows = {r.doc_id: r for r in X.predict(docs, model).collect()}
-    held = [i for i in range(len(texts)) if i % 3 == 0]
+    held = [i for i in range(len(texts)) if i % 7 < 1]
     assert np.mean([rows[i].toxic == (grades[i] == 2) for i in held]) > 0.97
     severity = [np.mean([rows[i].severity for i in held if grades[i] == g]) for g in range(3)]
     assert severity[0] < severity[1] < severity[2]
+    assert np.mean([rows[i].toxic for i in held if grades[i] == 2]) > 0.9
     kept = X.drop_toxic(docs, model)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i in rows if not rows[i].toxic}
