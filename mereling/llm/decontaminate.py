@@ -1,11 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman scores them.
+"""Benchmark decontamination: shared n-grams find passages, Smith-Waterman scores them.
 
-Texts are lower-case tokens. An item's n-grams are seeds where they are rare: the product of
-their tokens' shares of the corpus (counted over all rows) is at most 2 ** -RARE_BITS; the
-rarest one always is. Shares of single tokens, unlike counts of the n-grams, hardly move when an
-item itself is all over the corpus. Seeds are looked up in every text on the map side. Around
-hits of an item the text is aligned with the whole item, so substituted, inserted and dropped
-words cost some of the score and not the match.
+Texts are lower-case tokens. All n-grams of an item are seeds, however common they are, so a copy
+that shares any run of N tokens with its item is aligned, wherever its edits are. Seeds are looked
+up in every text on the map side. Around hits of an item the text is aligned with the whole item,
+so substituted, inserted and dropped words cost some of the score and not the match. Places
+where too few of the item's tokens occur for the least score are left out: each token of the
+item can match once at most, so they can't reach it.
 
 The benchmark is broadcast in blocks of at most BLOCK tokens; a larger one makes more passes
 over the corpus. Texts themselves are never shuffled.
@@ -17,14 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from mereling.llm import words
 
-N, RARE_BITS, BLOCK = 3, 30, 1_000_000
+N, BLOCK = 3, 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 #: The least score, as a share of the item's score with itself.
 SCORE = 0.5
+#: Hits of seeds are spread over the items that have them in parts of about so many.
+_PART = 1 << 20
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -50,6 +51,9 @@ class Block:
     seeds: np.ndarray
     item: np.ndarray  # of each seed
     offset: np.ndarray  # of each seed in its item
+    first: np.ndarray  # first token of each item in `places`, and the end
+    vocabulary: np.ndarray  # all distinct tokens, in order
+    places: np.ndarray  # of all items' tokens in the vocabulary
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -58,32 +62,11 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield i, j, words.hash_spans(plain, starts, ends), first
 
 
-def token_shares(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """How often each token of the sorted vocabulary (hashes) occurs in all texts, and the number of all tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        counts, total = np.zeros(len(known) + 1, np.int64), 0
-        for batch in batches:
-            for _, _, tokens, _ in _tokens(batch.column(0)):
-                at = np.searchsorted(known, tokens)
-                at[at == len(known)] = 0
-                counts[: len(known)] += np.bincount(at[known[at] == tokens], minlength=len(known))
-                total += len(tokens)
-        counts[-1] = total
-        place = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int64()), pa.array(counts[place], pa.int64())], ["place", "n"])
-
-    found = docs.select(text_col).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in found.collect():  # at most one row per token of the block
-        out[r["place"]] = r["n"]
-    return out[:-1], int(out[-1])
-
-
 def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", n: int = N, block: int = BLOCK) -> Iterator[Block]:
-    """The benchmark in blocks of at most `block` tokens (one item at least). Items of fewer than n tokens match nothing."""
+    """The benchmark in blocks of at most `block` tokens (one item at least). Items of fewer than n tokens match nothing.
+
+    Neither `docs` nor `text_col` is read: seeds don't depend on the corpus.
+    """
     ids, tokens, size = [], [], 0
     for row in items.select(item_id, item_text).toLocalIterator():
         got = [t for _, _, t, _ in _tokens(pa.array([row[1]], pa.string()))]
@@ -91,31 +74,56 @@ def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_tex
         if len(own) < n:
             continue
         if ids and size + len(own) > block:
-            yield _block(docs, ids, tokens, text_col, n)
+            yield _block(ids, tokens, n)
             ids, tokens, size = [], [], 0
         ids.append(row[0])
         tokens.append(own)
         size += len(own)
     if ids:
-        yield _block(docs, ids, tokens, text_col, n)
+        yield _block(ids, tokens, n)
 
 
-def _block(docs: DataFrame, ids: list, tokens: list[np.ndarray], text_col: str, n: int) -> Block:
-    vocabulary = np.unique(np.concatenate(tokens))
-    counts, total = token_shares(docs, vocabulary, text_col)
-    bits = -np.log2((counts + 1) / (total + len(vocabulary)))
+def _block(ids: list, tokens: list[np.ndarray], n: int) -> Block:
+    sizes = np.array([len(own) for own in tokens])
+    first = np.append(0, np.cumsum(sizes))
     seeds, item, offset = [], [], []
     for k, own in enumerate(tokens):
         at = np.arange(len(own) - n + 1)
-        cost = np.concatenate(([0], np.cumsum(bits[np.searchsorted(vocabulary, own)])))
-        cost = cost[at + n] - cost[at]
-        rare = at[(cost >= RARE_BITS) | (cost == cost.max())]
-        seeds.append(words.hash_runs(own, rare, rare + n))
-        item.append(np.full(len(rare), k))
-        offset.append(rare)
+        seeds.append(words.hash_runs(own, at, at + n))
+        item.append(np.full(len(at), k))
+        offset.append(at)
     seeds, item, offset = map(np.concatenate, (seeds, item, offset))
     order = np.argsort(seeds, kind="stable")
-    return Block(ids, tokens, seeds[order], item[order], offset[order])
+    vocabulary, places = np.unique(np.concatenate(tokens), return_inverse=True)
+    return Block(ids, tokens, seeds[order], item[order], offset[order], first, vocabulary, places)
+
+
+def _places(block: Block, tokens: np.ndarray) -> np.ndarray:
+    """The place of each token in the block's vocabulary, or -1."""
+    at = np.searchsorted(block.vocabulary, tokens)
+    at[at == len(block.vocabulary)] = 0
+    return np.where(block.vocabulary[at] == tokens, at, -1)
+
+
+def _common(block: Block, known: np.ndarray, text: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """How many tokens of each item occur anywhere in its text; known: sorted text * vocabulary + place."""
+    size = block.first[item + 1] - block.first[item]
+    edge = np.cumsum(size)
+    at = np.repeat(block.first[item] - (edge - size), size) + np.arange(edge[-1])
+    key = np.repeat(text, size) * len(block.vocabulary) + block.places[at]
+    low = np.searchsorted(known, key)
+    low[low == len(known)] = 0
+    return np.add.reduceat((known[low] == key).astype(np.int64), edge - size)
+
+
+def _parts(size: np.ndarray) -> Iterator[slice]:
+    """Consecutive hits whose sizes come to about _PART, at least one hit each."""
+    total = np.cumsum(size)
+    i = 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + _PART, "right")))
+        yield slice(i, j)
+        i = j
 
 
 def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE) -> Iterator[tuple[int, int, float, int]]:
@@ -127,29 +135,50 @@ def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE) ->
         hit = np.flatnonzero(block.seeds[low] == hashes) if len(block.seeds) else np.zeros(0, np.int64)
         if not len(hit):
             continue
+        place = _places(block, tokens)
+        known = words.owners(first) * len(block.vocabulary) + place
+        known = np.unique(known[place >= 0])
         size = np.searchsorted(block.seeds, hashes[hit], "right") - low[hit]
-        seed = np.repeat(low[hit] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        place = np.repeat(at[hit], size)
-        text = np.searchsorted(first, place, "right") - 1
-        item, begin = block.item[seed], place - block.offset[seed]
-        order = np.lexsort((begin, item, text))
-        text, item, begin = text[order], item[order], begin[order]
-        lengths = np.array([len(block.tokens[k]) for k in item])
-        new = np.ones(len(order), bool)  # another text, item or place
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (np.diff(begin) > lengths[1:] // 2)
-        heads = np.flatnonzero(new)
-        tails = np.append(heads[1:], len(order)) - 1
         best: dict[tuple[int, int], tuple[float, int]] = {}
-        for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
-            own = block.tokens[item[h]]
-            slack = len(own) // 2 + 2
-            a, b = max(int(first[text[h]]), int(begin[h]) - slack), min(int(first[text[h] + 1]), int(begin[t]) + len(own) + slack)
-            score, end = align(own, tokens[a:b])
-            score /= MATCH * len(own)
-            key = (int(text[h]), int(item[h]))
-            if score >= least and score > best.get(key, (0.0, 0))[0]:
-                best[key] = score, a + end - int(first[text[h]])
-        yield from ((i + t, k, s, e) for (t, k), (s, e) in best.items())
+        for part in _parts(size):
+            _search(block, tokens, place, first, known, at[hit[part]], low[hit[part]], size[part], least, best)
+        yield from ((i + t, k, s, e) for (t, k), (s, e) in sorted(best.items()))
+
+
+def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndarray, known: np.ndarray, at: np.ndarray, low: np.ndarray, size: np.ndarray, least: float, best: dict) -> None:
+    """Align around hits: token `at` of the texts begins the `size` seeds from `low` on."""
+    seed = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    place = np.repeat(at, size)
+    text = np.searchsorted(first, place, "right") - 1
+    item, begin = block.item[seed], place - block.offset[seed]
+    order = np.lexsort((begin, item, text))
+    text, item, begin = text[order], item[order], begin[order]
+    pair = np.ones(len(order), bool)  # another text or item
+    pair[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+    lengths = np.diff(block.first)[item]
+    need = np.ceil(least * np.diff(block.first) - 1e-9).astype(np.int64)  # matches of each item
+    heads = np.flatnonzero(pair)
+    able = _common(block, known, text[heads], item[heads]) >= need[item[heads]]
+    able = np.repeat(able, np.diff(np.append(heads, len(order))))
+    text, item, begin, pair, lengths = text[able], item[able], begin[able], pair[able], lengths[able]
+    if not len(text):
+        return
+    new = pair.copy()  # or another place
+    new[1:] |= np.diff(begin) > lengths[1:] // 2
+    heads = np.flatnonzero(new)
+    tails = np.append(heads[1:], len(text)) - 1
+    for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
+        own = block.tokens[item[h]]
+        slack = len(own) // 2 + 2
+        a, b = max(int(first[text[h]]), int(begin[h]) - slack), min(int(first[text[h] + 1]), int(begin[t]) + len(own) + slack)
+        mine = block.places[block.first[item[h]] : block.first[item[h] + 1]]
+        if np.isin(mine, places[a:b]).sum() < need[item[h]]:
+            continue
+        score, end = align(own, tokens[a:b])
+        score /= MATCH * len(own)
+        key = (int(text[h]), int(item[h]))
+        if score >= least and score > best.get(key, (0.0, 0))[0]:
+            best[key] = score, a + end - int(first[text[h]])
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE) -> DataFrame:

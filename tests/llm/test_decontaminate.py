@@ -90,6 +90,21 @@ def test_an_item_all_over_the_corpus_is_still_found(spark):
     assert {r.doc_id for r in got.collect()} == set(range(60))
 
 
+def test_edited_copies_of_hot_and_common_items(spark):
+    hot, filler = words(77, 25).split(), words(78, 6).split()
+    common = [filler[k * k % 6] for k in range(12)]
+    items = [(1, " ".join(hot)), (2, " ".join(common))]
+    docs = []
+    for i in range(75):  # one word is another, at each place in turn
+        docs.append((i, words(i, 5) + " " + " ".join(w if k != i % 25 else "other" for k, w in enumerate(hot))))
+        docs.append((100 + i, words(500 + i, 5) + " " + " ".join(w if k != i % 12 else "other" for k, w in enumerate(common))))
+        docs.append((200 + i, words(5000 + i, 30) + " " + filler[i % 6]))
+    got = D.matches(make(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(items, docs)
+    assert {(i, 1) for i in range(75)} | {(100 + i, 2) for i in range(75)} <= want
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
 def test_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, words(1, 120)), (None, words(2, 30))], "item_id long, text string")
     rows = D.matches(edge, items).collect()
