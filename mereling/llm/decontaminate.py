@@ -7,6 +7,11 @@ so substituted, inserted and dropped words cost some of the score and not the ma
 where too few of the item's tokens occur for the least score are left out: each token of the
 item can match once at most, so they can't reach it.
 
+A long item leaks in parts too. With `passage`, an item also matches where an alignment of its own
+length reaches the score of so many matched tokens, each edit costing EDIT: at least two thirds of
+such an alignment match, and it has at least passage - N + 1 hits of seeds, so other places are
+left out without loss.
+
 The benchmark is broadcast in blocks of at most BLOCK tokens; a larger one makes more passes
 over the corpus. Texts themselves are never shuffled.
 """
@@ -24,16 +29,18 @@ N, BLOCK = 3, 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 #: The least score, as a share of the item's score with itself.
 SCORE = 0.5
+#: The least matched tokens, net of edits, of a passage of an item of any length; and what an edit costs.
+PASSAGE, EDIT = 25, MATCH * (N - 1)
 #: Hits of seeds are spread over the items that have them in parts of about so many.
 _PART = 1 << 20
 
 
-def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
+def align(item: np.ndarray, text: np.ndarray, mismatch: float = MISMATCH, gap: float = GAP) -> tuple[float, int]:
     """Smith-Waterman: the best local score of two token sequences, and where it ends in `text`."""
-    cols = np.arange(1, len(text) + 1) * GAP
+    cols = np.arange(1, len(text) + 1) * gap
     last, best, end = np.zeros(len(text) + 1), 0.0, 0
     for token in item:
-        here = np.maximum(last[:-1] + np.where(text == token, MATCH, MISMATCH), last[1:] - GAP)
+        here = np.maximum(last[:-1] + np.where(text == token, MATCH, mismatch), last[1:] - gap)
         here = np.maximum(here, 0.0)
         here = np.maximum.accumulate(here + cols) - cols  # gaps in the text's direction
         last[1:] = here
@@ -126,8 +133,8 @@ def _parts(size: np.ndarray) -> Iterator[slice]:
         i = j
 
 
-def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE) -> Iterator[tuple[int, int, float, int]]:
-    """(row, item of the block, score, end token) of each text and item that reach `least`; the best place of each pair."""
+def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE, passage: int | None = None) -> Iterator[tuple[int, int, float, int]]:
+    """(row, item of the block, score, end token) of each text and item that reach `least` or have a passage; the best place of each pair."""
     for i, _, tokens, first in _tokens(column):
         at, hashes = words.grams(tokens, first, n)
         low = np.searchsorted(block.seeds, hashes)
@@ -140,13 +147,15 @@ def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE) ->
         known = np.unique(known[place >= 0])
         size = np.searchsorted(block.seeds, hashes[hit], "right") - low[hit]
         best: dict[tuple[int, int], tuple[float, int]] = {}
+        text = np.searchsorted(first, at[hit], "right") - 1
         for part in _parts(size):
-            _search(block, tokens, place, first, known, at[hit[part]], low[hit[part]], size[part], least, best)
+            cut = [text[e] for e in (part.start, part.stop) if 0 < e < len(hit) and text[e - 1] == text[e]]
+            _search(block, tokens, place, first, known, at[hit[part]], low[hit[part]], size[part], least, passage, cut, best)
         yield from ((i + t, k, s, e) for (t, k), (s, e) in sorted(best.items()))
 
 
-def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndarray, known: np.ndarray, at: np.ndarray, low: np.ndarray, size: np.ndarray, least: float, best: dict) -> None:
-    """Align around hits: token `at` of the texts begins the `size` seeds from `low` on."""
+def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndarray, known: np.ndarray, at: np.ndarray, low: np.ndarray, size: np.ndarray, least: float, passage: int | None, cut: list, best: dict) -> None:
+    """Align around hits: token `at` of the texts begins the `size` seeds from `low` on; texts of `cut` have more hits than these."""
     seed = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
     place = np.repeat(at, size)
     text = np.searchsorted(first, place, "right") - 1
@@ -157,8 +166,9 @@ def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndar
     pair[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
     lengths = np.diff(block.first)[item]
     need = np.ceil(least * np.diff(block.first) - 1e-9).astype(np.int64)  # matches of each item
+    enough = need if passage is None else np.minimum(need, passage)
     heads = np.flatnonzero(pair)
-    able = _common(block, known, text[heads], item[heads]) >= need[item[heads]]
+    able = _common(block, known, text[heads], item[heads]) >= enough[item[heads]]
     able = np.repeat(able, np.diff(np.append(heads, len(order))))
     text, item, begin, pair, lengths = text[able], item[able], begin[able], pair[able], lengths[able]
     if not len(text):
@@ -172,17 +182,21 @@ def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndar
         slack = len(own) // 2 + 2
         a, b = max(int(first[text[h]]), int(begin[h]) - slack), min(int(first[text[h] + 1]), int(begin[t]) + len(own) + slack)
         mine = block.places[block.first[item[h]] : block.first[item[h] + 1]]
-        if np.isin(mine, places[a:b]).sum() < need[item[h]]:
+        common = np.isin(mine, places[a:b]).sum()
+        found = (
+            enough[item[h]] < need[item[h]] and common >= passage and (t - h + 1 >= passage - N + 1 or text[h] in cut)
+            and align(own, tokens[a:b], -EDIT, EDIT)[0] >= MATCH * passage)
+        if not found and common < need[item[h]]:
             continue
         score, end = align(own, tokens[a:b])
         score /= MATCH * len(own)
         key = (int(text[h]), int(item[h]))
-        if score >= least and score > best.get(key, (0.0, 0))[0]:
+        if (found or score >= least) and score > best.get(key, (0.0, 0))[0]:
             best[key] = score, a + end - int(first[text[h]])
 
 
-def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE) -> DataFrame:
-    """One row per text and item that reach `least`: doc_id, item_id, score (share of the item's score
+def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE, passage: int | None = None) -> DataFrame:
+    """One row per text and item that reach `least`, or have a passage of `passage` tokens (None: whole items only): doc_id, item_id, score (share of the item's score
     with itself), end_token (token of the text after the best alignment).
 
     Null texts and items match nothing; null ids are carried as they are; repeated rows give
@@ -195,7 +209,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = list(search(shared.value, batch.column(1), least=least))
+                found = list(search(shared.value, batch.column(1), least=least, passage=passage))
                 rows = pa.array([f[0] for f in found], pa.int64())
                 item_type = pa.array(shared.value.ids).type
                 yield pa.RecordBatch.from_arrays(
@@ -206,7 +220,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE, passage: int | None = None) -> DataFrame:
     """The rows of `docs` that match no item, with all their columns."""
     at, out = docs.columns.index(text_col), docs
     for block in blocks(docs, items, item_id, item_text, text_col):
@@ -215,7 +229,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
-                clean[[f[0] for f in search(shared.value, batch.column(at), least=least)]] = False
+                clean[[f[0] for f in search(shared.value, batch.column(at), least=least, passage=passage)]] = False
                 yield batch.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)

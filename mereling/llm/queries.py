@@ -22,7 +22,7 @@ def model_file() -> str:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), passage=decontaminate.PASSAGE)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

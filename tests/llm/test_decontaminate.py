@@ -105,6 +105,46 @@ def test_edited_copies_of_hot_and_common_items(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_passages_of_long_items(spark, monkeypatch):
+    item = words(90, 500)
+    w, r = item.split(), random.Random(5)
+    docs, want = [], set()
+    for i in range(120):
+        size = [200, 60, 40, 25, 24, 12][i % 6]
+        at = r.randrange(500 - size)
+        part = w[at : at + size]
+        if i % 6 == 1:  # every sixth word is another
+            part = [x if k % 6 else words(i * 100 + k, 1) for k, x in enumerate(part, 1)]
+        if i % 6 == 2:  # put in and left out, 12 matches apart
+            part = part[:13] + ["new"] + part[13:26] + part[27:]
+        docs.append((i, " ".join(words(1000 + i, 40).split() + part + words(3000 + i, 40).split())))
+        tokens = np.array([hash(x) & 0xFFFFFFFFFFFF for x in docs[-1][1].split()], np.uint64)
+        if D.align(np.array([hash(x) & 0xFFFFFFFFFFFF for x in w], np.uint64), tokens, -D.EDIT, D.EDIT)[0] >= D.MATCH * D.PASSAGE:
+            want.add(i)
+    assert {i for i in range(120) if i % 6 in (0, 1, 2, 3)} <= want and not {i for i in range(120) if i % 6 == 5} & want
+    df, items = make(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = D.matches(df, items, passage=D.PASSAGE).collect()
+    assert {x.doc_id for x in got} == want and len(got) == len(want) and all(x.score < D.SCORE for x in got)
+    assert {x.doc_id for x in D.drop_contaminated(df, items, passage=D.PASSAGE).collect()} == set(range(120)) - want
+    import pyarrow as pa
+
+    block = next(D.blocks(df, items))
+    for part in (7, 40):  # hits of a text in several parts
+        monkeypatch.setattr(D, "_PART", part)
+        assert {row for row, *_ in D.search(block, pa.array([t for _, t in docs[:12]]), passage=D.PASSAGE)} == {i for i in want if i < 12}
+
+
+def test_queries_find_passages(spark, tmp_path):
+    import corpus_pipeline
+    from mereling.llm import queries
+
+    make(spark, [(1, words(5, 50) + " " + " ".join(words(90, 500).split()[100:300])), (2, words(6, 200))]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words(90, 500))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.doc_id for r in queries.op1_decontaminate(spark, str(tmp_path)).collect()] == [1]
+    kept = corpus_pipeline.drop_leaks(spark, queries.table(spark, str(tmp_path), "documents"), str(tmp_path))
+    assert [r.doc_id for r in kept.collect()] == [2]
+
+
 def test_edges(spark, edge, empty):
     items = spark.createDataFrame([(1, words(1, 120)), (None, words(2, 30))], "item_id long, text string")
     rows = D.matches(edge, items).collect()
