@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mereling.llm import components, scratch, words
@@ -163,6 +163,10 @@ def _links_across(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataF
     return scratch.keep(_verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), lists, threshold), "links-across")
 
 
+def _node(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per distinct text: node (its MD5), component (least node of its class), n (rows), least (id)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -198,10 +202,19 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """One row per distinct text: node, class_id (the least id of the class), class_size."""
+    """One row per distinct text: node, class_id (the least id of the class), class_size, keeper (whether the class keeps this text)."""
     nodes = scratch.keep(node_classes(docs, id_col, text_col, threshold), "node-classes")
-    whole = scratch.keep(nodes.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size")), "classes")
-    return scratch.keep(nodes.select("node", "component").join(whole, "component").select("node", "class_id", "class_size"), "class-of-node")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first")
+    whole = scratch.keep(nodes.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes")
+    return scratch.keep(nodes.select("node", "component").join(whole, "component").select(
+        "node", F.col("first.least").alias("class_id"), "class_size", (F.col("node") == F.col("first.node")).alias("keeper")), "class-of-node")
+
+
+def _flagged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """One row per input row: doc_id, node, class_id, class_size, kept."""
+    of_node = _classes(docs, id_col, text_col, threshold)
+    return docs.select(F.col(id_col).alias("doc_id"), _node(F.col(text_col)).alias("node")).join(of_node, "node").select(
+        "doc_id", "node", "class_id", "class_size", (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
 
 
 
@@ -212,15 +225,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least the threshold (sum of least over sum of greatest weights); its id is its least doc_id,
     whose row stays. A text of fewer than five words is one run; texts without words (null and
     empty ones too) are equal only when identical. Null ids are never kept unless their class
-    has no other id; repeated rows of the kept id are all kept. Other columns are not read.
+    has no other id. Where several texts of a class have the kept id, or all ids are null, the
+    text of the least MD5 is kept. Rows that repeat the kept id and text are all kept
+    (`drop_near_duplicates` leaves one). Other columns are not read.
     """
-    of_node = _classes(docs, id_col, text_col, threshold)
-    node = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    return docs.select(F.col(id_col).alias("doc_id"), node.alias("node")).join(of_node, "node").select(
-        "doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return _flagged(docs, id_col, text_col, threshold).drop("node")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = scratch.keep(near_duplicates(docs, id_col, text_col, threshold).where("kept").select(F.col("doc_id").alias("_kept")).distinct(), "kept-ids")
-    return docs.join(kept.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of `docs` that stay, one of each class, with all their columns; of rows that repeat id and text, any one."""
+    flagged = _flagged(docs, id_col, text_col, threshold).where("kept")
+    kept = scratch.keep(flagged.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("_n")), "kept-rows")
+
+    def rows(some: DataFrame) -> DataFrame:
+        return docs.join(some.hint("shuffle_hash"), docs[id_col].eqNullSafe(some["_id"]) & (_node(docs[text_col]) == some["_node"]), "left_semi")
+
+    repeated = kept.where("_n > 1")
+    if repeated.isEmpty():
+        return rows(kept)
+    again = rows(repeated)
+    again = again.select(_node(F.col(text_col)).alias("_node"), F.struct(*(again[c] for c in docs.columns)).alias("_row"))
+    return rows(kept.where("_n = 1")).unionByName(again.groupBy("_node").agg(F.first("_row").alias("_row")).select("_row.*"))
