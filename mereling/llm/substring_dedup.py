@@ -179,9 +179,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places_by_document(rows: DataFrame) -> DataFrame:
-    """Rows, dealt by hash and read in order -> (k1, k2, places)."""
+    """Rows, dealt by hash and read in order -> (k1, k2, places); copies of a document give each place once."""
     ordered = rows.repartition("h").sortWithinPartitions("h")
-    return ordered.mapInArrow(_recurring, "k1 long, k2 long, place long").groupBy("k1", "k2").agg(F.collect_list("place").alias("places"))
+    return ordered.mapInArrow(_recurring, "k1 long, k2 long, place long").groupBy("k1", "k2").agg(F.collect_set("place").alias("places"))
 
 
 def covered_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

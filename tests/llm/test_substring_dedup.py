@@ -50,6 +50,16 @@ def test_against_brute_force(spark):
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()} == {x[0]: x[3] for x in brute(rows)}
 
 
+def test_copies_of_a_hot_text_give_each_place_once(spark):
+    text = words(5, 300)
+    rows = [(None, text)] * 60 + [(1, text)] * 30 + [(i, words(10 + i, 50)) for i in range(2, 6)]
+    df = make(spark, rows).repartition(6)
+    assert got(df) == brute(rows)
+    places = S.covered_words(df).where("places is not null").select("places").collect()
+    # runs of places that several copies share; the copy that a batch meets first gives single ones
+    assert len(places) == 90 and max(len(r.places) for r in places) <= 300
+
+
 def test_edges(edge, edge_rows, empty):
     assert got(edge) == brute(edge_rows)
     assert got(empty) == []
