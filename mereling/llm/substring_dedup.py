@@ -5,8 +5,9 @@
    least twice are the recurring phrases. Others, and the windows they stand for, are done with.
 2. Automata. Each document meets its recurring phrases again. A shard, a bounded batch of
    documents, compiles its phrases into an Aho-Corasick automaton over words (a word is one
-   character of the automaton's alphabet) and all its documents are streamed through it, which
-   gives every occurrence. Windows whose seed is one are candidates.
+   character of the automaton's alphabet) and all its documents are streamed through it. The
+   seed shuffle has given these places already; the automaton finds them again in the words.
+   Windows whose seed is one are candidates.
 3. Candidates are shuffled by the hash of all their words; those that occur at least twice are
    confirmed, and the words that they cover are removed.
 
@@ -149,15 +150,14 @@ def occurrences(tokens: np.ndarray, first: np.ndarray, hashes: np.ndarray, phras
 
     stream = _text_of(tokens)
     automaton = ahocorasick.Automaton()
-    for p, h in zip(phrases.tolist(), hashes[phrases].tolist(), strict=True):
-        automaton.add_word(stream[p : p + k], h)
+    for p in phrases.tolist():
+        automaton.add_word(stream[p : p + k], True)  # phrases of equal characters share an entry
     automaton.make_automaton()
-    found = [(end - k + 1, h) for end, h in automaton.iter(stream)]
-    if not found:
-        return np.zeros(0, np.int64)
-    at, h = np.array([f[0] for f in found], np.int64), np.array([f[1] for f in found], np.uint64)
+    at = np.array([end - k + 1 for end, _ in automaton.iter(stream)], np.int64)
+    if not len(at):
+        return at
     own = words.owners(first)
-    return at[(hashes[at] == h) & (own[at] == own[at + k - 1])]  # the words themselves, within one text
+    return at[np.isin(hashes[at], hashes[phrases]) & (own[at] == own[at + k - 1])]  # the words themselves, within one text
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

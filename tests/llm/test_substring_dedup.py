@@ -60,6 +60,20 @@ def test_copies_of_a_hot_text_give_each_place_once(spark):
     assert len(places) == 90 and max(len(r.places) for r in places) <= 300
 
 
+def test_phrases_of_equal_characters_are_both_found():
+    from mereling.llm import words as W
+
+    a = np.arange(1, 9, dtype=np.uint64)
+    b = a.copy()
+    b[3] += np.uint64(1_000_000)  # another word, the same character
+    tokens = np.concatenate([a, b, b, a])
+    at = np.arange(len(tokens) - S.K + 1)
+    hashes = W.hash_runs(tokens, at, at + S.K)
+    assert S._text_of(a) == S._text_of(b) and hashes[0] != hashes[8]
+    assert sorted(S.occurrences(tokens, np.array([0, 32]), hashes, np.array([0, 8])).tolist()) == [0, 8, 16, 24]
+    assert sorted(S.occurrences(tokens, np.array([0, 32]), hashes, np.array([0])).tolist()) == [0, 24]
+
+
 def test_edges(edge, edge_rows, empty):
     assert got(edge) == brute(edge_rows)
     assert got(empty) == []
