@@ -66,7 +66,7 @@ class Block:
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     for i, j, data, offsets in words.pieces(column):
         starts, ends, first, plain = words.tokens(data, offsets)
-        yield i, j, words.hash_spans(plain, starts, ends), first
+        yield i, j, words.hashes(plain, starts, ends), first
 
 
 def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", n: int = N, block: int = BLOCK) -> Iterator[Block]:
@@ -95,8 +95,8 @@ def _block(ids: list, tokens: list[np.ndarray], n: int) -> Block:
     first = np.append(0, np.cumsum(sizes))
     seeds, item, offset = [], [], []
     for k, own in enumerate(tokens):
-        at = np.arange(len(own) - n + 1)
-        seeds.append(words.hash_runs(own, at, at + n))
+        seeds.append(words.runs(own, n))
+        at = np.arange(len(seeds[-1]))
         item.append(np.full(len(at), k))
         offset.append(at)
     seeds, item, offset = map(np.concatenate, (seeds, item, offset))

@@ -33,12 +33,12 @@ WORDS, BANDS, ROWS, THRESHOLD = 5, 24, 4, 0.8
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, hash, weight) of the distinct runs of n words; a text of fewer words has one, all of them."""
     starts, ends, first = words.split(data, offsets)
-    tokens = words.hash_spans(data, starts, ends)
+    tokens = words.hashes(data, starts, ends)
     at, hashes = words.grams(tokens, first, n)
     own = words.owners(first)[at] if len(at) else np.zeros(0, np.int64)
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < n))
     own = np.concatenate((own, short))
-    hashes = np.concatenate((hashes, words.hash_runs(tokens, first[short], first[short + 1])))
+    hashes = np.concatenate((hashes, words.fold(tokens, first[short], first[short + 1])))
     order = np.lexsort((hashes, own))
     own, hashes = own[order], hashes[order]
     new = np.ones(len(own), bool)

@@ -2,19 +2,21 @@
 
 The automaton holds the model's pieces. Reading a pre-token character by character, the state's
 output links give every piece that ends there, and each relaxes the best score of its end. A
-character that no piece covers falls back to its UTF-8 bytes, at a score below all pieces. The
+character that no piece covers falls back to its UTF-8 bytes, at a score below all pieces, or to the
+unknown piece in a model without bytes. The
 scores are the model's own, so the result is the segmentation with the highest total score; of
 equal totals, the one whose last piece is longest, from the end.
 
 A pre-token's pieces don't depend on what is around it (see `pretokens`), so each distinct one
-of a batch is segmented once and its ids are copied to where it occurs; a bounded cache of the
-worker keeps those of earlier batches.
+of a batch, told apart by its bytes, is segmented once and its ids are copied to where it occurs;
+a bounded cache of the worker keeps those of earlier batches.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from mereling.llm import pretokens, words
@@ -38,6 +40,7 @@ class Codec:
         if not pretokens.splits_at_spaces(pieces):
             raise ValueError("a piece of this model crosses a word start; its texts can't be cut at spaces")
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if sp.is_byte(i)}
+        self.unknown = sp.unk_id()
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         lowest = min(sp.get_score(i) for i in plain if sp.get_score(i) > UNSCORED)
         self.score = {pieces[i]: (i, max(sp.get_score(i), lowest - 1.0)) for i in plain}
@@ -48,6 +51,7 @@ class Codec:
         self.automaton.make_automaton()
         # for decoding: the bytes of all pieces end to end
         raw = [b""] * n
+        raw[self.unknown] = "\N{REPLACEMENT CHARACTER}".encode()
         for b, i in self.bytes.items():
             raw[i] = bytes([b])
         for i in plain:
@@ -77,7 +81,7 @@ class Codec:
         out: list[int] = []
         while n:
             size, piece = back[n]
-            out += [piece] if piece >= 0 else [self.bytes[b] for b in reversed(text[n - 1].encode())]
+            out += [piece] if piece >= 0 else [self.bytes[b] for b in reversed(text[n - 1].encode())] if self.bytes else [self.unknown]
             n -= size
         return tuple(reversed(out))
 
@@ -86,10 +90,9 @@ class Codec:
         all_ids, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
         for _, _, data, offsets in words.pieces(pretokens.spaced(column)):
             starts, ends, first = pretokens.find(data, offsets)
-            _, at, back = np.unique(words.hash_spans(data, starts, ends), return_index=True, return_inverse=True)
-            raw, cache, found = data.tobytes(), self.cache, []
-            for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True):
-                key = raw[s:e]
+            back, each = words.distinct(data, starts, ends)
+            cache, found = self.cache, []
+            for key in each.to_pylist():
                 ids = cache.get(key)
                 if ids is None:
                     ids = cache[key] = self.segment(key.decode("utf-8", "replace").replace(" ", pretokens.SPACE))
@@ -101,7 +104,7 @@ class Codec:
             each = lengths[back]
             empty = np.flatnonzero(np.diff(offsets) == 1)  # a text of no characters has no tokens
             each[first[:-1][empty]] = 0
-            all_ids.append(flat[ragged((np.cumsum(lengths) - lengths)[back], each)])
+            all_ids.append(flat[words.ragged((np.cumsum(lengths) - lengths)[back], each)])
             total = np.concatenate(([0], np.cumsum(each)))
             sizes.append(total[first[1:]] - total[first[:-1]])
         return np.concatenate(all_ids), np.cumsum(np.concatenate(sizes))
@@ -109,19 +112,13 @@ class Codec:
     def decode_batch(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 bytes of all texts end to end, and where each text's begin (one entry more)."""
         each = self.sizes[ids]
-        data = self.raw[ragged(self.starts[ids], each)]
+        data = self.raw[words.ragged(self.starts[ids], each)]
         total = np.concatenate(([0], np.cumsum(each)))[offsets]
         front = total[:-1][np.diff(total) > 0]  # the space that encoding puts in front
         data = np.delete(data, front)
         return data, np.concatenate(([0], np.cumsum(np.maximum(np.diff(total) - 1, 0))))
 
 
-def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Indices start, start + 1, ... of each span, end to end."""
-    ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
-
-
 def codec(model_file: str) -> Codec:
     if model_file not in _state:
         _state[model_file] = Codec(model_file)
@@ -131,9 +128,10 @@ def codec(model_file: str) -> Codec:
 def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids array<int>, n_tokens long, round_trip boolean.
 
-    round_trip: whether decoding the ids gives the text back (in which the model's space sign
-    counts as a space). Null and empty texts have no ids and do. Ids of rows are passed on, null
-    and repeated ones too; other columns are not read.
+    round_trip: whether decoding the ids gives the text back, byte by byte. A text with the model's
+    space sign (U+2581) isn't given back, for it is read as a space, nor is one with a character that
+    a model without byte pieces doesn't cover. Null and empty texts have no ids and are given back
+    as ''. Ids of rows are passed on, null and repeated ones too; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,10 +141,8 @@ def encode(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: s
                 part = batch.slice(low, 512)
                 ids, offsets = own.encode_batch(part.column(1))
                 data, at = own.decode_batch(ids, offsets)
-                texts = pretokens.spaced(part.column(1))
-                whole = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] else np.zeros(0, np.uint8)
-                begins = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-                same = [bool(np.array_equal(data[a:b], whole[c + 1 : d])) for a, b, c, d in zip(at, at[1:], begins, begins[1:], strict=False)]
+                whole, begins = words.buffers(pc.fill_null(part.column(1).cast(pa.large_string()), ""))
+                same = [bool(np.array_equal(data[a:b], whole[c:d])) for a, b, c, d in zip(at, at[1:], begins, begins[1:], strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(offsets), pa.int64()), pa.array(same, pa.bool_())], ["doc_id", "ids", "n_tokens", "round_trip"])
 

@@ -23,13 +23,10 @@ BITS, PREFIXES, PER_GRADE = 20, (4, 5, 6), 3000
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, feature) of all tokens and prefixes, not yet distinct."""
     starts, ends, first, plain = words.tokens(data, offsets)
-    own, out, at = words.owners(first), [], []
-    wide = words.hash_spans(plain, starts, ends)
-    out.append(wide)
-    at.append(own)
+    own, out, at = words.owners(first), [words.hashes(plain, starts, ends)], [words.owners(first)]
     for n in PREFIXES:
         long = np.flatnonzero(ends - starts > n)
-        out.append(words.mix(words.hash_spans(plain, starts[long], starts[long] + n) ^ np.uint64(n)))
+        out.append(words.hashes(plain, starts[long], starts[long] + n, n))
         at.append(own[long])
     return np.concatenate(at), (np.concatenate(out) >> np.uint64(64 - BITS)).astype(np.int64)
 

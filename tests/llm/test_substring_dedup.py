@@ -4,8 +4,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from mereling.llm import substring_dedup as S
+from mereling.llm import words as W
 from tests.llm.conftest import make, words
 
 
@@ -50,28 +52,69 @@ def test_against_brute_force(spark):
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()} == {x[0]: x[3] for x in brute(rows)}
 
 
-def test_copies_of_a_hot_text_give_each_place_once(spark):
+def test_copies_of_a_hot_text(spark):
     text = words(5, 300)
     rows = [(None, text)] * 60 + [(1, text)] * 30 + [(i, words(10 + i, 50)) for i in range(2, 6)]
-    df = make(spark, rows).repartition(6)
-    assert got(df) == brute(rows)
-    places = S.covered_words(df).where("places is not null").select("places").collect()
-    # runs of places that several copies share; the copy that a batch meets first gives single ones
-    assert len(places) == 90 and max(len(r.places) for r in places) <= 300
+    assert got(make(spark, rows).repartition(6)) == brute(rows)
+
+
+def thue_morse(n):
+    x = "a"
+    while len(x) < n:
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x, x.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_sums_of_powers_confuse(spark):
+    for n in (1024, 2048, 4096):
+        one, other = thue_morse(n)
+        rows = [(1, f"{words(1, 40)} {one}"), (2, f"{words(1, 40)} {other}")]
+        assert [r[2] for r in got(make(spark, rows))] == [40, 40]
+        assert got(make(spark, rows)) == brute(rows)
 
 
-def test_phrases_of_equal_characters_are_both_found():
-    from mereling.llm import words as W
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("x", words(1, 50)), ("y", words(1, 50)), (None, words(2, 50))], "doc_id string, text string")
+    assert sorted((r.doc_id or "", r.n_removed) for r in S.remove_repeats(df).collect()) == [("", 0), ("x", 50), ("y", 50)]
 
-    a = np.arange(1, 9, dtype=np.uint64)
-    b = a.copy()
-    b[3] += np.uint64(1_000_000)  # another word, the same character
-    tokens = np.concatenate([a, b, b, a])
-    at = np.arange(len(tokens) - S.K + 1)
-    hashes = W.hash_runs(tokens, at, at + S.K)
-    assert S._text_of(a) == S._text_of(b) and hashes[0] != hashes[8]
-    assert sorted(S.occurrences(tokens, np.array([0, 32]), hashes, np.array([0, 8])).tolist()) == [0, 8, 16, 24]
-    assert sorted(S.occurrences(tokens, np.array([0, 32]), hashes, np.array([0])).tolist()) == [0, 24]
+
+def _run(rows, phrases):
+    """_windows on one pack that was sent `phrases`: the places of its confirmed or counted windows."""
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+    (pack,) = S._packed(iter([batch]))
+    sent = pa.RecordBatch.from_arrays([pack.column(0), pack.column(1), pa.array([phrases], pa.list_(pa.binary()))], ["pack", "data", "sent"])
+    places = set()
+    for out in S._windows(iter([sent])):
+        for runs in out.column("runs").to_pylist():
+            for at, n in np.frombuffer(runs, np.int32).reshape(-1, 2).tolist():
+                places |= set(range(at, at + n))
+    return places, pack
+
+
+def test_only_the_automaton_says_where_windows_recur(spark, monkeypatch):
+    rows = cases()
+    df = make(spark, rows)
+    small = [(1, words(1, 60) + " " + words(2, 40)), (2, words(3, 20) + " " + words(1, 60))]
+    _, pack = _run(small, [])
+    (sent,) = S._phrases(iter([pack]))
+    all_of_them = [S.DONE + h.to_bytes(8, "big", signed=True) + p for p, h in zip(sent.column("phrase").to_pylist(), sent.column("passage").to_pylist(), strict=True)]
+    every, _ = _run(small, all_of_them)
+    n = [len(t.split()) for _, t in small]
+    assert every == set(range(n[0] - 34)) | set(range(n[0], n[0] + n[1] - 34))
+    nothing, _ = _run(small, [])
+    assert nothing == set()
+    some, _ = _run(small, all_of_them[:1])
+    assert some and some < every
+    # a phrase sent by another pack is found here wherever it stands, at all of its places
+    twice, _ = _run([(1, words(7, 30) + " " + words(1, 60)), (2, words(1, 60))], all_of_them)
+    assert {90, 30} <= twice
+    # with an automaton that finds nothing, nothing is removed
+    assert any(r[2] for r in got(df))
+    packs = S._packed(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([words(1, 60)])], ["id", "text"])]))
+    monkeypatch.setattr(S.Phrases, "occurrences", lambda self, *a: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    batch = next(packs)
+    out = list(S._windows(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([all_of_them], pa.list_(pa.binary()))], ["pack", "data", "phrases"])])))
+    assert sum(o.num_rows for o in out) == 0
 
 
 def test_edges(edge, edge_rows, empty):
@@ -82,17 +125,30 @@ def test_edges(edge, edge_rows, empty):
 def test_equal_windows_have_equal_seeds():
     r = np.random.default_rng(0)
     tokens = np.concatenate([r.integers(0, 2**63, 50, dtype=np.uint64), (p := r.integers(0, 2**63, 60, dtype=np.uint64)), r.integers(0, 2**63, 9, dtype=np.uint64), p])
-    starts, place, _ = S.seeds(tokens, np.array([0, len(tokens)]))
+    starts, place = S.seeds(tokens, np.array([0, len(tokens)]))
     assert len(starts) == len(tokens) - S.W + 1
     assert (place[50:76] - starts[50:76] == place[119:145] - starts[119:145]).all()
 
 
 def test_automaton_finds_every_occurrence():
-    tokens = np.array([1, 2, 3, 4, 5, 6, 7, 8, 9, 1, 2, 3, 4, 5, 6, 7, 8, 8] * 3, np.uint64)
-    first = np.array([0, 18, 54])
-    from mereling.llm import words as W
-
-    at = np.arange(len(tokens) - S.K + 1)
-    hashes = W.hash_runs(tokens, at, at + S.K)
-    found = S.occurrences(tokens, first, hashes, np.array([0]))
-    assert sorted(found.tolist()) == [0, 9, 18, 27, 36, 45]
+    texts = ["a b c d e f g h i a b c d e f g h h", "x a b c d e f g", "h a b c d e f g h a b c d e f g h"]
+    raw = np.frombuffer("".join(t + "\n" for t in texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t) + 1 for t in texts])
+    starts, ends, first = W.split(raw, offsets)
+    for base in (S._DIGIT, 4):  # one digit a word, then two
+        S._DIGIT, before = base, S._DIGIT
+        try:
+            at, values = S.Phrases([b"h a b c d e f g", b"a b c d e f g h"]).occurrences(raw, starts, ends, first)
+        finally:
+            S._DIGIT = before
+        assert sorted(zip(at.tolist(), values.tolist(), strict=True)) == [(0, 1), (9, 1), (26, 0), (27, 1), (34, 0), (35, 1)]
+
+
+def test_a_run_of_more_places_than_24_bits_can_count():
+    runs = np.array([[5, (1 << 24) + 3]], np.int64)
+    n = (1 << 24) + 100
+    raw = np.full(2 * n, 0x20, np.uint8)
+    raw[::2] = 0x61
+    starts = np.arange(n) * 2
+    ((total, removed, kept),) = S._kept(raw, starts, starts + 1, np.array([0, n]), runs)
+    assert (total, removed, len(kept)) == (n, (1 << 24) + 3 + 34, 2 * (n - (1 << 24) - 37) - 1)
