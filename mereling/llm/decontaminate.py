@@ -10,7 +10,8 @@ item can match once at most, so they can't reach it.
 A long item leaks in parts too. With `passage`, an item also matches where an alignment of its own
 length reaches the score of so many matched tokens, each edit costing EDIT: at least two thirds of
 such an alignment match, and it has at least passage - N + 1 hits of seeds, so other places are
-left out without loss.
+left out without loss. An item of fewer than N tokens has no seed and matches only as a whole: where
+its tokens occur one after the other.
 
 The benchmark is broadcast in blocks of at most BLOCK tokens; a larger one makes more passes
 over the corpus. Texts themselves are never shuffled.
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mereling.llm import words
 
@@ -61,6 +63,7 @@ class Block:
     first: np.ndarray  # first token of each item in `places`, and the end
     vocabulary: np.ndarray  # all distinct tokens, in order
     places: np.ndarray  # of all items' tokens in the vocabulary
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of tokens: hashes of items without a seed, in order, and the items
 
 
 def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -70,7 +73,7 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", n: int = N, block: int = BLOCK) -> Iterator[Block]:
-    """The benchmark in blocks of at most `block` tokens (one item at least). Items of fewer than n tokens match nothing.
+    """The benchmark in blocks of at most `block` tokens (one item at least), without items that have no token.
 
     Neither `docs` nor `text_col` is read: seeds don't depend on the corpus.
     """
@@ -78,7 +81,7 @@ def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_tex
     for row in items.select(item_id, item_text).toLocalIterator():
         got = [t for _, _, t, _ in _tokens(pa.array([row[1]], pa.string()))]
         own = got[0] if got else np.zeros(0, np.uint64)
-        if len(own) < n:
+        if not len(own):
             continue
         if ids and size + len(own) > block:
             yield _block(ids, tokens, n)
@@ -93,16 +96,20 @@ def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_tex
 def _block(ids: list, tokens: list[np.ndarray], n: int) -> Block:
     sizes = np.array([len(own) for own in tokens])
     first = np.append(0, np.cumsum(sizes))
-    seeds, item, offset = [], [], []
+    seeds, item, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    few: dict[int, list[tuple[int, int]]] = {}
     for k, own in enumerate(tokens):
+        if len(own) < n:
+            few.setdefault(len(own), []).append((int(words.runs(own, len(own))[0]), k))
+            continue
         seeds.append(words.runs(own, n))
-        at = np.arange(len(seeds[-1]))
-        item.append(np.full(len(at), k))
-        offset.append(at)
+        item.append(np.full(len(seeds[-1]), k))
+        offset.append(np.arange(len(seeds[-1])))
     seeds, item, offset = map(np.concatenate, (seeds, item, offset))
     order = np.argsort(seeds, kind="stable")
     vocabulary, places = np.unique(np.concatenate(tokens), return_inverse=True)
-    return Block(ids, tokens, seeds[order], item[order], offset[order], first, vocabulary, places)
+    short = {m: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([k for _, k in sorted(x)])) for m, x in few.items()}
+    return Block(ids, tokens, seeds[order], item[order], offset[order], first, vocabulary, places, short)
 
 
 def _places(block: Block, tokens: np.ndarray) -> np.ndarray:
@@ -136,6 +143,7 @@ def _parts(size: np.ndarray) -> Iterator[slice]:
 def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE, passage: int | None = None) -> Iterator[tuple[int, int, float, int]]:
     """(row, item of the block, score, end token) of each text and item that reach `least` or have a passage; the best place of each pair."""
     for i, _, tokens, first in _tokens(column):
+        yield from ((i + t, k, 1.0, e) for (t, k), e in sorted(_whole(block, tokens, first).items()))
         at, hashes = words.grams(tokens, first, n)
         low = np.searchsorted(block.seeds, hashes)
         low[low == len(block.seeds)] = 0
@@ -154,6 +162,20 @@ def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE, pas
         yield from ((i + t, k, s, e) for (t, k), (s, e) in sorted(best.items()))
 
 
+def _whole(block: Block, tokens: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], int]:
+    """(text, item) -> end of its first place, for items that are too short to have a seed."""
+    out: dict[tuple[int, int], int] = {}
+    for m, (known, items) in block.short.items():
+        at, hashes = words.grams(tokens, first, m)
+        low, high = np.searchsorted(known, hashes), np.searchsorted(known, hashes, "right")
+        hit = np.flatnonzero(high > low)
+        text = np.searchsorted(first, at[hit], "right") - 1
+        for t, h, p in zip(text.tolist(), hit.tolist(), at[hit].tolist(), strict=True):
+            for k in items[low[h] : high[h]].tolist():
+                out.setdefault((t, k), p + m - int(first[t]))
+    return out
+
+
 def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndarray, known: np.ndarray, at: np.ndarray, low: np.ndarray, size: np.ndarray, least: float, passage: int | None, cut: list, best: dict) -> None:
     """Align around hits: token `at` of the texts begins the `size` seeds from `low` on; texts of `cut` have more hits than these."""
     seed = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -199,10 +221,12 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """One row per text and item that reach `least`, or have a passage of `passage` tokens (None: whole items only): doc_id, item_id, score (share of the item's score
     with itself), end_token (token of the text after the best alignment).
 
-    Null texts and items match nothing; null ids are carried as they are; repeated rows give
-    repeated matches; equal scores keep the first place. Other columns are not read.
+    Null texts, and items that are null or have no token, match nothing; items of fewer than N tokens
+    match as a whole, with score 1. Ids may be of any type; null ones are carried as they are; repeated
+    rows give repeated matches; equal scores keep the first place. Other columns are not read.
     """
     kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, score double, end_token long"
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     out = docs.sparkSession.createDataFrame([], kinds)
     for block in blocks(docs, items, item_id, item_text, text_col):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK tokens, or one item
@@ -211,7 +235,6 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             for batch in batches:
                 found = list(search(shared.value, batch.column(1), least=least, passage=passage))
                 rows = pa.array([f[0] for f in found], pa.int64())
-                item_type = pa.array(shared.value.ids).type
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(rows), pa.array([shared.value.ids[f[1]] for f in found], item_type), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.int64())],
                     ["doc_id", "item_id", "score", "end_token"])

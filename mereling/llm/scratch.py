@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder; a temporary one of our own where the session names none (tests)."""
+    """The shared folder. Where the session names none, a temporary one in local mode (tests), else an error:
+    on a cluster each executor would write to a disk of its own."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="mereling-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/") + "/mereling-" + spark.sparkContext.applicationId

@@ -4,7 +4,7 @@ A text's features are its distinct lower-case tokens and their first bytes, hash
 vector is shared by all thresholds: P(grade <= k) = sigmoid(threshold_k - sum of weights), with
 ordered thresholds, and the expected severity is the sum of P(grade > k). The weights have an
 L1 penalty, so few are not zero. The model is fitted on a bounded sample of labelled rows, at
-most PER_GRADE of each grade, weighted back to the grades' shares; scoring reads every row.
+most PER_GRADE of each grade and PER_TEXT features of a text, weighted back to the grades' shares; scoring reads every row.
 """
 
 from collections.abc import Iterator
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from mereling.llm import words
 
 BITS, PREFIXES, PER_GRADE = 20, (4, 5, 6), 3000
+#: Of a text of the sample, at most so many features, spread over them by hash, are used to fit; scoring uses all.
+PER_TEXT = 4096
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,17 +92,26 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = np.unique((text << BITS) | feature)
             cuts = np.searchsorted(both >> BITS, np.arange(j - i + 1))
             both = (both & ((1 << BITS) - 1)).astype(np.int32)
-            lists += [both[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+            lists += [_some(both[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([grades, pa.array(lists, pa.list_(pa.int32()))], ["grade", "features"])
 
 
+def _some(features: np.ndarray) -> np.ndarray:
+    """The PER_TEXT features of least hash, so that texts keep the same ones."""
+    if len(features) <= PER_TEXT:
+        return features
+    return np.sort(features[np.argpartition(words.mix(features.astype(np.uint64) + np.uint64(1)), PER_TEXT)[:PER_TEXT]])
+
+
 def train(docs: DataFrame, graded: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
     """A model from `graded` (doc_id, grade 0 .. n_grades - 1) and the texts of at most `per_grade` rows of each grade.
 
-    The sample of a grade is its rows with the smallest hash of the id. Null ids, grades and
-    texts are left out. Without any labelled row the model gives severity near 0.
+    The sample of a grade is its rows with the smallest hash of the id, so what reaches the driver is
+    bounded by n_grades * per_grade * PER_TEXT features. Null ids, grades and texts and grades outside
+    0 .. n_grades - 1 are left out; an id that is labelled more than once has its highest grade.
+    Documents that share an id all count. Without any labelled row the model gives severity near 0.
     """
-    graded = graded.where("doc_id is not null and grade is not null")
+    graded = graded.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.max("grade").alias("grade"))
     shares = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per grade
     parts = [graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in sorted(shares)]
     if not parts:
