@@ -36,6 +36,8 @@ _PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
 }
+_SCORES = {"email": (70, "mail|contact", 30), "ip": (50, "ip|address|host", 40), "card": (80, "card|visa|credit", 20), "phone": (60, "phone|tel|call", 30), "iban": (80, "iban|account|bank", 20), "ssn": (40, "ssn|social security|tax id", 40)}
+_SCORE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n} + CASE WHEN regexp_matches(around, '{w}') THEN {m} ELSE 0 END" for k, (n, w, m) in _SCORES.items()) + " END"
 _KINDS = " UNION ALL ".join(f"SELECT doc_id, t, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS bs FROM d" for i, (k, p) in enumerate(_PATTERNS.items()))
 ORACLE_SQL["op10_pii"] = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS ({_KINDS}),
@@ -52,8 +54,8 @@ v AS (SELECT * FROM g WHERE CASE kind
     list_reduce(list_transform(string_split(array_to_string(ns, ''), ''), lambda c: CAST(c AS BIGINT)), lambda x, y: (x * 10 + y) % 97) = 1
   ELSE NOT regexp_matches(prior, '[0-9-]') AND NOT regexp_matches(next, '[0-9-]') AND NOT regexp_matches(s, '^(000|666|9)|-00-|-0000$') AND regexp_matches(around, 'ssn|social security|tax id') END),
 w AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'email') AS n_email, count(*) FILTER (WHERE kind = 'ip') AS n_ip, count(*) FILTER (WHERE kind = 'card') AS n_card, count(*) FILTER (WHERE kind = 'phone') AS n_phone,
-      string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) FILTER (WHERE o < 4) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) AS spans FROM v GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+      string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) FILTER (WHERE o < 4) AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY o, a) AS spans, string_agg({_SCORE}, ',' ORDER BY o, a) AS scores FROM v GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM d LEFT JOIN w ON d.doc_id = w.doc_id
 """
 

@@ -71,7 +71,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = [F.col(k.name) for k in pii.KINDS]
     return found.select(
         "doc_id", *(F.size(k.name).cast("long").alias(f"n_{k.name}") for k in pii.KINDS if k.base),
-        F.sha2(pii.spans_text(*base), 256).alias("base_sha256"), pii.spans_text(*every).alias("spans"))
+        F.sha2(pii.spans_text(*base), 256).alias("base_sha256"), pii.spans_text(*every).alias("spans"), pii.scores_text(*every).alias("scores"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
