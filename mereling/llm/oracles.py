@@ -60,8 +60,8 @@ FROM d LEFT JOIN w ON d.doc_id = w.doc_id
 """
 
 
-def _url_tree(levels: int = 3, pages: int = 20, z: float = 2.58, prior: float = 10.0) -> str:
-    """The template tree: a step per level, as in `url_filter`."""
+def _url_tree(levels: int = 8, pages: int = 20, z: float = 2.58, prior: float = 10.0) -> str:
+    """The template tree: a step per level, as in `url_filter`, for as many levels as the tables' mixed branches have."""
     steps = ["""p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages)""",
              "votes AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id)",
@@ -71,10 +71,13 @@ def _url_tree(levels: int = 3, pages: int = 20, z: float = 2.58, prior: float =
         steps += [
             f"w{i} AS (SELECT host, tpl, sum(l) AS pl, sum(b) AS pb FROM r{i - 1} WHERE len(segs) >= {i} GROUP BY host, tpl)",
             f"e{i} AS (SELECT host, tpl, segs[{i}] AS seg, sum(l) AS l, sum(b) AS b FROM r{i - 1} WHERE len(segs) >= {i} GROUP BY host, tpl, segs[{i}] HAVING count(*) >= {pages})",
-            f"g{i} AS (SELECT host, tpl, seg, (b / nullif(l, 0)::DOUBLE) - ((pb - b) / nullif(pl - l, 0)::DOUBLE) AS gap, pb / nullif(pl, 0)::DOUBLE AS share, 1 / nullif(l, 0)::DOUBLE + 1 / nullif(pl - l, 0)::DOUBLE AS inv FROM e{i} JOIN w{i} USING (host, tpl))",
-            f"k{i} AS (SELECT host, tpl, seg FROM g{i} WHERE gap * gap > {z}::DOUBLE * {z}::DOUBLE * (share * (1 - share) * inv))",
-            f"""r{i} AS (SELECT page_id, host, path, segs, CASE WHEN len(segs) < {i} THEN r.tpl ELSE r.tpl || '/' || CASE WHEN k.seg IS NULL THEN '*' ELSE k.seg END END AS tpl, l, b
-  FROM r{i - 1} r LEFT JOIN (SELECT host AS kh, tpl AS kt, seg FROM k{i}) k ON r.host = k.kh AND r.tpl = k.kt AND len(segs) >= {i} AND segs[{i}] = k.seg)""",
+            f"g{i} AS (SELECT host, tpl, seg, l, b, (b / nullif(l, 0)::DOUBLE) - ((pb - b) / nullif(pl - l, 0)::DOUBLE) AS gap, pb / nullif(pl, 0)::DOUBLE AS share, 1 / nullif(l, 0)::DOUBLE + 1 / nullif(pl - l, 0)::DOUBLE AS inv FROM e{i} JOIN w{i} USING (host, tpl))",
+            f"a{i} AS (SELECT host, tpl, seg, l, b, CASE WHEN gap > 0 THEN '#bad' ELSE '#good' END AS side FROM g{i} WHERE gap * gap > {z}::DOUBLE * {z}::DOUBLE * (share * (1 - share) * inv))",
+            f"s{i} AS (SELECT host, tpl, side, sum(l)::DOUBLE AS sl, sum(b)::DOUBLE AS sb, sum(b) / sum(l)::DOUBLE AS pool, count(*) AS n FROM a{i} GROUP BY host, tpl, side)",
+            f"""k{i} AS (SELECT host, tpl, seg, CASE WHEN n > 1 AND (b / l::DOUBLE - pool) * (b / l::DOUBLE - pool) <= {z}::DOUBLE * {z}::DOUBLE * (pool * (1 - pool) * (1 / l::DOUBLE + 1 / sl)) THEN side ELSE seg END AS lit
+  FROM a{i} JOIN s{i} USING (host, tpl, side))""",
+            f"""r{i} AS (SELECT page_id, host, path, segs, CASE WHEN len(segs) < {i} THEN r.tpl ELSE r.tpl || '/' || coalesce(k.lit, '*') END AS tpl, l, b
+  FROM r{i - 1} r LEFT JOIN (SELECT host AS kh, tpl AS kt, seg, lit FROM k{i}) k ON r.host = k.kh AND r.tpl = k.kt AND len(segs) >= {i} AND segs[{i}] = k.seg)""",
         ]
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     fits = lambda h, p: f"(d.host = '{h}' OR ends_with(d.host, '.{h}')) AND starts_with(d.path, '{p}')"
@@ -82,7 +85,7 @@ def _url_tree(levels: int = 3, pages: int = 20, z: float = 2.58, prior: float =
     rule = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h + p}'" for _, h, p in ordered) + " END"
     verdict = "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{v}'" for v, h, p in ordered)
     steps += [
-        f"done AS (SELECT page_id, host, path, CASE WHEN len(segs) > {levels} THEN tpl || '/**' ELSE tpl END AS tpl, l, b FROM r{levels})",
+        f"done AS (SELECT page_id, host, path, tpl || repeat('/*', greatest(len(segs) - {levels}, 0)) AS tpl, l, b FROM r{levels})",
         "t AS (SELECT host, tpl, sum(l) AS l, sum(b) AS b FROM done GROUP BY host, tpl)", "h AS (SELECT host, sum(l) AS hl, sum(b) AS hb FROM t GROUP BY host)",
         "a AS (SELECT coalesce(sum(b) / nullif(sum(l), 0)::DOUBLE, 0) AS g FROM t)",
         f"j AS (SELECT host, tpl, (b + {prior}::DOUBLE * ((hb + {prior}::DOUBLE * g) / (hl + {prior}::DOUBLE))) / (l + {prior}::DOUBLE) AS share FROM t JOIN h USING (host), a)",

@@ -1,11 +1,13 @@
 """URL filters: hand-made rules first, else a tree of path templates learnt per host.
 
 The tree is built level by level with DataFrame operations. At each level a path segment stays
-literal if it is frequent and its labelled purity differs from that of its siblings; all other
-segments, variable ones and statistically similar branches alike, merge into the wildcard `*`.
-Segments below the last level become `**`. A template is rejected by the smoothed share of bad
-pages among its labelled ones. Only the literal segments of a level, each with a minimum of
-pages, are kept between levels; page rows are never collected or grouped whole.
+literal if it is frequent and its labelled purity differs from that of its siblings; all others,
+variable ones, merge into the wildcard `*`. Of the literal ones, those that are worse than their
+siblings merge into one branch, `#bad`, if their shares don't differ from that of all of them, and
+those that are better into `#good`. (A path holds no `#`.) The levels end where no branch has both
+good and bad pages in sufficient number, for then none below can differ. A template is rejected by
+the smoothed share of bad pages among its labelled ones. Only the literal segments of a level, each
+with a minimum of pages, are kept between levels; page rows are never collected or grouped whole.
 """
 
 from dataclasses import dataclass
@@ -18,7 +20,6 @@ from mereling.llm import scratch
 
 @dataclass(frozen=True)
 class Settings:
-    levels: int = 3
     min_pages: int = 20  # a literal segment has at least so many pages under its parent
     z: float = 2.58  # and so many standard errors between its bad share and its siblings'
     prior: float = 10.0  # pages' worth of the host's (and for hosts, of all pages') bad share
@@ -42,16 +43,32 @@ def match_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def _walk(rows: DataFrame, literals: list[DataFrame]) -> DataFrame:
-    """`rows` with their template so far, one joined table of literal segments per level."""
+def _walk(rows: DataFrame, literals: list[DataFrame | None]) -> DataFrame:
+    """`rows` with their template so far: per level, a join with its literal segments if it has any."""
     for i, known in enumerate(literals):
-        seg = F.try_element_at("_segs", F.lit(i + 1))
-        rows = rows.withColumn("_seg", seg).join(known, ["_host", "_tpl", "_seg"], "left")
-        rows = rows.withColumn("_tpl", F.when(F.col("_seg").isNull(), F.col("_tpl")).otherwise(
-            F.concat("_tpl", F.lit("/"), F.when(F.col("_lit").isNull(), "*").otherwise(F.col("_seg"))))).drop("_seg", "_lit")
+        rows = rows.withColumn("_seg", F.try_element_at("_segs", F.lit(i + 1)))
+        rows = rows.join(known, ["_host", "_tpl", "_seg"], "left") if known is not None else rows.withColumn("_lit", F.lit("*"))
+        rows = rows.withColumn("_tpl", F.when(F.col("_seg").isNull(), F.col("_tpl")).otherwise(F.concat("_tpl", F.lit("/"), F.coalesce("_lit", F.lit("*"))))).drop("_seg", "_lit")
     return rows
 
 
+def _literals(at: DataFrame, whole: DataFrame, settings: Settings) -> DataFrame:
+    """The segments of a level that don't become `*`, and what they become: themselves, `#bad` or `#good`."""
+    each = at.groupBy("_host", "_tpl", "_seg").agg(F.count(F.lit(1)).alias("n"), F.sum("_l").alias("l"), F.sum("_b").alias("b"))
+    both = each.where(F.col("n") >= settings.min_pages).join(whole, ["_host", "_tpl"])
+    some = lambda c: F.when(c > 0, c)
+    l, rest_l, rest_b = some(F.col("l")), some(F.col("pl") - F.col("l")), F.col("pb") - F.col("b")
+    share, z2 = F.col("pb") / some(F.col("pl")), settings.z * settings.z
+    gap = F.col("b") / l - rest_b / rest_l
+    apart = both.withColumn("gap", gap).where(gap * gap > z2 * (share * (1 - share) * (1 / l + 1 / rest_l)))
+    apart = apart.select("_host", "_tpl", "_seg", "l", "b", F.when(F.col("gap") > 0, "#bad").otherwise("#good").alias("side"))
+    sides = apart.groupBy("_host", "_tpl", "side").agg(F.sum("l").alias("sl"), F.sum("b").alias("sb"), F.count(F.lit(1)).alias("k"))
+    pool = F.col("sb") / F.col("sl")
+    off = F.col("b") / F.col("l") - pool
+    alike = (F.col("k") > 1) & (off * off <= z2 * (pool * (1 - pool) * (1 / F.col("l") + 1 / F.col("sl"))))
+    return apart.join(sides, ["_host", "_tpl", "side"]).select("_host", "_tpl", "_seg", F.when(alike, F.col("side")).otherwise(F.col("_seg")).alias("_lit"))
+
+
 def templates(pages: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: page_id, host, path, template, bad_share (smoothed, of its template).
 
@@ -65,19 +82,17 @@ def templates(pages: DataFrame, labels: DataFrame, settings: Settings = Settings
     rows = scratch.keep(rows, "url-rows")
     walked = rows.withColumn("_segs", F.when(F.col("_path") == "", F.array().cast("array<string>")).otherwise(
         F.split(F.regexp_replace("_path", "^/", ""), "/", -1))).withColumn("_tpl", F.lit(""))
-    literals: list[DataFrame] = []
-    for i in range(settings.levels):
-        at = _walk(walked, literals).withColumn("_seg", F.try_element_at("_segs", F.lit(i + 1))).where("_seg is not null")
-        each = at.groupBy("_host", "_tpl", "_seg").agg(F.count(F.lit(1)).alias("n"), F.sum("_l").alias("l"), F.sum("_b").alias("b"))
-        each = scratch.keep(each.where(F.col("n") >= settings.min_pages), "url-segments")
-        whole = at.groupBy("_host", "_tpl").agg(F.sum("_l").alias("pl"), F.sum("_b").alias("pb"))
-        both = each.join(whole, ["_host", "_tpl"])
-        rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
-        share = F.col("pb") / F.when(F.col("pl") > 0, F.col("pl"))
-        gap = F.col("b") / F.when(F.col("l") > 0, F.col("l")) - rest_b / F.when(rest_l > 0, rest_l)
-        error2 = share * (1 - share) * (1 / F.when(F.col("l") > 0, F.col("l")) + 1 / F.when(rest_l > 0, rest_l))
-        literals.append(scratch.keep(both.where(gap * gap > settings.z * settings.z * error2).select("_host", "_tpl", "_seg", F.lit(True).alias("_lit")), "url-literals"))
-    done = _walk(walked, literals).withColumn("_tpl", F.when(F.size("_segs") > settings.levels, F.concat("_tpl", F.lit("/**"))).otherwise(F.col("_tpl")))
+    literals: list[DataFrame | None] = []
+    while True:  # as many levels as there are mixed branches
+        at = _walk(walked, literals).withColumn("_seg", F.try_element_at("_segs", F.lit(len(literals) + 1))).where("_seg is not null")
+        whole = at.groupBy("_host", "_tpl").agg(F.count(F.lit(1)).alias("n"), F.sum("_l").alias("pl"), F.sum("_b").alias("pb"))
+        whole = scratch.keep(whole.where((F.col("n") >= settings.min_pages) & (F.col("pb") > 0) & (F.col("pb") < F.col("pl"))).drop("n"), "url-branches")
+        if whole.isEmpty():
+            break
+        found = scratch.keep(_literals(at, whole, settings), "url-literals")
+        literals.append(None if found.isEmpty() else found)
+    rest = F.repeat(F.lit("/*"), F.greatest(F.size("_segs") - len(literals), F.lit(0)))
+    done = _walk(walked, literals).withColumn("_tpl", F.concat("_tpl", rest))
     shares = scratch.keep(done.groupBy("_host", "_tpl").agg(F.sum("_l").alias("l"), F.sum("_b").alias("b")), "url-templates")
     hosts = shares.groupBy("_host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
     total = shares.agg(F.coalesce(F.sum("b") / F.when(F.sum("l") > 0, F.sum("l")), F.lit(0.0)).alias("g"))

@@ -19,7 +19,7 @@ def brute(pages, labels, s=U.Settings()):
         m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (m[1].translate({c: c + 32 for c in range(65, 91)}), m[2]) if m else ("", "")
         rows.append([i, host, path, ([] if path == "" else re.sub("^/", "", path).split("/")), "", int(i in votes), int(votes.get(i, False))])
-    for lvl in range(s.levels):
+    for lvl in range(max((len(r[3]) for r in rows), default=0)):
         each, whole = defaultdict(lambda: [0, 0, 0]), defaultdict(lambda: [0, 0])
         for r in rows:
             if len(r[3]) > lvl:
@@ -29,21 +29,26 @@ def brute(pages, labels, s=U.Settings()):
                 e[2] += r[6]
                 w[0] += r[5]
                 w[1] += r[6]
-        lit = set()
+        lit, sides = {}, defaultdict(lambda: [0, 0, 0])
         for key, (n, l, b) in each.items():
             pl, pb = whole[key[:2]]
             rl, rb = pl - l, pb - b
             if n >= s.min_pages and l and rl:
                 p, gap = pb / pl, b / l - rb / rl
                 if gap * gap > s.z * s.z * (p * (1 - p) * (1 / l + 1 / rl)):
-                    lit.add(key)
+                    lit[key] = "#bad" if gap > 0 else "#good"
+                    for k, x in enumerate((l, b, 1)):
+                        sides[*key[:2], lit[key]][k] += x
+        for key, side in lit.items():
+            (_, l, b), (sl, sb, k) = each[key], sides[*key[:2], side]
+            p = sb / sl
+            if not (k > 1 and (b / l - p) ** 2 <= s.z * s.z * (p * (1 - p) * (1 / l + 1 / sl))):
+                lit[key] = key[2]
         for r in rows:
             if len(r[3]) > lvl:
-                r[4] += "/" + (r[3][lvl] if (r[1], r[4], r[3][lvl]) in lit else "*")
+                r[4] += "/" + lit.get((r[1], r[4], r[3][lvl]), "*")
     t, h, g = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [0, 0]
     for r in rows:
-        if len(r[3]) > s.levels:
-            r[4] += "/**"
         for x in (t[r[1], r[4]], h[r[1]], g):
             x[0] += r[5]
             x[1] += r[6]
@@ -72,7 +77,25 @@ def test_against_brute_force(spark):
     got = U.judge(spark.createDataFrame([(i, u, "n", "t") for i, u in pages], "page_id long, url string, host string, _tpl string"), spark.createDataFrame(labels, "page_id long, bad boolean"), RULES)
     rows = sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "template").collect()), key=repr)
     assert rows == brute(pages, labels)
-    assert any(x[5].startswith("/spam") and x[4] == "block" for x in rows) and any(x[4] == "allow" and x[3] is None for x in rows)
+    assert any(x[5].startswith(("/spam", "/#bad")) and x[4] == "block" for x in rows) and any(x[4] == "allow" and x[3] is None for x in rows)
+
+
+def test_deep_branches_and_similar_ones(spark):
+    r = random.Random(6)
+    pages, labels = [], []
+    for i in range(3000):
+        section = ["casino", "pills", "news", "sport", "blog", "shop"][i % 6]
+        bad = r.random() < (0.97 if i % 6 < 2 else 0.03)
+        depth = i // 6 % 3
+        pages.append((i, f"http://x.net/{r.choice('ab')}/{i}/c/d/e/{section}/{i}" + "/z" * depth))
+        if r.random() < 0.6:
+            labels.append((i, bad))
+    got = U.judge(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad boolean"), RULES)
+    rows = sorted(map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "template").collect()), key=repr)
+    assert rows == brute(pages, labels)
+    for i, _, _, _, verdict, template in rows:
+        assert verdict == ("block" if i % 6 < 2 else "allow")
+        assert template.split("/")[6] in (("#bad",) if i % 6 < 2 else ("#good", "*")), template
 
 
 def test_empty(spark):
