@@ -41,6 +41,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if now.isEmpty():
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while not _stars(now):
-        now = scratch.keep(_star(scratch.keep(_star(now, True), "links"), False), "links")
+        with scratch.temporary():
+            now = scratch.keep(_star(scratch.keep(_star(now, True), "links"), False), "links", stays=True)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

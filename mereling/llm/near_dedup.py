@@ -28,6 +28,7 @@ from mereling.llm import components, scratch, words
 
 #: A pair at 0.8 is in no common bucket with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 WORDS, BANDS, ROWS, THRESHOLD = 5, 24, 4, 0.8
+BEFORE = 16
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,11 +122,12 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(pairs: DataFrame, lists: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multiset overlap is at least the threshold."""
+    """The pairs (a, b) whose multiset overlap is at least the threshold, and that overlap."""
     side = lambda n: lists.select(F.col("node").alias(n), F.col("shingles").alias(f"s{n}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    union = F.col("na") + F.col("nb") - F.col("common")
+    return both.where(F.col("common") >= threshold * union).select("a", "b", (F.col("common") / union).alias("similarity"))
 
 
 def _plausible(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -137,8 +139,9 @@ def _links_across(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataF
     """All links between `nodes` (node, shingles, component) of different components, by the prefix filter.
 
     Shingles that only one component has come first in the order, for no such pair shares them;
-    the others follow, rare ones first. A pair is formed at its first common shingle only, and
-    only if what follows there can still reach the overlap that both sizes ask for.
+    the others follow, rare ones first. A pair is formed only where what follows can still reach the
+    overlap that both sizes ask for, and not where one of the last BEFORE shingles is common too, for
+    then it is formed there or earlier; the few repeats that are left go by `distinct`.
     """
     nodes = scratch.keep(nodes.select("node", "component", F.size("shingles").alias("n"), "shingles"), "open-lists")
     each = nodes.select("node", "component", F.explode("shingles").alias("shingle"))
@@ -150,7 +153,7 @@ def _links_across(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataF
     length = F.col("n") - F.ceil(threshold * F.col("n") - 1e-9).cast("int") + 1 - F.col("lone")
     own = own.where(length > 0).withColumn("own", F.transform(F.slice("own", 1, F.greatest(length, F.lit(0))), lambda s: s["shingle"]))
     rows = own.select("node", "component", "n", "lone", "own", F.posexplode("own").alias("i", "shingle")).select(
-        "node", "component", "n", "shingle", (F.col("lone") + F.col("i")).alias("at"), F.slice("own", 1, F.col("i")).alias("before"))
+        "node", "component", "n", "shingle", (F.col("lone") + F.col("i")).alias("at"), F.slice("own", F.greatest(F.col("i") - BEFORE, F.lit(0)) + 1, F.least(F.col("i"), F.lit(BEFORE))).alias("before"))
     rows = scratch.keep(rows.join(shared.select("shingle", "most"), "shingle"), "prefixes")
     # of each shingle, all nodes meet those outside its most frequent component
     side = lambda df, n: df.select("shingle", *(F.col(c).alias(c + n) for c in ("node", "component", "n", "at", "before")))
@@ -160,17 +163,18 @@ def _links_across(nodes: DataFrame, lists: DataFrame, threshold: float) -> DataF
         (F.col("component_a") != F.col("component_b")) & ((F.col("component_b") == F.col("most")) | (F.col("node_a") < F.col("node_b")))
         & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")) & (F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= need)
         & ~F.arrays_overlap("before_a", "before_b"))
-    return scratch.keep(_verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), lists, threshold), "links-across")
+    return scratch.keep(_verified(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), lists, threshold), "links-across")
 
 
 def _node(text: Column) -> Column:
-    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    """The first 128 bits of a text's SHA-256, of which no two texts with equal bits are known."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))
 
 
 def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per distinct text: node (its MD5), component (least node of its class), n (rows), least (id)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("text"))
+    """One row per distinct text: node, component (least node of its class), n (rows), least (id), links
+    (verified ones of the text; not all pairs of a class are tested) and similarity (the greatest of these)."""
+    rows = docs.select(F.col(id_col).alias("id"), _node(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = scratch.keep(rows.mapInArrow(_signed, f"id {kind}, node binary, size long, bands array<long>"), "signed")
     nodes = scratch.keep(signed.groupBy("node").agg(
@@ -181,7 +185,7 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     some = buckets.select("node").distinct()
     # the texts of candidates: the row of each node with the least id, for any row would do
     wanted = nodes.join(some, "node", "left_semi").select("node", F.col("least").alias("id"))
-    texts = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["id"]) & (rows["node"] == wanted["node"]), "left_semi").select("node", "text")
+    texts = rows.join(wanted, rows["id"].eqNullSafe(wanted["id"]) & (rows["node"] == wanted["node"]), "left_semi").select("node", "text")
     lists = scratch.keep(texts.mapInArrow(_listed, "node binary, shingles array<long>").dropDuplicates(["node"]), "shingles")
     order = lambda seed: F.min(F.struct(F.xxhash64("node", F.lit(seed)), "node", "size"))
     centres = buckets.groupBy("bucket").agg(order(1).alias("o"), order(2).alias("p"))
@@ -196,38 +200,42 @@ def node_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     more = _links_across(lists.join(open_, "node"), lists, threshold)
     if not more.isEmpty():
         stars = labels.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-        labels = scratch.keep(components.components(stars.unionByName(more)), "labels")
-    out = nodes.select("node", "least", "n")
-    return out.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        labels = scratch.keep(components.components(stars.unionByName(more.select("a", "b"))), "labels")
+    every = links.unionByName(more)
+    counted = every.select(F.explode(F.array("a", "b")).alias("node"), "similarity").groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("similarity"))
+    out = nodes.select("node", "least", "n").join(labels, "node", "left").join(counted, "node", "left")
+    return out.withColumns({"component": F.coalesce("component", "node"), "links": F.coalesce("links", F.lit(0))})
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """One row per distinct text: node, class_id (the least id of the class), class_size, keeper (whether the class keeps this text)."""
-    nodes = scratch.keep(node_classes(docs, id_col, text_col, threshold), "node-classes")
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first")
-    whole = scratch.keep(nodes.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes")
-    return scratch.keep(nodes.select("node", "component").join(whole, "component").select(
-        "node", F.col("first.least").alias("class_id"), "class_size", (F.col("node") == F.col("first.node")).alias("keeper")), "class-of-node")
+    """One row per distinct text: node, class_id (the least id of the class), class_size, keeper (whether the class keeps this text), links, similarity."""
+    with scratch.temporary():
+        nodes = scratch.keep(node_classes(docs, id_col, text_col, threshold), "node-classes")
+        first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node")).alias("first")
+        whole = scratch.keep(nodes.groupBy("component").agg(first, F.sum("n").alias("class_size")), "classes")
+        return scratch.keep(nodes.join(whole, "component").select(
+            "node", F.col("first.least").alias("class_id"), "class_size", (F.col("node") == F.col("first.node")).alias("keeper"), "links", "similarity"), "class-of-node", stays=True)
 
 
 def _flagged(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
-    """One row per input row: doc_id, node, class_id, class_size, kept."""
+    """One row per input row: doc_id, node, class_id, class_size, kept, n_links, similarity."""
     of_node = _classes(docs, id_col, text_col, threshold)
     return docs.select(F.col(id_col).alias("doc_id"), _node(F.col(text_col)).alias("node")).join(of_node, "node").select(
-        "doc_id", "node", "class_id", "class_size", (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"))
-
+        "doc_id", "node", "class_id", "class_size", (F.col("keeper") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("kept"), F.col("links").alias("n_links"), "similarity")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, class_id, class_size, kept.
+    """One row per input row: doc_id, class_id, class_size, kept, n_links, similarity.
 
     A class is a connected component of texts whose multisets of five-word runs overlap by at
     least the threshold (sum of least over sum of greatest weights); its id is its least doc_id,
     whose row stays. A text of fewer than five words is one run; texts without words (null and
     empty ones too) are equal only when identical. Null ids are never kept unless their class
     has no other id. Where several texts of a class have the kept id, or all ids are null, the
-    text of the least MD5 is kept. Rows that repeat the kept id and text are all kept
-    (`drop_near_duplicates` leaves one). Other columns are not read.
+    text of the least hash is kept. Rows that repeat the kept id and text are all kept
+    (`drop_near_duplicates` leaves one). n_links: the verified links of the row's text to other texts
+    (of a large class, not all pairs are tested); similarity: the greatest of these, null without one.
+    Other columns are not read.
     """
     return _flagged(docs, id_col, text_col, threshold).drop("node")
 
@@ -238,7 +246,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = scratch.keep(flagged.groupBy(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).agg(F.count(F.lit(1)).alias("_n")), "kept-rows")
 
     def rows(some: DataFrame) -> DataFrame:
-        return docs.join(some.hint("shuffle_hash"), docs[id_col].eqNullSafe(some["_id"]) & (_node(docs[text_col]) == some["_node"]), "left_semi")
+        return docs.join(some, docs[id_col].eqNullSafe(some["_id"]) & (_node(docs[text_col]) == some["_node"]), "left_semi")
 
     repeated = kept.where("_n > 1")
     if repeated.isEmpty():

@@ -7,10 +7,16 @@ executor costs a re-read, not a re-computation, and a later join may split skewe
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_inside: ContextVar[list | None] = ContextVar("inside", default=None)
+
+
 def folder(spark: SparkSession) -> str:
     """The shared folder. Where the session names none, a temporary one in local mode (tests), else an error:
     on a cluster each executor would write to a disk of its own."""
@@ -28,21 +34,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once and return the written table."""
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables kept inside are deleted at the end, but those that are to stay."""
+    token = _inside.set([])
+    try:
+        yield
+    finally:
+        paths = _inside.get()
+        _inside.reset(token)
+        for spark, path in paths:
+            _delete(spark, path)
+
+
+def keep(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
+    """Write `df` once and return the written table. stays: it outlives the `temporary` block around it."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
+    inside = _inside.get()
+    if inside is not None and not stays:
+        inside.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(*tables: DataFrame) -> None:
-    """Delete tables that `keep` returned and that nothing reads any more."""
-    for df in tables:
-        spark = df.sparkSession
-        for name in df.inputFiles()[:1]:
-            _delete(spark, name.rpartition("/")[0])
-
-
 def clear(spark: SparkSession) -> None:
     """Delete every intermediate table of this application."""
     _delete(spark, folder(spark))

@@ -110,6 +110,39 @@ def test_one_row_of_each_class_stays(spark):
     assert (8, words(5, 120)) in got and (3, near(2, 10)) in got and set(got) <= set(rows)
 
 
+def test_links_carry_their_overlap(spark):
+    base = words(11, 100)
+    near, far = edited(1, base, 2), words(12, 100)
+    rows = {r.doc_id: r for r in N.near_duplicates(make(spark, [(1, base), (2, near), (3, far), (4, base), (5, None)])).collect()}
+    a, b = shingles(base), shingles(near)
+    want = sum((a & b).values()) / sum((a | b).values())
+    assert [rows[i].n_links for i in range(1, 6)] == [1, 1, 0, 1, 0] and rows[3].similarity is None
+    assert all(rows[i].similarity == pytest.approx(want) for i in (1, 2, 4))
+
+
+def test_planted_copies_of_the_tables_against_all_pairs(spark):
+    """All links at the contract's similarity are found: the classes are those of comparing all pairs."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    want = brute(rows)
+    assert got(N.near_duplicates(docs)) == want and sum(n > 1 for _, _, n in want) > 100
+
+
+def test_very_long_near_copies_have_a_linear_prefix_table(spark, tmp_path):
+    """Pairs just under and over the threshold; no row of the prefix table grows with the text."""
+    rows = []
+    for k, n in enumerate((1000, 100_000)):
+        text = words(40 + k, n)
+        rows += [(10 * k, text), (10 * k + 1, edited(k, text, int(n * 0.021))), (10 * k + 2, edited(k + 7, text, int(n * 0.03)))]
+    assert got(N.near_duplicates(make(spark, rows))) == brute(rows)
+    # the exact comparison alone, all texts being components of their own
+    lists = spark.createDataFrame(rows, "id long, text string").selectExpr("unhex(md5(text)) as node", "text").mapInArrow(N._listed, "node binary, shingles array<long>")
+    links = N._links_across(lists.withColumn("component", lists["node"]), lists, 0.8).collect()
+    bags = [shingles(t) for _, t in rows]
+    want = [sum((a & b).values()) / sum((a | b).values()) for i, a in enumerate(bags) for b in bags[:i]]
+    assert sorted(r.similarity for r in links) == pytest.approx(sorted(x for x in want if x >= 0.8))
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3), (2000, 2000)]
