@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from mereling.sources.paths import file_system
+
 
 def read_png(spark: SparkSession, path: str) -> DataFrame:
     """(name, class by folder, h, w, px) of the PNG files under path/class=.../; grey, or the mean of the channels."""
@@ -54,7 +55,7 @@ class PngWriter(DataSourceArrowWriter):
         self.path = path
 
     def write(self, iterator):
-        fs, path = pa.fs.FileSystem.from_uri(self.path)
+        fs, path = file_system(self.path)
         done = []
         for batch in iterator:
             for r in batch.to_pylist():
@@ -66,13 +67,13 @@ class PngWriter(DataSourceArrowWriter):
         return _Written(done)
 
     def commit(self, messages):
-        fs, _ = pa.fs.FileSystem.from_uri(self.path)
+        fs, _ = file_system(self.path)
         for p in sorted({p for m in messages if m for p in m.paths}):
             folder, _, name = p.rpartition("/")
             fs.move(p, f"{folder}/{name[1:]}")
 
     def abort(self, messages):
-        fs, _ = pa.fs.FileSystem.from_uri(self.path)
+        fs, _ = file_system(self.path)
         for p in (p for m in messages if m for p in m.paths):
             fs.delete_file(p)
 
