@@ -6,7 +6,7 @@ no predicate wants undecoded. Archives have one gzip member per record; those th
 carry the member's size in the gzip header (subfield "sl"), so an unwanted record is stepped
 over without inflating it. Other archives, gzipped by record or plain, are read too.
 
-Files are reached through `pyarrow.fs`, by the path's scheme.
+Files are reached through `pyarrow.fs`, by the path's scheme; schemes that only Hadoop knows are mapped.
 """
 
 import struct
@@ -26,11 +26,14 @@ from pyspark.sql.datasource import (
 )
 
 from mereling.llm import scratch
+from mereling.sources.paths import file_system
 
 SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, content_length long, payload_digest string, payload_bytes long, refers_to string, payload binary"
 ARROW = pa.schema([("record_type", pa.string()), ("record_id", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.string()), ("content_length", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary())])
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PARTITION, FILE, BATCH = 32 << 20, 256 << 20, 8 << 20
+#: Bytes read ahead; and those inflated at a time while the end of the headers is looked for.
+AHEAD, HEAD = 256 << 10, 4096
 
 
 def header(record: dict) -> bytes:
@@ -84,75 +87,96 @@ def parse_head(raw: bytes) -> tuple[dict, int] | None:
 
 
 class _Stream:
-    """Reads ahead in a file."""
+    """Reads ahead in a file, and steps over what isn't wanted."""
 
     def __init__(self, file):
-        self.file, self.data = file, b""
+        self.file, self.data, self.at = file, b"", 0
+
+    def have(self) -> int:
+        return len(self.data) - self.at
 
     def need(self, n: int) -> bool:
-        while len(self.data) < n and (more := self.file.read(max(1 << 20, n - len(self.data)))):
-            self.data += more
-        return len(self.data) >= n
+        """Whether n more bytes are there, after reading them."""
+        parts, have = [self.data[self.at :]], self.have()
+        while have < n and (more := self.file.read(max(AHEAD, n - have))):
+            parts.append(more)
+            have += len(more)
+        if len(parts) > 1:
+            self.data, self.at = b"".join(parts), 0
+        return have >= n
+
+    def peek(self, begin: int, end: int) -> bytes:
+        return self.data[self.at + begin : self.at + end]
 
     def skip(self, n: int) -> None:
-        if n > len(self.data):
-            self.file.seek(n - len(self.data), 1)
-        self.data = self.data[n:]
+        if n > self.have():
+            self.file.seek(n - self.have(), 1)
+            self.data, self.at = b"", 0
+        else:
+            self.at += n
+
+
+def _member(stream: _Stream, wanted, payload: bool) -> tuple[dict, bytes | None] | None:
+    """The record of the next gzip member: its fields and payload; None if it isn't wanted. Only what is needed is read, if the member tells its size."""
+    stream.need(24)
+    told = stream.peek(3, 4)[0] & 4 and stream.peek(12, 14) == b"sl"
+    size = struct.unpack("<Q", stream.peek(16, 24))[0] if told else None
+    inflate, raw, used, found = zlib.decompressobj(31), b"", 0, None
+    while found is None and not inflate.eof:
+        if stream.have() <= used and not stream.need(used + (HEAD if size is None else min(HEAD, size - used) or 1)) and stream.have() <= used:
+            break
+        part = stream.peek(used, used + HEAD)
+        raw += inflate.decompress(part)
+        used += len(part) - len(inflate.unused_data)
+        found = parse_head(raw)
+    if found is None:
+        raise ValueError("a WARC record without a complete header")
+    fields, begin = found
+    take = wanted(fields)
+    parts = [raw]
+    if size is not None and take and payload and not inflate.eof:
+        stream.need(size)
+        parts.append(inflate.decompress(stream.peek(used, size)))
+    while size is None and not inflate.eof:  # the member's end has to be found
+        if stream.have() <= used and not stream.need(used + 1):
+            break
+        part = stream.peek(used, used + AHEAD)
+        parts.append(inflate.decompress(part))
+        used += len(part) - len(inflate.unused_data)
+    stream.skip(used if size is None else size)
+    return (fields, b"".join(parts)[begin : begin + fields["_size"]]) if take else None
+
+
+def _plain(stream: _Stream, wanted, payload: bool) -> tuple[dict, bytes | None] | None:
+    """The same of a record that isn't compressed."""
+    n = HEAD
+    while True:
+        more = stream.need(n)
+        if (found := parse_head(stream.peek(0, n))) is not None:
+            break
+        if not more:
+            raise ValueError("a WARC record without a complete header")
+        n *= 2
+    fields, begin = found
+    body, take = None, wanted(fields)
+    if take and payload:
+        stream.need(begin + fields["_size"])
+        body = stream.peek(begin, begin + fields["_size"])
+    stream.skip(begin + fields["_size"])
+    return (fields, body) if take else None
 
 
 def records(file, wanted, payload: bool = True) -> Iterator[dict]:
     """The records of an open archive for which wanted(fields) holds; others stay undecoded."""
     stream = _Stream(file)
     while stream.need(4):
-        if stream.data[:2] == b"\x1f\x8b":
-            size = None
-            if stream.data[3] & 4 and stream.need(24) and stream.data[12:14] == b"sl":
-                size = struct.unpack("<Q", stream.data[16:24])[0]
-                stream.need(size)
-            inflate = zlib.decompressobj(31)
-            raw, rest, found = b"", stream.data if size is None else stream.data[:size], None
-            while found is None and not inflate.eof:
-                raw += inflate.decompress(rest, 4096)
-                rest = inflate.unconsumed_tail
-                found = parse_head(raw)
-                if not rest and not inflate.eof and found is None:
-                    if size is not None or not (rest := stream.file.read(1 << 20)):
-                        break
-                    stream.data += rest
-            if found is None:
-                raise ValueError("a WARC record without a complete header")
-            fields, begin = found
-            take = wanted(fields)
-            if take and payload or size is None:
-                parts = [raw]
-                while not inflate.eof:
-                    if not rest and (size is not None or not (rest := stream.file.read(1 << 20))):
-                        break
-                    parts.append(inflate.decompress(rest))
-                    rest = b""
-                raw = b"".join(parts)
-            if size is None:
-                stream.data = inflate.unused_data
-            else:
-                stream.skip(size)
-            if take:
-                yield fields | {"payload": raw[begin : begin + fields["_size"]] if payload and fields["record_type"] != "revisit" else None}
-        elif stream.data[:2] == b"\r\n":
+        if stream.peek(0, 2) == b"\r\n":
             stream.skip(2)
-        else:
-            n = 4096
-            while (found := parse_head(stream.data)) is None and stream.need(n):
-                n *= 2
-            if found is None:
-                raise ValueError("a WARC record without a complete header")
-            fields, begin = found
-            if take := wanted(fields):
-                body = None
-                if payload and fields["record_type"] != "revisit":
-                    stream.need(begin + fields["_size"])
-                    body = stream.data[begin : begin + fields["_size"]]
-                yield fields | {"payload": body}
-            stream.skip(begin + fields["_size"])
+            continue
+        found = (_member if stream.peek(0, 2) == b"\x1f\x8b" else _plain)(stream, wanted, payload)
+        if found:
+            fields, body = found
+            yield fields | {"payload": body if payload and fields["record_type"] != "revisit" else None}
 
 
 @dataclass
@@ -189,7 +213,7 @@ class WarcReader(DataSourceReader):
                 self.filters.append(f)
 
     def partitions(self):
-        fs, path = pa.fs.FileSystem.from_uri(self.path)
+        fs, path = file_system(self.path)
         found = fs.get_file_info(pa.fs.FileSelector(path, recursive=True))
         files = sorted((f.path, f.size) for f in found if f.is_file and f.base_name[0] not in "._" and f.base_name.endswith((".warc", ".warc.gz")))
         parts, full = [], PARTITION
@@ -202,7 +226,7 @@ class WarcReader(DataSourceReader):
         return parts or [_Files([])]
 
     def read(self, partition):
-        fs, _ = pa.fs.FileSystem.from_uri(self.path)
+        fs, _ = file_system(self.path)
         tests = [_predicate(f) for f in self.filters]
         wanted = lambda fields: all(t(fields) for t in tests)
         rows, size = [], 0
@@ -230,7 +254,7 @@ class WarcWriter(DataSourceArrowWriter):
         self.path, self.overwrite = options["path"], overwrite
 
     def write(self, iterator):
-        fs, path = pa.fs.FileSystem.from_uri(self.path)
+        fs, path = file_system(self.path)
         fs.create_dir(path)
         done, out, size = [], None, 0
         for batch in iterator:
@@ -251,7 +275,7 @@ class WarcWriter(DataSourceArrowWriter):
         return _Written(done)
 
     def commit(self, messages):
-        fs, path = pa.fs.FileSystem.from_uri(self.path)
+        fs, path = file_system(self.path)
         fs.create_dir(path)
         ours = {p for m in messages if m for p in m.paths}
         for info in fs.get_file_info(pa.fs.FileSelector(path)):
@@ -262,7 +286,7 @@ class WarcWriter(DataSourceArrowWriter):
             fs.move(p, f"{folder}/part-{k:06d}-{name[1:]}")
 
     def abort(self, messages):
-        fs, _ = pa.fs.FileSystem.from_uri(self.path)
+        fs, _ = file_system(self.path)
         for m in messages:
             for p in m.paths if m else []:
                 fs.delete_file(p)
@@ -293,16 +317,18 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One record per row: of equal payloads of at least `min_bytes`, the row with the largest id is
     the response and the others revisit it; smaller ones are all responses.
 
-    Payloads count as equal when SHA-1 and size are. A null payload is empty; a null url has no
+    Payloads count as equal when their SHA-256 are (SHA-1, their digest in the record, has known
+    collisions). A null payload is empty; a null url has no
     target URI; a null id becomes `urn:page:` and is the response only where its payload has no
     other id, in each of its rows. Repeated rows of the response's id are all responses.
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload")).withColumns(
         {"payload_digest": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")})
-    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    rows = rows.withColumn("_same", F.when(F.col("payload_bytes") >= min_bytes, F.unhex(F.sha2("payload", 256))))
+    groups = rows.where("_same is not null").groupBy("_same").agg(F.max("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
     groups = scratch.keep(groups.where("_n > 1").drop("_n"), "warc-groups")
-    rows = rows.join(groups, ["payload_digest", "payload_bytes"], "left")
+    rows = rows.join(groups, "_same", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_id"))
     urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
     return rows.select(
@@ -321,7 +347,8 @@ def round_trip(pages: DataFrame, path: str) -> DataFrame:
     spark = pages.sparkSession
     register(spark)
     to_records(pages).write.format("warc").mode("append").save(path)
-    read = lambda kind: spark.read.format("warc").load(path).where(F.col("record_type") == kind)
-    responses = read("response").select("record_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"), "record_type", "refers_to")
-    revisits = read("revisit").select(*responses.columns)
-    return responses.unionByName(revisits).select(page_id("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_id("refers_to").alias("refers_to"))
+    read = spark.read.format("warc").load(path)
+    own = F.col("record_type") == "response"
+    return read.select(
+        page_id("record_id").alias("page_id"), F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page_id("refers_to").alias("refers_to"))

@@ -57,5 +57,45 @@ def test_foreign_archives():
         assert [(r["record_type"], len(r["payload"])) for r in got] == [("resource", 4), ("response", 3_000_000), ("metadata", 0)]
 
 
+class Counting(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    count = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.count += len(data)
+        return data
+
+
+def test_unwanted_members_are_stepped_over():
+    import os
+
+    body = lambda k: os.urandom(3_000_000) if k % 2 else b"small"
+    record = lambda k, b: {"record_type": "resource" if k % 2 else "response", "record_id": f"urn:{k}", "warc_date": "x", "target_uri": None, "payload_digest": "0", "refers_to": None, "content_length": len(b)}
+    bodies = [body(k) for k in range(10)]
+    raw = b"".join(warc.member(warc.header(record(k, b)).replace(b"application/http;msgtype=response", b"text/plain") + b + b"\r\n\r\n") for k, b in enumerate(bodies))
+    file = Counting(raw)
+    got = list(warc.records(file, lambda f: f["record_type"] == "response"))
+    assert [r["payload"] for r in got] == [b"small"] * 5 and file.count < 11 * warc.AHEAD < len(raw) / 5
+    file = Counting(raw)
+    assert [r["payload"] for r in warc.records(file, lambda f: f["record_type"] == "resource")] == bodies[1::2]
+
+
+def test_records_cut_at_every_place(monkeypatch):
+    """Short reads and inflating steps don't change what is found."""
+    import gzip
+
+    head = lambda body: b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    bodies = [b"", b"a" * 5, bytes(range(256)) * 3, b"\r\n\r\n"]
+    for ahead in (1, 7, 100):
+        monkeypatch.setattr(warc, "AHEAD", ahead)
+        monkeypatch.setattr(warc, "HEAD", ahead)
+        for pack in (lambda x: x, gzip.compress, warc.member):
+            raw = b"".join(pack(head(b)) for b in bodies)
+            assert [r["payload"] for r in warc.records(io.BytesIO(raw), lambda f: True)] == bodies
+            assert [r["content_length"] for r in warc.records(io.BytesIO(raw), lambda f: f["content_length"] > 4, payload=False)] == [5, 768]
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA), scratch.new_path(spark, "warc")).count() == 0
