@@ -10,6 +10,11 @@ PLACEHOLDER = "[50.0 50.0 55.0 55.0]"
 BOX = "struct<ulx:double,uly:double,lrx:double,lry:double>"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def per_side(n_chunks: int) -> int:
     """Chunks along one side for a requested number of chunks."""
     return int(n_chunks**0.5)
@@ -49,21 +54,26 @@ def mini_windows(height: Column, width: Column) -> Column:
 def fixed_box(box: Column) -> Column:
     """A box of fixed side around the centre of another, shifted into the chunk; null where upper left isn't before lower right."""
     low = lambda a, b: F.least(F.greatest((a + b) / 2 - BOX_SIDE / 2, F.lit(0.0)), F.lit(CHUNK_SIDE - BOX_SIDE))
-    x, y = low(box["ulx"], box["lrx"]), low(box["uly"], box["lry"])
-    return F.when((box["ulx"] < box["lrx"]) & (box["uly"] < box["lry"]), F.struct(x.alias("ulx"), y.alias("uly"), (x + BOX_SIDE).alias("lrx"), (y + BOX_SIDE).alias("lry")))
+
+    def moved(box: Column) -> Column:
+        x, y = low(box["ulx"], box["lrx"]), low(box["uly"], box["lry"])
+        return F.when((box["ulx"] < box["lrx"]) & (box["uly"] < box["lry"]), F.struct(x.alias("ulx"), y.alias("uly"), (x + BOX_SIDE).alias("lrx"), (y + BOX_SIDE).alias("lry")))
+
+    return let(box, moved)
 
 
 def coords(text: Column) -> Column:
     """The numbers of a bracketed cell; an empty array if any isn't one."""
-    parts = F.split(F.trim(F.regexp_replace(text, r"[\[\]]", "")), r"\s+")
+    parts = F.split(F.trim(F.translate(text, "[]", "")), r"\s+")
+    none = F.array().cast("array<double>")
     numbers = F.transform(parts, lambda p: p.try_cast("double"))
-    return F.when(text.isNull() | F.exists(numbers, lambda n: n.isNull()), F.array().cast("array<double>")).otherwise(numbers)
+    return F.coalesce(let(numbers, lambda n: F.when(F.exists(n, lambda x: x.isNull()), none).otherwise(n)), none)
 
 
 def box_of(numbers: Column) -> Column:
     """A box from four numbers; null for another count."""
-    at = lambda i: F.get(numbers, F.lit(i))
-    return F.when(F.size(numbers) == 4, F.struct(at(0).alias("ulx"), at(1).alias("uly"), at(2).alias("lrx"), at(3).alias("lry")))
+    at = lambda n, i: F.get(n, F.lit(i))
+    return let(numbers, lambda n: F.when(F.size(n) == 4, F.struct(at(n, 0).alias("ulx"), at(n, 1).alias("uly"), at(n, 2).alias("lrx"), at(n, 3).alias("lry"))))
 
 
 def pixel_box(box: Column, height: Column, width: Column) -> Column:
@@ -98,18 +108,22 @@ def _draw(key: Column, what: str, n: int) -> Column:
 def random_box(key: Column, low: int = 0, high: int = 157) -> Column:
     """A box with whole corners in low .. high, upper left before lower right."""
     span = high - low
-    x0, y0 = _draw(key, "x0", span), _draw(key, "y0", span)
-    x1, y1 = x0 + 1 + _draw(key, "x1", 1 << 20) % (span - x0), y0 + 1 + _draw(key, "y1", 1 << 20) % (span - y0)
-    return F.struct(*((v + low).cast("double").alias(n) for n, v in (("ulx", x0), ("uly", y0), ("lrx", x1), ("lry", y1))))
+    first = F.struct(_draw(key, "x0", span).alias("x"), _draw(key, "y0", span).alias("y"))
+
+    def box(p: Column) -> Column:
+        x1, y1 = p["x"] + 1 + _draw(key, "x1", 1 << 20) % (span - p["x"]), p["y"] + 1 + _draw(key, "y1", 1 << 20) % (span - p["y"])
+        return F.struct(*((v + low).cast("double").alias(n) for n, v in (("ulx", p["x"]), ("uly", p["y"]), ("lrx", x1), ("lry", y1))))
+
+    return let(first, box)
 
 
 def nine_boxes(box: Column, key: Column, side: float = CHUNK_SIDE) -> Column:
     """A box's 3 x 3 parts, row by row, each moved by 0 to 2 pixels either way and clamped to the chunk."""
-    width, height = (box["lrx"] - box["ulx"]) / 3, (box["lry"] - box["uly"]) / 3
     clamp = lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(side))
 
-    def part_box(i: int) -> Column:
-        x, y = box["ulx"] + width * (i % 3) + _draw(key, f"dx{i}", 3), box["uly"] + height * (i // 3) + _draw(key, f"dy{i}", 3)
-        return F.struct(clamp(x).alias("ulx"), clamp(y).alias("uly"), clamp(x + width).alias("lrx"), clamp(y + height).alias("lry"))
+    def part_box(box: Column, i: int) -> Column:
+        width, height = (box["lrx"] - box["ulx"]) / 3, (box["lry"] - box["uly"]) / 3
+        corner = F.struct((box["ulx"] + width * (i % 3) + _draw(key, f"dx{i}", 3)).alias("x"), (box["uly"] + height * (i // 3) + _draw(key, f"dy{i}", 3)).alias("y"))
+        return let(corner, lambda c: F.struct(clamp(c["x"]).alias("ulx"), clamp(c["y"]).alias("uly"), clamp(c["x"] + width).alias("lrx"), clamp(c["y"] + height).alias("lry")))
 
-    return F.array(*map(part_box, range(9)))
+    return let(box, lambda box: F.array(*(part_box(box, i) for i in range(9))))

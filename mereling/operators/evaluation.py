@@ -31,8 +31,8 @@ def true_counts(rows: DataFrame) -> DataFrame:
     return rows.select("chunk", *(F.when(F.col("sea"), CELLS if c == "sea" else 0).otherwise(n[c]).cast("bigint").alias(f"n_{c}") for c in CLASSES))
 
 
-def responses(lines: DataFrame, limit: int | None = 1649) -> DataFrame:
-    """Label lines (file, line_no, value) as (chunk by place, reservoirs, water_bodies, sea), the first `limit` of them."""
+def responses(lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Label lines (file, line_no, value) as (chunk by place, reservoirs, water_bodies, sea), the first `limit` of them (None: all)."""
     rows = labels.parse(lines if limit is None else lines.where(F.col("line_no") <= limit))
     sea = labels.is_sea(F.col("water_bodies"), F.get("body_cells", F.lit(0)), single=True)
     return rows.select((F.col("line_no") - 1).cast("int").alias("chunk"), "reservoirs", "water_bodies", sea.alias("sea"))
@@ -48,6 +48,20 @@ def confusion(predicted: DataFrame, true: DataFrame) -> DataFrame:
         F.sum(F.greatest(F.col("p") - F.col("n"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("n") - F.col("p"), F.lit(0))).alias("fn"), F.count(F.lit(1)).alias("chunks"))
 
 
+def check_lengths(cells: DataFrame, true: DataFrame) -> DataFrame:
+    """`cells` (chunk, cell), or an error where there aren't as many chunks as label rows: a short file would shrink the counts unseen."""
+    sizes = cells.agg(F.countDistinct("chunk").alias("p")).crossJoin(true.agg(F.count(F.lit(1)).alias("t")))  # one row each
+    checked = cells.crossJoin(F.broadcast(sizes.select(F.when(F.col("p") != F.col("t"), F.raise_error(F.concat(F.lit("predicted chunks: "), "p", F.lit(", label rows: "), "t"))).otherwise(F.lit("")).alias("_ok"))))  # one row
+    return checked.where(F.col("_ok") == "").drop("_ok")
+
+
+def extrema(history: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The least and greatest value of a training history (epoch, value) and their epochs, the first of equals."""
+    order = lambda best: best("epoch", F.struct(F.col(value), -F.col("epoch")) if best is F.max_by else F.struct(F.col(value), F.col("epoch")))
+    rows = history.where(F.col(value).isNotNull()).groupBy(*by)
+    return rows.agg(F.min(value).alias("least"), order(F.min_by).alias("least_epoch"), F.max(value).alias("greatest"), order(F.max_by).alias("greatest_epoch"))
+
+
 def metrics(counts: DataFrame) -> DataFrame:
     """Percentages with two decimals; 100 where a denominator is 0; F1 from the rounded precision and recall."""
     share = lambda a, b: F.round(F.coalesce(100 * a / F.nullif(b, F.lit(0)), F.lit(100.0)), 2)

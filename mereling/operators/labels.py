@@ -32,11 +32,11 @@ def clean(lines: DataFrame) -> DataFrame:
 
 def parse(lines: DataFrame) -> DataFrame:
     """Data lines as file, line_no, chunk, reservoirs, water_bodies and their raw cells."""
-    value = F.col("value")
-    return lines.where("line_no > 0").select(
-        "file", "line_no", field(value, 0).try_cast("int").alias("chunk"),
-        F.coalesce(field(value, 1).try_cast("int"), F.lit(0)).alias("reservoirs"), F.coalesce(field(value, 2).try_cast("int"), F.lit(0)).alias("water_bodies"),
-        F.slice(fields(value), RESERVOIRS + 1, BODIES - RESERVOIRS).alias("res_cells"), F.slice(fields(value), BODIES + 1, 10_000).alias("body_cells"))
+    cut = lines.where("line_no > 0").select("file", "line_no", fields(F.col("value")).alias("_f"))
+    number = lambda i: F.get("_f", F.lit(i)).try_cast("int")
+    return cut.select(
+        "file", "line_no", number(0).alias("chunk"), F.coalesce(number(1), F.lit(0)).alias("reservoirs"), F.coalesce(number(2), F.lit(0)).alias("water_bodies"),
+        F.slice("_f", RESERVOIRS + 1, BODIES - RESERVOIRS).alias("res_cells"), F.slice("_f", BODIES + 1, F.greatest(F.size("_f") - BODIES, F.lit(0))).alias("body_cells"))
 
 
 def gaps(lines: DataFrame) -> DataFrame:
@@ -68,8 +68,7 @@ def incomplete(lines: DataFrame) -> DataFrame:
 
 def is_sea(bodies: Column, first_cell: Column, single: bool = False) -> Column:
     """A water body over the whole chunk width; single: and it is the only one (the rule of evaluation)."""
-    numbers = grid.coords(first_cell)
-    whole = (F.get(numbers, F.lit(0)) == 0) & (F.try_element_at(numbers, F.lit(-1)) == grid.CHUNK_SIDE)
+    whole = grid.let(grid.coords(first_cell), lambda n: (F.get(n, F.lit(0)) == 0) & (F.try_element_at(n, F.lit(-1)) == grid.CHUNK_SIDE))
     return F.coalesce((bodies == 1 if single else bodies > 0) & whole, F.lit(False))
 
 

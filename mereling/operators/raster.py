@@ -69,25 +69,64 @@ def matching_scenes(raster: DataFrame, index: str = "index_name") -> DataFrame:
 def composite_blocks(blocks: DataFrame, keys: tuple[str, ...] = ("index_name", "chunk")) -> DataFrame:
     """Blocks (keys, scene, px array<double>) as one row per key: p25, median, p75, mean arrays.
 
-    A group is the scenes of one chunk: as many blocks as scenes, each of one chunk's pixels.
+    A group is the scenes of one chunk: as many blocks as scenes, each of one chunk's pixels. Blocks
+    with `at` (see `to_blocks`) may lack pixels, each others; the result then has all places, in order.
     """
-    schema = blocks.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", p25 array<double>, median array<double>, p75 array<double>, mean array<double>"
+    placed = "at" in blocks.columns
+    schema = blocks.select(*keys).schema.simpleString()[7:-1].replace(":", " ") + ", p25 array<double>, median array<double>, p75 array<double>, mean array<double>" + (", at array<struct<y:int,x:int>>" if placed else "")
 
     def run(table: pa.Table) -> pa.Table:
-        stack = np.array([[np.nan if v is None else v for v in row] for row in table["px"].to_pylist()], float)
+        lists = table["px"].combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(float)  # null is NaN
+        if placed:
+            cells = table["at"].combine_chunks().flatten()
+            y, x = (np.asarray(cells.field(i), np.int64) for i in range(2))
+            every, column = np.unique(np.stack((y, x)), axis=1, return_inverse=True)
+            stack = np.full((len(table), every.shape[1]), np.nan)
+            stack[np.repeat(np.arange(len(table)), np.asarray(lists.value_lengths())), column.ravel()] = flat
+        else:
+            stack = flat.reshape(len(table), -1)
         empty = np.isnan(stack).all(axis=0)
         stack[:, empty] = 0.0
         rows = [*np.nanpercentile(stack, [25, 50, 75], axis=0), np.nanmean(stack, axis=0)]
         lists = [pa.array([pa.array(np.where(empty, np.nan, r), from_pandas=True).to_pylist()], pa.list_(pa.float64())) for r in rows]
-        return pa.Table.from_arrays([table[k].slice(0, 1) for k in keys] + lists, [*keys, "p25", "median", "p75", "mean"])
+        names = [*keys, "p25", "median", "p75", "mean"]
+        if placed:
+            kind = pa.struct([("y", pa.int32()), ("x", pa.int32())])
+            lists.append(pa.array([[{"y": int(a), "x": int(b)} for a, b in every.T]], pa.list_(kind)))
+            names.append("at")
+        return pa.Table.from_arrays([table[k].slice(0, 1) for k in keys] + lists, names)
 
     return blocks.groupBy(*keys).applyInArrow(run, schema)
 
 
 def to_blocks(raster: DataFrame, value: str = "v", keys: tuple[str, ...] = ("index_name", "scene", "chunk")) -> DataFrame:
-    """Pixels as blocks in row-major order. A group is one chunk of one scene."""
+    """Pixels as blocks in row-major order, with their places `at`. A group is one chunk of one scene."""
     cells = F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).alias("v"))))
-    return raster.groupBy(*keys).agg(cells.alias("_cells")).select(*keys, F.transform("_cells", lambda c: c["v"]).alias("px"), F.transform("_cells", lambda c: F.struct(c["y"], c["x"])).alias("at"))
+    return raster.groupBy(*keys).agg(cells.alias("_cells")).select(*keys, F.transform("_cells", lambda c: c["v"]).alias("px"), F.transform("_cells", lambda c: F.struct(c["y"].cast("int").alias("y"), c["x"].cast("int").alias("x"))).alias("at"))
+
+
+def fill_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks (..., h, w, cells array<struct<i,v>>) with px, all h * w pixels, in place of cells; null where no cell is."""
+    rest = [f for f in blocks.schema if f.name != "cells"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, out = batch.column("cells"), []
+            size = np.asarray(batch.column("h"), np.int64) * np.asarray(batch.column("w"), np.int64)
+            for k, n in enumerate(size.tolist()):
+                px = np.full(n, np.nan)
+                if cells[k].is_valid:
+                    own = cells[k].values
+                    px[np.asarray(own.field("i"))] = np.asarray(own.field("v"), float)
+                out.append(pa.array(px, from_pandas=True))
+            offsets = pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.concat_arrays(out) if out else pa.array([], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), lists], [*(f.name for f in rest), "px"])
+
+    from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+
+    return blocks.mapInArrow(run, StructType([*rest, StructField("px", ArrayType(DoubleType()))]))
 
 
 def bounds(raster: DataFrame, value: str = "v", share: float = pixels.LABEL_SHARE) -> DataFrame:

@@ -1,8 +1,9 @@
 """Rasters and vectors: buffered features, polygons, land cover, and crops by boxes.
 
 Pixels meet features in square cells: a feature is copied to each cell that it can touch, a pixel
-is in one, so the join is on equality and the geometry is tested within a cell. The number of
-cells of a feature follows its size.
+is in one, so the join is on equality and the geometry is tested within a cell. A copy holds only
+the edges that matter in its cell, so a long coast or river costs what its edges span, not its
+vertices times its extent.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,16 +16,47 @@ def _cells(low: Column, high: Column, side: float) -> Column:
     return F.explode(F.sequence(F.floor(low / side), F.floor(high / side)))
 
 
-def _extent(vertices: Column, axis: str, buffer: float) -> tuple[Column, Column]:
-    values = F.transform(vertices, lambda v: v[axis])
-    return F.array_min(values) - buffer, F.array_max(values) + buffer
+def segments(vertices: Column) -> Column:
+    """The segments (a, b) of a polyline; a single point is one of no length."""
+    n = F.size(vertices)
+    ahead = F.slice(vertices, 2, F.greatest(n - 1, F.lit(0)))
+    return F.when(n == 1, F.arrays_zip(vertices.alias("a"), vertices.alias("b"))).otherwise(F.arrays_zip(F.slice(vertices, 1, F.greatest(n - 1, F.lit(0))).alias("a"), ahead.alias("b")))
 
 
-def by_cell(features: DataFrame, side: float, buffer: float = 0.0) -> DataFrame:
-    """`features` (vertices, ...) with (cy, cx), a row for each cell that they may touch."""
-    x0, x1 = _extent(F.col("vertices"), "x", buffer)
-    y0, y1 = _extent(F.col("vertices"), "y", buffer)
-    return features.where(F.size("vertices") > 0).withColumn("cy", _cells(y0, y1, side)).withColumn("cx", _cells(x0, x1, side))
+def ring(vertices: Column) -> Column:
+    """The edges (a, b) of a polygon, the last back to the first vertex."""
+    turned = F.concat(F.slice(vertices, 2, F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1))
+    return F.arrays_zip(vertices.alias("a"), turned.alias("b"))
+
+
+def _span(edges: Column, axis: str, buffer: float) -> tuple[Column, Column]:
+    ends = F.transform(edges, lambda e: F.struct(F.least(e["a"][axis], e["b"][axis]).alias("low"), F.greatest(e["a"][axis], e["b"][axis]).alias("high")))
+    return F.array_min(F.transform(ends, lambda e: e["low"])) - buffer, F.array_max(F.transform(ends, lambda e: e["high"])) + buffer
+
+
+def _low(e: Column, axis: str) -> Column:
+    return F.least(e["a"][axis], e["b"][axis])
+
+
+def _high(e: Column, axis: str) -> Column:
+    return F.greatest(e["a"][axis], e["b"][axis])
+
+
+def by_cell(features: DataFrame, side: float, buffer: float = 0.0, closed: bool = False) -> DataFrame:
+    """(cy, cx, edges) of `features` (vertices): a row for each cell that a feature may touch.
+
+    Of a line, a cell has the segments within `buffer` of it; of a polygon (closed), the edges of
+    the cell's row that aren't all left of it, which decide the parity of its pixels.
+    """
+    rows = features.where(F.size("vertices") > 0).select((ring if closed else segments)(F.col("vertices")).alias("edges"))
+    low, high = _span(F.col("edges"), "y", buffer)
+    rows = rows.withColumn("cy", _cells(low, high, side))
+    rows = rows.select("cy", F.filter("edges", lambda e: (_low(e, "y") - buffer < (F.col("cy") + 1) * side) & (_high(e, "y") + buffer >= F.col("cy") * side)).alias("edges")).where(F.size("edges") > 0)
+    low, high = _span(F.col("edges"), "x", buffer)
+    rows = rows.withColumn("cx", _cells(low, high, side))
+    right = lambda e: _high(e, "x") + buffer >= F.col("cx") * side
+    near = right if closed else lambda e: right(e) & (_low(e, "x") - buffer < (F.col("cx") + 1) * side)
+    return rows.select("cy", "cx", F.filter("edges", near).alias("edges")).where(F.size("edges") > 0)
 
 
 def _segment_distance2(px: Column, py: Column, a: Column, b: Column) -> Column:
@@ -36,18 +68,13 @@ def _segment_distance2(px: Column, py: Column, a: Column, b: Column) -> Column:
     return ex * ex + ey * ey
 
 
-def within(px: Column, py: Column, vertices: Column, distance: float) -> Column:
-    """Whether a point is within a distance of a point or polyline."""
-    one = F.size(vertices) == 1
-    ahead = F.slice(vertices, 2, F.greatest(F.size(vertices) - 1, F.lit(0)))
-    pairs = F.when(one, F.arrays_zip(vertices.alias("a"), vertices.alias("b"))).otherwise(F.arrays_zip(F.slice(vertices, 1, F.greatest(F.size(vertices) - 1, F.lit(0))).alias("a"), ahead.alias("b")))
-    return F.exists(pairs, lambda s: _segment_distance2(px, py, s["a"], s["b"]) <= distance * distance)
+def within(px: Column, py: Column, edges: Column, distance: float) -> Column:
+    """Whether a point is within a distance of any of some segments."""
+    return F.exists(edges, lambda s: _segment_distance2(px, py, s["a"], s["b"]) <= distance * distance)
 
 
-def inside(px: Column, py: Column, vertices: Column) -> Column:
+def inside(px: Column, py: Column, edges: Column) -> Column:
     """Whether a point is in a polygon, by the parity of edges that a ray to the right crosses."""
-    turned = F.concat(F.slice(vertices, 2, F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1))
-    edges = F.arrays_zip(vertices.alias("a"), turned.alias("b"))
     crossing = lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py)) & (
         px < (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
     return F.size(F.filter(edges, crossing)) % 2 == 1
@@ -56,7 +83,7 @@ def inside(px: Column, py: Column, vertices: Column) -> Column:
 def outside_buffer(raster: DataFrame, features: DataFrame, buffer: float, x: str = "x", y: str = "y", side: float = 16.0) -> DataFrame:
     """Pixels farther than `buffer` from every point and line of `features`; all pixels if there is none."""
     cells = by_cell(features.select("vertices"), side, buffer)
-    on = (F.floor(raster[y] / side) == cells["cy"]) & (F.floor(raster[x] / side) == cells["cx"]) & within(raster[x], raster[y], cells["vertices"], buffer)
+    on = (F.floor(raster[y] / side) == cells["cy"]) & (F.floor(raster[x] / side) == cells["cx"]) & within(raster[x], raster[y], cells["edges"], buffer)
     return raster.join(cells, on, "left_anti")
 
 
@@ -64,8 +91,8 @@ def covered(raster: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y",
     """Pixels in a polygon of `polygons`: with land polygons, the sea is masked. All pixels if there is no polygon."""
     if polygons.isEmpty():
         return raster
-    cells = by_cell(polygons.select("vertices"), side)
-    on = (F.floor(raster[y] / side) == cells["cy"]) & (F.floor(raster[x] / side) == cells["cx"]) & inside(raster[x], raster[y], cells["vertices"])
+    cells = by_cell(polygons.select("vertices"), side, closed=True)
+    on = (F.floor(raster[y] / side) == cells["cy"]) & (F.floor(raster[x] / side) == cells["cx"]) & inside(raster[x], raster[y], cells["edges"])
     return raster.join(cells, on, "left_semi")
 
 
@@ -86,6 +113,21 @@ def crop(raster: DataFrame, windows: DataFrame, id_col: str, side: int = 16) ->
     return raster.join(cells, on).select(cells[id_col], (raster["y"] - cells["y0"]).alias("y"), (raster["x"] - cells["x0"]).alias("x"), *rest)
 
 
+def in_bounds(features: DataFrame, left: float, bottom: float, right: float, top: float, strict: bool = False) -> DataFrame:
+    """Features (vertices) whose extent meets a bounding box; strict: lies in it."""
+    low_x, high_x = _span(segments(F.col("vertices")), "x", 0.0)
+    low_y, high_y = _span(segments(F.col("vertices")), "y", 0.0)
+    if strict:
+        return features.where((low_x >= left) & (high_x <= right) & (low_y >= bottom) & (high_y <= top))
+    return features.where((high_x >= left) & (low_x <= right) & (high_y >= bottom) & (low_y <= top))
+
+
+def to_pixels(features: DataFrame, transform: Column) -> DataFrame:
+    """`features` with vertices in pixels: the inverse of a raster's affine transform a, c, e, f."""
+    cell = lambda v: F.struct(((v["x"] - transform["c"]) / transform["a"]).alias("x"), ((v["y"] - transform["f"]) / transform["e"]).alias("y"))
+    return features.withColumn("vertices", F.transform("vertices", cell))
+
+
 def mask_features(raster: DataFrame, layers: dict[str, DataFrame | None], river_buffer: float = 20.0, reservoir_buffer: float = 50.0, urban: tuple[int, ...] = (20, 21)) -> DataFrame:
     """Rivers, then sea, then known reservoirs, then towns masked; a layer that is missing is passed over."""
     out = raster

@@ -36,18 +36,17 @@ def masked_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as one W x W raster: event_id, y, x, w, v (null where the type is error), type, class."""
+    """`events` as one raster of h rows of w pixels, the last row partly empty: event_id, y, x, h, w, v (null where the type is error), type, class."""
     e = table(spark, sf_dir, "events")
-    side = e.agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("bigint").alias("w"))
-    rows = e.crossJoin(F.broadcast(side)).where(F.col("event_id") < F.col("w") * F.col("w"))  # one row
+    rows = e.crossJoin(F.broadcast(mosaic_side(spark, sf_dir)))  # one row
     return rows.select(
-        "event_id", F.floor(F.col("event_id") / F.col("w")).cast("bigint").alias("y"), (F.col("event_id") % F.col("w")).alias("x"), "w",
+        "event_id", F.floor(F.col("event_id") / F.col("w")).cast("bigint").alias("y"), (F.col("event_id") % F.col("w")).alias("x"), "h", "w",
         pixels.unless(F.col("event_type") == "error", F.col("value")).alias("v"), "event_type", F.get_json_object("props", "$.k").cast("int").alias("class"))
 
 
-MOSAIC_SQL = """side AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS w FROM events),
+MOSAIC_SQL = """side AS (SELECT CAST(ceil(sqrt(max(event_id) + 1)) AS BIGINT) AS w FROM events),
 mosaic AS (SELECT event_id, event_id // w AS y, event_id % w AS x, w, CASE WHEN event_type <> 'error' THEN value END AS v, event_type,
-  CAST(json_extract_string(props, '$.k') AS INTEGER) AS class FROM events, side WHERE event_id < w * w)"""
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS class FROM events, side)"""
 PIXELS_SQL = f"""pixels AS (SELECT vec_id AS scene, label AS tile, CAST(p // 8 AS INTEGER) AS y, CAST(p % 8 AS INTEGER) AS x,
   CAST(floor((CAST(embedding[p + 1] AS DOUBLE) + 1) * 1000) AS INTEGER) AS green, CAST(floor((CAST(embedding[64 - p] AS DOUBLE) + 1) * 1000) AS INTEGER) AS nir
   FROM embeddings, unnest(range(64)) AS t(p)),
@@ -63,7 +62,9 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").agg(F.floor(F.sqrt(F.count(F.lit(1)))).cast("bigint").alias("w"))
+    """One row: the mosaic's rows h and columns w, the least square that holds all ids."""
+    last = table(spark, sf_dir, "events").agg(F.max("event_id").alias("last"), F.ceil(F.sqrt(F.max("event_id") + 1)).cast("bigint").alias("w"))
+    return last.select((F.floor(F.col("last") / F.col("w")) + 1).cast("bigint").alias("h"), "w")
 
 
 def land_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def cloud_probability_zero(spark, d):
   cols AS (SELECT x, ntile(7) OVER (ORDER BY x) - 1 AS part FROM (SELECT DISTINCT x FROM mosaic))
   SELECT m.event_id, m.y, m.x, r.part * 7 + c.part AS chunk, CAST(r.part AS INTEGER) AS chunk_row, CAST(c.part AS INTEGER) AS chunk_col FROM mosaic m JOIN rows r ON m.y = r.y JOIN cols c ON m.x = c.x""")
 def grid_chunks(spark, d):
-    m = b.mosaic(spark, d).withColumn("chunk", grid.chunk_of(F.col("y"), F.col("x"), F.col("w"), F.col("w"), 50))
+    m = b.mosaic(spark, d).withColumn("chunk", grid.chunk_of(F.col("y"), F.col("x"), F.col("h"), F.col("w"), 50))
     place = grid.chunk_place(F.col("chunk"), 7)
     return m.select("event_id", "y", "x", "chunk", place["row"].alias("chunk_row"), place["col"].alias("chunk_col"))
 
@@ -220,7 +220,7 @@ def global_bounds(spark, d):
   n AS (SELECT chunk, count(v) AS n_valid, max(v) AS greatest FROM k GROUP BY chunk HAVING count(v) > 0)
   SELECT chunk, n_valid, greatest, row_number() OVER (ORDER BY chunk) - 1 AS ordinal FROM n""")
 def valid_chunk_ordinal(spark, d):
-    m = b.mosaic(spark, d).withColumn("chunk", grid.chunk_of(F.col("y"), F.col("x"), F.col("w"), F.col("w"), 100))
+    m = b.mosaic(spark, d).withColumn("chunk", grid.chunk_of(F.col("y"), F.col("x"), F.col("h"), F.col("w"), 100))
     return raster.valid_chunks(m.withColumn("v", pixels.unless(~(F.col("v") > 250), F.col("v"))))
 
 

@@ -11,11 +11,12 @@ from mereling.operators import evaluation, labels, model, predictions, raster, s
 def water_index(bands: DataFrame, cloud: DataFrame | None, settings: Settings, layers: dict | None = None) -> DataFrame:
     """Pixels (scene, y, x, green, nir) to (y, x, v): clouds masked, NDWI, composited over scenes, then features masked.
 
-    Features don't depend on the scene, so they are masked once, after the composite.
+    Features don't depend on the scene, so they are masked once, after the composite. The composite is
+    the median of each pixel, or its mean where `settings.composite` says so or compositing is off.
     """
     seen = bands if cloud is None else raster.mask_classes(bands, cloud, ("green", "nir"))
     index = seen.select("scene", "y", "x", pixels.ndwi(F.col("green"), F.col("nir")).alias("v"))
-    if settings.compositing:
+    if settings.compositing and settings.composite == "median":
         out = raster.composite(index, keys=("y", "x")).select("y", "x", F.col("median").alias("v"))
     else:
         out = raster.composite_mean(index, keys=("y", "x")).select("y", "x", F.col("mean").alias("v"))
@@ -29,10 +30,10 @@ def chunk_blocks(index: DataFrame, height: int, width: int, settings: Settings)
     row, col = F.floor(F.col("chunk") / k), F.col("chunk") % k
     start = lambda p, n: grid.part_start(p, F.lit(n), k)
     size = lambda p, n: (start(p + 1, n) - start(p, n)).cast("int")
-    cells = every.groupBy("file", "chunk").agg(F.map_from_entries(F.collect_list(F.struct(
-        ((F.col("y") - start(row, height)) * size(col, width) + F.col("x") - start(col, width)).cast("int"), "v"))).alias("m"))
-    h, w = size(F.floor(F.col("chunk") / k), height), size(F.col("chunk") % k, width)
-    return cells.select("file", "chunk", h.alias("h"), w.alias("w"), F.transform(F.sequence(F.lit(0), h * w - 1), lambda i: F.try_element_at("m", i)).alias("px"))
+    place = ((F.col("y") - start(row, height)) * size(col, width) + F.col("x") - start(col, width)).cast("int")
+    seen = every.where("v is not null").groupBy("file", "chunk").agg(F.collect_list(F.struct(place.alias("i"), "v")).alias("cells"))
+    chunks = every.select("file", "chunk").distinct().join(seen, ["file", "chunk"], "left")
+    return raster.fill_blocks(chunks.select("file", "chunk", size(F.floor(F.col("chunk") / k), height).alias("h"), size(F.col("chunk") % k, width).alias("w"), "cells"))
 
 
 def label(lines: DataFrame, blocks: DataFrame, align: str = "chunk") -> DataFrame:
