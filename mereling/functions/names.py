@@ -41,6 +41,11 @@ def band_file(prefix: Column, band: Column, resolution: Column) -> Column:
     return F.concat(prefix, F.lit("_B"), band, F.lit("_"), resolution, F.lit(".jp2"))
 
 
+def true_colour_file(prefix: Column, resolution: Column) -> Column:
+    """The file of the true-colour image: {prefix}_TCI_{resolution}.jp2."""
+    return F.concat(prefix, F.lit("_TCI_"), resolution, F.lit(".jp2"))
+
+
 def index_bands(high_res: bool) -> dict[str, str]:
     """The bands that the water index needs, by role."""
     table = BANDS_10M if high_res else BANDS_20M
@@ -64,6 +69,10 @@ def prediction_file(chunks: Column, epochs: Column, tile: Column) -> Column:
     return F.concat(F.lit("P_"), chunks.cast("string"), F.lit("_"), epochs.cast("string"), F.lit("_"), tile, F.lit(".csv"))
 
 
+def label_file(tile: Column, chunks: Column) -> Column:
+    return F.concat(tile, F.lit("-"), chunks.cast("string"), F.lit("chunks.csv"))
+
+
 def hms(seconds: Column) -> Column:
     """(hours, minutes, seconds) of a non-negative number of seconds, rounded down; null for others."""
     whole = F.floor(seconds).cast("bigint")

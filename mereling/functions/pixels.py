@@ -27,6 +27,12 @@ def evi2(nir: Column, red: Column) -> Column:
     return 2.4 * (nir - red) / F.nullif(nir + red + 1, F.lit(0))
 
 
+def evi(nir: Column, red: Column, blue: Column, gain: float = 2.5, c1: float = 6.0, c2: float = 7.5, ground: float = 1.0) -> Column:
+    """The enhanced vegetation index, with its usual coefficients; null where the denominator is 0."""
+    nir, red, blue = (v.cast("double") for v in (nir, red, blue))
+    return gain * (nir - red) / F.nullif(nir + c1 * red - c2 * blue + ground, F.lit(0.0))
+
+
 def no_nan(v: Column) -> Column:
     return F.nanvl(v, F.lit(None).cast("double"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mereling.config import Settings
@@ -52,6 +52,11 @@ def resize(patches: DataFrame, side: int = 31) -> DataFrame:
     return patches.mapInArrow(run, schema)
 
 
+def rescale(patches: DataFrame) -> DataFrame:
+    """Patches with grey values 0 .. 255 as 0 .. 1."""
+    return patches.withColumn("px", F.transform("px", lambda v: v / 255.0))
+
+
 def fit_perceptron(rows: DataFrame, features: str = "px", label: str = "label", hidden: int = 32, steps: int = 60, seed: int = 123) -> MultilayerPerceptronClassificationModel:
     """A perceptron with one hidden layer; features are arrays of one length, labels 0 .. n-1."""
     shape = rows.agg(F.max(F.size(features)), F.max(label)).first()
@@ -104,6 +109,15 @@ def predict_convolution(patches: DataFrame, weights: list[np.ndarray], side: int
     return patches.mapInArrow(run, StructType([*patches.schema.fields, StructField("logits", ArrayType(DoubleType()))]))
 
 
+def load(spark: SparkSession, folder: str, name: str) -> MultilayerPerceptronClassificationModel:
+    """The model in `folder` whose name contains `name`; an error if none or several do."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath() for s in base.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(base) if name in s.getPath().getName()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} models in {folder} have {name!r} in their name")
+    return MultilayerPerceptronClassificationModel.load(str(found[0]))
+
+
 def save(model, path: str) -> None:
     """Write a model; never over another."""
     model.write().save(path)

@@ -1,6 +1,6 @@
 """Predictions: best class, order, the wide table, and the best of each chunk."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mereling.config import CLASS_NAMES
@@ -32,6 +32,14 @@ def chunk_range(files: DataFrame, start: int, n: int | None) -> DataFrame:
     return out if n is None else out.where(F.col("chunk") < start + n)
 
 
+def slice_in_order(files: DataFrame, start: int, n: int | None, by: str = "scene", name: str = "name") -> DataFrame:
+    """The n files from place `start` (from 0) of each scene, in the order of their chunks; all that follow without n."""
+    key = names.chunk_key(F.col(name))
+    order = Window.partitionBy(by).orderBy(*(F.nullif(key[f], F.lit(-1)).asc_nulls_last() for f in ("chunk", "minichunk")), name)
+    placed = files.withColumn("_at", F.row_number().over(order) - 1).where(F.col("_at") >= start)
+    return (placed if n is None else placed.where(F.col("_at") < start + n)).drop("_at")
+
+
 def wide(predictions: DataFrame) -> DataFrame:
     """One row per chunk with 25 cells `LABEL confidence`, null where none; rows that didn't parse are left out."""
     cell = F.concat_ws(" ", "label", F.format_string("%.2f", "confidence"))
@@ -49,9 +57,9 @@ def csv_lines(predictions: DataFrame) -> DataFrame:
 CSV_HEADER = [",minichunks,", "chunk," + ",".join(map(str, MINI_CHUNKS))]
 
 
-def read_csv_lines(lines: DataFrame) -> DataFrame:
-    """Lines (line_no, value) of a prediction file as chunk, minichunk, cell."""
-    rows = lines.where("line_no >= 2").select(F.split("value", ",").alias("f"))
+def read_csv_lines(lines: DataFrame, n: int | None = None) -> DataFrame:
+    """Lines (line_no, value) of a prediction file as chunk, minichunk, cell; n: only the first n after the header (as many as there are responses)."""
+    rows = lines.where("line_no >= 2" if n is None else f"line_no >= 2 and line_no < {n + 2}").select(F.split("value", ",").alias("f"))
     cells = rows.select(F.get("f", F.lit(0)).try_cast("int").alias("chunk"), F.posexplode(F.slice("f", 2, len(MINI_CHUNKS))).alias("minichunk", "cell"))
     return cells.where("chunk is not null and cell <> ''")
 

@@ -9,7 +9,7 @@ from mereling.config import CLASS_NAMES
 from mereling.functions import grid, names, pixels
 from mereling.operators import evaluation, labels, model, predictions, raster, spatial
 from mereling.plans import bindings as b
-from mereling.sources import scenes
+from mereling.sources import images, scenes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -45,6 +45,11 @@ def vegetation_indices(spark, d):
     return b.scenes_pixels(spark, d).select("scene", "y", "x", pixels.ndvi(F.col("nir"), F.col("green")).alias("ndvi"), F.round(pixels.evi2(F.col("nir"), F.col("green")), 9).alias("evi2"))
 
 
+@query(f"""WITH {b.PIXELS_SQL} SELECT scene, y, x, round(CAST(2.5 AS DOUBLE) * (nir - green) / nullif(nir + CAST(6 AS DOUBLE) * green - CAST(7.5 AS DOUBLE) * (green // 2) + 1, 0), 6) AS evi FROM pixels""")
+def enhanced_index(spark, d):
+    return b.scenes_pixels(spark, d).select("scene", "y", "x", F.round(pixels.evi(F.col("nir"), F.col("green"), F.floor(F.col("green") / 2)), 6).alias("evi"))
+
+
 @query(f"""WITH {b.PIXELS_SQL}, long AS (SELECT scene, y, x, 'green' AS band, green AS dn FROM pixels UNION ALL SELECT scene, y, x, 'nir', nir FROM pixels)
   SELECT scene, y, x, max(CASE WHEN band = 'green' THEN dn END) AS green, max(CASE WHEN band = 'nir' THEN dn END) AS nir FROM long GROUP BY scene, y, x""")
 def band_alignment(spark, d):
@@ -381,7 +386,17 @@ def hms(spark, d):
 def duplicate_names(spark, d):
     """Names that contain one of a short list of names: the list is the distinct last parts, at most 250."""
     parts = b.table(spark, d, "supplier").select(F.concat((F.col("s_suppkey") % 10).cast("string"), F.col("s_nationkey").cast("string")).alias("part")).distinct()
-    return b.table(spark, d, "customer").join(F.broadcast(parts), F.contains("c_name", "part"), "left_semi").select("c_custkey", "c_name")
+    return images.containing(b.table(spark, d, "customer"), parts, "c_name", "part").select("c_custkey", "c_name")
+
+
+@query(f"""WITH {_FILES_SQL}, k AS (SELECT f.event_id, f.name, e.user_id % 50 AS scene, TRY_CAST(nullif(regexp_extract(name, 'chunk\\s+(\\d+)\\s+minichunk\\s+(\\d+)', 1), '') AS INTEGER) AS c,
+  TRY_CAST(nullif(regexp_extract(name, 'chunk\\s+(\\d+)\\s+minichunk\\s+(\\d+)', 2), '') AS INTEGER) AS m FROM files f JOIN events e ON f.event_id = e.event_id),
+  n AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY c NULLS LAST, m NULLS LAST, name) - 1 AS at FROM k) SELECT event_id, scene, name FROM n WHERE at >= 2 AND at < 10""")
+def ordered_slice(spark, d):
+    """Eight files of each scene by their place in the order: the limits are the feature."""
+    i = F.col("event_id")
+    name = F.when(i % 9 == 0, F.concat(F.lit("other "), i.cast("string"), F.lit(".png"))).otherwise(F.concat(F.lit("ndwi chunk "), F.floor(i / 25).cast("string"), F.lit(" minichunk  "), (i % 25).cast("string"), F.lit(".png")))
+    return predictions.slice_in_order(b.table(spark, d, "events").select("event_id", (F.col("user_id") % 50).alias("scene"), name.alias("name")), 2, 8)
 
 
 # --- predictions and evaluation
@@ -426,6 +441,19 @@ _COUNTS_SQL = f"""WITH {b.PREDICTIONS_SQL}, p AS (SELECT chunk, count(*) FILTER
   c AS (SELECT class, CAST(sum(least(p, n)) AS BIGINT) AS tp, CAST(sum(25 - greatest(p, n)) AS BIGINT) AS tn, CAST(sum(greatest(p - n, 0)) AS BIGINT) AS fp, CAST(sum(greatest(n - p, 0)) AS BIGINT) AS fn, count(*) AS chunks FROM k GROUP BY class)"""
 
 
+@query(f"""WITH {b.LINES_SQL} SELECT CAST(line_no - 1 AS INTEGER) AS chunk, nr AS reservoirs, nb AS water_bodies, nb = 1 AND coalesce(f[9] = '[  0.   0. 157. 157.]', false) AS sea FROM parsed""")
+def label_responses(spark, d):
+    return evaluation.responses(labels.clean(b.label_lines(spark, d)))
+
+
+@query("""WITH h AS (SELECT l_returnflag AS run, l_orderkey * 10 + l_linenumber AS epoch, l_extendedprice AS loss FROM lineitem),
+  r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY loss, epoch) AS low, row_number() OVER (PARTITION BY run ORDER BY loss DESC, epoch) AS high FROM h)
+  SELECT run, max(CASE WHEN low = 1 THEN loss END) AS least, max(CASE WHEN low = 1 THEN epoch END) AS least_epoch, max(CASE WHEN high = 1 THEN loss END) AS greatest, max(CASE WHEN high = 1 THEN epoch END) AS greatest_epoch FROM r GROUP BY run""")
+def history_extrema(spark, d):
+    h = b.table(spark, d, "lineitem").select(F.col("l_returnflag").alias("run"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("epoch"), F.col("l_extendedprice").alias("loss"))
+    return evaluation.extrema(h, "loss", by=("run",))
+
+
 def _confusion(spark, d):
     p = b.predictions(spark, d)
     cells = p.select("chunk", F.concat_ws(" ", "label", F.col("confidence").cast("string")).alias("cell"))

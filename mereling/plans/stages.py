@@ -1,11 +1,13 @@
 """The four stages over tables: label, train, predict, evaluate."""
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mereling.config import CLASS_NAMES, Settings
 from mereling.functions import grid, pixels
 from mereling.operators import evaluation, labels, model, predictions, raster, spatial
+from mereling.sources import images
 
 
 def water_index(bands: DataFrame, cloud: DataFrame | None, settings: Settings, layers: dict | None = None) -> DataFrame:
@@ -44,7 +46,7 @@ def label(lines: DataFrame, blocks: DataFrame, align: str = "chunk") -> DataFram
 def train(patches: DataFrame, settings: Settings = Settings(), steps: int = 60):
     """Patches (class, px, key) to a perceptron and its share of right answers on the held-out part."""
     number = F.array_position(F.array(*map(F.lit, CLASS_NAMES)), F.col("class")).cast("int") - 1
-    rows = model.resize(patches, settings.patch_side).withColumn("label", number)
+    rows = model.rescale(model.resize(patches, settings.patch_side)).withColumn("label", number)
     fit, held = model.split(rows, "key", settings)
     made = model.fit_perceptron(fit, steps=steps, seed=settings.seed)
     right = model.predict_perceptron(made, held).agg(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0]
@@ -59,14 +61,28 @@ def mini_chunks(blocks: DataFrame, share: float = pixels.PREDICT_SHARE) -> DataF
     return cut.select("file", "chunk", F.col("win.minichunk").alias("minichunk"), (F.col("win.y1") - F.col("win.y0")).alias("h"), (F.col("win.x1") - F.col("win.x0")).alias("w"), px.alias("px"))
 
 
+def stored_mini_chunks(spark: SparkSession, blocks: DataFrame, path: str, scene: str, multiplier: float, rebuild: bool = False) -> DataFrame:
+    """The mini-chunks of a scene from the store at `path`, cut from `blocks` and stored first if it has fewer than it should."""
+    expected = blocks.count() * 25
+    pick = lambda: spark.read.parquet(path).where((F.col("scene") == scene) & (F.col("multiplier") == multiplier))
+    try:
+        old = rebuild or images.stale(pick(), expected)
+    except AnalysisException:  # nothing stored yet
+        old = True
+    if old:
+        images.write_mini_chunks(mini_chunks(blocks, multiplier).withColumns({"scene": F.lit(scene), "multiplier": F.lit(multiplier)}), path)
+    return pick().drop("scene", "multiplier")
+
+
 def predict(cut: DataFrame, classifier, settings: Settings = Settings(), start: int = 0, n: int | None = None) -> DataFrame:
     """Mini-chunks to predictions: file, chunk, minichunk, label, confidence."""
-    rows = model.predict_perceptron(classifier, model.resize(predictions.chunk_range(cut, start, n), settings.patch_side))
+    rows = model.predict_perceptron(classifier, model.rescale(model.resize(predictions.chunk_range(cut, start, n), settings.patch_side)))
     name = F.upper(F.element_at(F.array(*map(F.lit, CLASS_NAMES)), F.col("predicted") + 1))
     return rows.select("file", "chunk", "minichunk", name.alias("label"), "confidence")
 
 
 def evaluate(predicted: DataFrame, lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Predictions (chunk, minichunk, label, confidence) against label lines: the metrics of each class."""
+    true = evaluation.true_counts(evaluation.responses(labels.clean(lines), settings.max_label_rows))
     cells = predicted.where("chunk >= 0").select("chunk", F.concat_ws(" ", "label", F.format_string("%.2f", "confidence")).alias("cell"))
-    return evaluation.metrics(evaluation.confusion(evaluation.predicted_counts(cells, settings.confidence_threshold), evaluation.true_counts(evaluation.responses(labels.clean(lines), settings.max_label_rows))))
+    return evaluation.metrics(evaluation.confusion(evaluation.predicted_counts(evaluation.check_lengths(cells, true), settings.confidence_threshold), true))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from mereling.functions import names
 from mereling.sources.paths import file_system
 
 
@@ -98,6 +99,23 @@ def write_parquet(patches: DataFrame, path: str) -> None:
     patches.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("class", "scene_prefix").parquet(path)
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, name, chunk, minichunk) of the PNG files at `path`, -1 for names that aren't mini-chunks; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path).select("path")
+    rows = files.withColumn("name", F.url_decode(F.regexp_extract("path", r"([^/]+)$", 1)))
+    return rows.withColumn("_k", names.chunk_key(F.col("name"))).select("path", "name", "_k.*")
+
+
+def containing(files: DataFrame, parts: DataFrame, name: str, part: str) -> DataFrame:
+    """Rows of `files` whose name contains one of the names in `parts`, a short list (it is sent to all tasks)."""
+    return files.join(F.broadcast(parts.select(F.col(part).alias("_part")).distinct()), F.contains(F.col(name), F.col("_part")), "left_semi")
+
+
+def write_mini_chunks(cut: DataFrame, path: str) -> None:
+    """Mini-chunks (scene, multiplier, ...) as Parquet by scene and multiplier; a pair that is written again replaces its own, and no other's."""
+    cut.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("scene", "multiplier").parquet(path)
+
+
 def stale(existing: DataFrame, expected: int, rebuild: bool = False) -> bool:
     """Whether cut mini-chunks have to be cut again: on demand, or when fewer are there than expected."""
     return rebuild or existing.limit(expected).count() < expected

@@ -23,6 +23,19 @@ def one_granule(rows: DataFrame) -> DataFrame:
     return rows.join(odd, "scene", "left").where(F.when(F.col("_odd"), F.raise_error(F.concat(F.lit("not one granule: "), "scene"))).otherwise(F.lit("")) == "").drop("_odd")
 
 
+def metadata(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per scene, granule and resolution, from the granules' MTD_TL.xml: scene, granule, resolution (m), crs, height, width, transform (a, c, e, f)."""
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "MTD_TL.xml").text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    part = lambda p: F.regexp_extract("path", p, 1)
+    plain = F.regexp_replace("value", r"(</?)[A-Za-z0-9]+:", "$1")  # names without their spaces
+    rows = files.select(part(r"/([^/]+\.SAFE)/").alias("scene"), part(r"/GRANULE/([^/]+)/").alias("granule"), plain.alias("xml"))
+    rows = rows.select("scene", "granule", "xml", F.xpath_string("xml", F.lit("//HORIZONTAL_CS_CODE")).alias("crs"), F.explode(F.xpath("xml", F.lit("//Geoposition/@resolution"))).alias("resolution"))
+    one = lambda group, name: F.coalesce(*(F.when(F.col("resolution") == r, F.expr(f"xpath_double(xml, '//{group}[@resolution=\"{r}\"]/{name}')")) for r in ("10", "20", "60")))
+    return rows.select(
+        "scene", "granule", F.col("resolution").cast("int").alias("resolution"), "crs", one("Size", "NROWS").cast("int").alias("height"), one("Size", "NCOLS").cast("int").alias("width"),
+        F.struct(one("Geoposition", "XDIM").alias("a"), one("Geoposition", "ULX").alias("c"), one("Geoposition", "YDIM").alias("e"), one("Geoposition", "ULY").alias("f")).alias("transform"))
+
+
 def first_scenes(scenes: DataFrame, n: int) -> DataFrame:
     """The first n scene names, in order (a chosen number of images)."""
     return scenes.where(names.is_scene(F.col("scene"))).select("scene").distinct().orderBy("scene").limit(n)

@@ -168,3 +168,61 @@ def test_split_is_stable_and_disjoint(spark):
 def test_resize_keeps_flat_images_and_means():
     assert np.allclose(model.bilinear(np.full((32, 31), 7.0), 31), 7.0)
     assert np.allclose(model.bilinear(np.arange(12.0).reshape(3, 4), 4)[0, [0, 3]], [0, 3])
+
+
+def test_blocks_that_lack_different_pixels(spark):
+    r = np.random.default_rng(3)
+    rows = [("i", f"s{s}", 0, y, x, float(r.normal())) for s in range(4) for y in range(3) for x in range(5) if r.random() < 0.6]
+    df = spark.createDataFrame(rows, "index_name string, scene string, chunk int, y int, x int, v double")
+    made = raster.composite_blocks(raster.to_blocks(df)).first()
+    want = {(x.y, x.x): (x.median, x.mean) for x in raster.composite(df).collect()}
+    got = {(p.y, p.x): (a, b) for p, a, b in zip(made["at"], made["median"], made["mean"], strict=True)}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_filled_blocks(spark):
+    df = spark.createDataFrame([("f", 0, 2, 2, [(3, 1.5), (0, 2.5)]), ("f", 1, 1, 2, None)], "file string, chunk int, h int, w int, cells array<struct<i:int,v:double>>")
+    assert {r.chunk: r.px for r in raster.fill_blocks(df).collect()} == {0: [2.5, None, None, 1.5], 1: [None, None]}
+
+
+def test_cells_hold_only_the_edges_that_matter(spark):
+    """A polygon of many vertices: the rows of all cells follow its edges, not vertices times cells."""
+    n = 4000
+    ring = [(500 + 400 * float(np.cos(t)), 500 + 400 * float(np.sin(t))) for t in np.linspace(0, 2 * np.pi, n, endpoint=False)]
+    land = spark.createDataFrame([(ring,)], "vertices array<struct<x:double,y:double>>")
+    cells = spatial.by_cell(land, 16.0, closed=True)
+    assert cells.agg(F.sum(F.size("edges"))).first()[0] < 60 * n and cells.count() > 1500
+    points = spark.range(2000).select((F.col("id") * 37 % 1000).cast("double").alias("y"), (F.col("id") * 91 % 997).cast("double").alias("x"))
+    inside = spatial.covered(points, land).count()
+    assert abs(inside - points.where("(x - 500) * (x - 500) + (y - 500) * (y - 500) < 160000").count()) <= 2
+    line = spatial.by_cell(land, 16.0, 5.0)
+    assert line.agg(F.sum(F.size("edges"))).first()[0] < 6 * n
+
+
+def test_features_in_bounds_and_pixels(spark):
+    f = spark.createDataFrame([(1, [(1.0, 1.0), (3.0, 3.0)]), (2, [(9.0, 9.0)]), (3, [(4.0, 4.0), (6.0, 6.0)])], "id int, vertices array<struct<x:double,y:double>>")
+    assert [r.id for r in spatial.in_bounds(f, 0, 0, 5, 5).orderBy("id").collect()] == [1, 3]
+    assert [r.id for r in spatial.in_bounds(f, 0, 0, 5, 5, strict=True).collect()] == [1]
+    t = F.struct(F.lit(10.0).alias("a"), F.lit(300.0).alias("c"), F.lit(-10.0).alias("e"), F.lit(500.0).alias("f"))
+    moved = spatial.to_pixels(spark.createDataFrame([([(310.0, 480.0)],)], "vertices array<struct<x:double,y:double>>"), t).first()
+    assert (moved.vertices[0].x, moved.vertices[0].y) == (1.0, 2.0)
+
+
+def test_lengths_slices_and_extrema(spark):
+    cells = spark.createDataFrame([(0, "LAND 50"), (1, "SEA 50")], "chunk int, cell string")
+    true = spark.createDataFrame([(k, 0) for k in range(2)], "chunk int, n int")
+    assert evaluation.check_lengths(cells, true).count() == 2 and evaluation.check_lengths(cells, true.limit(1)).count() == 2
+    with pytest.raises(Exception, match="predicted chunks: 2, label rows: 3"):
+        evaluation.check_lengths(cells, true.union(true.limit(1))).collect()
+    lines = spark.createDataFrame([(i, v) for i, v in enumerate(predictions.CSV_HEADER + ["0,LAND 1,", "1,SEA 2,"])], "line_no bigint, value string")
+    assert predictions.read_csv_lines(lines).count() == 2 and predictions.read_csv_lines(lines, 1).first().chunk == 0
+    history = spark.createDataFrame([(1, 0.5), (2, 0.2), (3, 0.2), (4, None), (5, 0.5)], "epoch int, loss double")
+    assert tuple(evaluation.extrema(history, "loss").first()) == (0.2, 2, 0.5, 1)
+
+
+def test_vegetation_and_names(spark):
+    from mereling.functions import names, pixels
+
+    row = spark.range(1).select(
+        pixels.evi(F.lit(5000), F.lit(1000), F.lit(500)).alias("evi"), names.true_colour_file(F.lit("T31UCU_1"), F.lit("10m")).alias("tci"), names.label_file(F.lit("31UCU"), F.lit(5000)).alias("label")).first()
+    assert row.evi == pytest.approx(2.5 * 4000 / (5000 + 6000 - 3750 + 1)) and (row.tci, row.label) == ("T31UCU_1_TCI_10m.jp2", "31UCU-5000chunks.csv")

@@ -40,3 +40,9 @@ def test_settings():
     assert CLASS_NAMES == ("land", "reservoirs", "sea", "water-bodies")
     with pytest.raises(dataclasses.FrozenInstanceError):
         s.epochs = 1
+
+
+@pytest.mark.parametrize("wrong", [{"n_chunks": 0}, {"epochs": 1.5}, {"batch": True}, {"composite": "mode"}, {"dropout": 1.0}, {"max_label_rows": -1}])
+def test_settings_are_checked(wrong):
+    with pytest.raises(ValueError, match=next(iter(wrong))):
+        Settings(**wrong)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from mereling import schemas
 from mereling.config import Settings
-from mereling.operators import predictions
+from mereling.operators import model, predictions
 from mereling.plans import stages
+from mereling.sources import features as vectors
 from mereling.sources import images, lines, scenes
 from mereling.streaming import label_events
 
@@ -104,3 +105,53 @@ def test_four_stages(spark):
     metrics = {m["class"]: m for m in stages.evaluate(got, label_lines, settings).collect()}
     assert set(metrics) == {"land", "reservoirs", "sea", "water_bodies"}
     assert all(m.chunks == 4 and m.tp + m.tn + m.fp + m.fn == 100 for m in metrics.values())
+
+
+def test_geojson(spark, tmp_path):
+    import json
+
+    geometry = lambda kind, c: {"type": "Feature", "properties": {"name": kind}, "geometry": {"type": kind, "coordinates": c}}
+    ring = [[0, 0], [4, 0], [4, 4], [0, 0]]
+    features = [geometry("Point", [1, 2]), geometry("LineString", [[0, 0], [1.5, 1]]), geometry("Polygon", [ring, [[1, 1], [2, 1], [1, 1]]]), geometry("MultiPolygon", [[ring], [[[10, 10], [12, 10], [12, 12], [10, 10]]]]),
+                geometry("MultiLineString", [[[0, 0], [9, 9]], [[20, 20], [21, 21]]]), geometry("MultiPoint", [[5, 5], [6, 6]]), {"type": "Feature", "properties": {}, "geometry": None}]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    got = vectors.read_geojson(spark, str(tmp_path)).collect()
+    assert sorted((r.kind, [(v.x, v.y) for v in r.vertices]) for r in got) == sorted([
+        ("Point", [(1, 2)]), ("LineString", [(0, 0), (1.5, 1)]), ("Polygon", [(0, 0), (4, 0), (4, 4)]), ("MultiPolygon", [(0, 0), (4, 0), (4, 4)]), ("MultiPolygon", [(10, 10), (12, 10), (12, 12)]),
+        ("MultiLineString", [(0, 0), (9, 9)]), ("MultiLineString", [(20, 20), (21, 21)]), ("MultiPoint", [(5, 5)]), ("MultiPoint", [(6, 6)])])
+    assert {r.kind for r in vectors.read_geojson(spark, str(tmp_path), (11, 11, 30, 30)).collect()} == {"MultiPolygon", "MultiLineString"}
+    assert {r.kind for r in vectors.read_geojson(spark, str(tmp_path), (11, 11, 30, 30), strict=True).collect()} == {"MultiLineString"}
+    assert json.loads(got[0].properties)["name"] == got[0].kind
+
+
+def test_metadata_of_granules(spark, tmp_path):
+    name = "S2C_MSIL2A_20250331T110651_N0511_R137_T31UCU_20250331T143812.SAFE"
+    d = tmp_path / name / "GRANULE" / "L2A_1"
+    d.mkdir(parents=True)
+    sizes = "".join(f'<Size resolution="{r}"><NROWS>{109800 // r}</NROWS><NCOLS>{109800 // r}</NCOLS></Size>' for r in (10, 20, 60))
+    places = "".join(f'<Geoposition resolution="{r}"><ULX>300000</ULX><ULY>5900040</ULY><XDIM>{r}</XDIM><YDIM>-{r}</YDIM></Geoposition>' for r in (10, 20, 60))
+    (d / "MTD_TL.xml").write_text(f'<n1:Tile xmlns:n1="u"><n1:Geo><Tile_Geocoding><HORIZONTAL_CS_CODE>EPSG:32631</HORIZONTAL_CS_CODE>{sizes}{places}</Tile_Geocoding></n1:Geo></n1:Tile>')
+    rows = {r.resolution: r for r in scenes.metadata(spark, str(tmp_path)).collect()}
+    assert set(rows) == {10, 20, 60} and rows[20].crs == "EPSG:32631" and (rows[10].height, rows[60].width) == (10980, 1830)
+    assert rows[20].scene == name and tuple(rows[20].transform) == (20.0, 300000.0, -20.0, 5900040.0)
+
+
+def test_stored_mini_chunks_listing_and_models(spark, tmp_path):
+    r = np.random.default_rng(0)
+    blocks = spark.createDataFrame([("f", c, 10, 10, r.normal(size=100).tolist()) for c in range(3)], "file string, chunk int, h int, w int, px array<double>")
+    path = str(tmp_path / "store")
+    assert stages.stored_mini_chunks(spark, blocks, path, "a", 0.41).count() == 75
+    first = sorted((tmp_path / "store").rglob("*.parquet"))
+    assert stages.stored_mini_chunks(spark, blocks, path, "b", 0.41).count() == 75
+    assert stages.stored_mini_chunks(spark, blocks, path, "a", 0.41).count() == 75 and set(first) < set((tmp_path / "store").rglob("*.parquet"))  # taken from the store
+    more = blocks.union(blocks.selectExpr("file", "chunk + 3", "h", "w", "px"))
+    assert stages.stored_mini_chunks(spark, more, path, "a", 0.41).count() == 150
+    for n in ("ndwi chunk 2 minichunk 10.png", "other.png"):
+        (tmp_path / n).write_bytes(b"x")
+    assert {(x.name, x.chunk, x.minichunk) for x in images.listing(spark, str(tmp_path)).collect()} == {("ndwi chunk 2 minichunk 10.png", 2, 10), ("other.png", -1, -1)}
+    rows = spark.createDataFrame([([float(k % 2), 0.0], k % 2) for k in range(40)], "px array<double>, label int")
+    model.save(model.fit_perceptron(rows, hidden=3, steps=20), str(tmp_path / "models" / "ndwi model epochs-20"))
+    again = model.load(spark, str(tmp_path / "models"), "epochs-20")
+    assert model.predict_perceptron(again, rows).where("predicted <> label").isEmpty()
+    with pytest.raises(ValueError, match="0 models"):
+        model.load(spark, str(tmp_path / "models"), "epochs-21")
