@@ -391,7 +391,7 @@ def duplicate_names(spark, d):
 
 @query(f"""WITH {_FILES_SQL}, k AS (SELECT f.event_id, f.name, e.user_id % 50 AS scene, TRY_CAST(nullif(regexp_extract(name, 'chunk\\s+(\\d+)\\s+minichunk\\s+(\\d+)', 1), '') AS INTEGER) AS c,
   TRY_CAST(nullif(regexp_extract(name, 'chunk\\s+(\\d+)\\s+minichunk\\s+(\\d+)', 2), '') AS INTEGER) AS m FROM files f JOIN events e ON f.event_id = e.event_id),
-  n AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY c NULLS LAST, m NULLS LAST, name) - 1 AS at FROM k) SELECT event_id, scene, name FROM n WHERE at >= 2 AND at < 10""")
+  n AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY c NULLS LAST, m NULLS LAST, name) - 1 AS place FROM k) SELECT event_id, scene, name FROM n WHERE place >= 2 AND place < 10""")
 def ordered_slice(spark, d):
     """Eight files of each scene by their place in the order: the limits are the feature."""
     i = F.col("event_id")
