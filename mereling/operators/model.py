@@ -1,4 +1,4 @@
-"""Classification: split, resize, a multilayer perceptron, and a convolutional forward pass."""
+"""Classification: split, resize, a multilayer perceptron, and a convolutional network."""
 
 from collections.abc import Iterator
 
@@ -79,19 +79,138 @@ def convolution_weights(n_classes: int, side: int = 31, seed: int = 123) -> list
     return [w for s in shapes for w in (rng.normal(0, np.sqrt(2 / np.prod(s[:-1])), s), np.zeros(s[-1]))]
 
 
+def _windows(x: np.ndarray) -> np.ndarray:
+    """The 3 x 3 surroundings of each pixel, zeros outside: n, h, w, channels, 3, 3."""
+    return np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0))), (3, 3), axis=(1, 2))
+
+
+def _quarters(x: np.ndarray) -> np.ndarray:
+    """2 x 2 blocks, the odd last row and column left out: n, h, 2, w, 2, channels."""
+    h, w = x.shape[1] // 2, x.shape[2] // 2
+    return x[:, : 2 * h, : 2 * w].reshape(len(x), h, 2, w, 2, -1)
+
+
 def convolution_forward(images: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
     """Logits of grey images (n, side, side) with values 0 .. 255."""
     x = np.repeat(images[..., None] / 255.0, 3, axis=3)
     for kernel, bias in zip(weights[0:6:2], weights[1:6:2], strict=True):
-        padded = np.pad(x, ((0, 0), (1, 1), (1, 1), (0, 0)))
-        windows = np.lib.stride_tricks.sliding_window_view(padded, (3, 3), axis=(1, 2))  # n, h, w, channels, 3, 3
-        x = np.maximum(np.einsum("nhwcij,ijcf->nhwf", windows, kernel, optimize=True) + bias, 0)
-        h, w = x.shape[1] // 2, x.shape[2] // 2
-        x = x[:, : 2 * h, : 2 * w].reshape(len(x), h, 2, w, 2, -1).max(axis=(2, 4))
+        x = _quarters(np.maximum(np.einsum("nhwcij,ijcf->nhwf", _windows(x), kernel, optimize=True) + bias, 0)).max(axis=(2, 4))
     x = np.maximum(x.reshape(len(x), -1) @ weights[6] + weights[7], 0)
     return x @ weights[8] + weights[9]
 
 
+def convolution_gradients(images: np.ndarray, labels: np.ndarray, weights: list[np.ndarray], dropped: np.ndarray | None = None) -> tuple[float, list[np.ndarray]]:
+    """The sum over images of the cross-entropy, and of its gradients by weight. dropped: factors of the last pooled layer's values (n, h, w, channels)."""
+    x, kept = np.repeat(images[..., None] / 255.0, 3, axis=3), []
+    for kernel, bias in zip(weights[0:6:2], weights[1:6:2], strict=True):
+        full = np.maximum(np.einsum("nhwcij,ijcf->nhwf", _windows(x), kernel, optimize=True) + bias, 0)
+        pooled = _quarters(full).max(axis=(2, 4))
+        kept.append((x, full, pooled))
+        x = pooled
+    flat = (x if dropped is None else x * dropped).reshape(len(x), -1)
+    hidden = np.maximum(flat @ weights[6] + weights[7], 0)
+    logits = hidden @ weights[8] + weights[9]
+    shares = np.exp(logits - logits.max(axis=1, keepdims=True))
+    shares /= shares.sum(axis=1, keepdims=True)
+    at = np.arange(len(labels))
+    loss = float(-np.log(np.maximum(shares[at, labels], 1e-12)).sum())
+    d = shares
+    d[at, labels] -= 1
+    out = [hidden.T @ d, d.sum(axis=0)]
+    d = (d @ weights[8].T) * (hidden > 0)
+    out = [flat.T @ d, d.sum(axis=0), *out]
+    d = (d @ weights[6].T).reshape(x.shape)
+    if dropped is not None:
+        d = d * dropped
+    for (before, full, pooled), kernel in zip(reversed(kept), reversed(weights[0:6:2]), strict=True):
+        best = _quarters(full) == pooled[:, :, None, :, None, :]
+        spread = best * (d[:, :, None, :, None, :] / best.sum(axis=(2, 4), keepdims=True))
+        wide = np.zeros_like(full)
+        n, h, _, w, _, f = best.shape
+        wide[:, : 2 * h, : 2 * w] = spread.reshape(n, 2 * h, 2 * w, f)
+        wide *= full > 0
+        out = [np.einsum("nhwcij,nhwf->ijcf", _windows(before), wide, optimize=True), wide.sum(axis=(0, 1, 2)), *out]
+        d = np.einsum("nhwfij,ijcf->nhwc", _windows(wide), kernel[::-1, ::-1], optimize=True)
+    return loss, out
+
+
+def augment(images: np.ndarray, rng: np.random.Generator, turn: float = 0.1, zoom: float = 0.1) -> np.ndarray:
+    """Images (n, side, side), each mirrored or not, turned by up to `turn` of a circle and zoomed by up to `zoom`, edges mirrored."""
+    n, side = images.shape[:2]
+    angle, scale = rng.uniform(-turn, turn, n) * 2 * np.pi, 1 + rng.uniform(-zoom, zoom, n)
+    mirror = np.where(rng.random(n) < 0.5, -1.0, 1.0)
+    middle = (side - 1) / 2
+    y, x = np.mgrid[:side, :side] - middle
+    cos, sin = (f(angle)[:, None, None] * scale[:, None, None] for f in (np.cos, np.sin))
+    fold = lambda v: middle - np.abs((v + middle) % (2 * max(side - 1, 1)) - (side - 1)) + middle
+    ys, xs = fold(sin * x + cos * y), fold((cos * x - sin * y) * mirror[:, None, None])
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    y1, x1 = np.minimum(y0 + 1, side - 1), np.minimum(x0 + 1, side - 1)
+    fy, fx, k = ys - y0, xs - x0, np.arange(n)[:, None, None]
+    top, low = images[k, y0, x0] * (1 - fx) + images[k, y0, x1] * fx, images[k, y1, x0] * (1 - fx) + images[k, y1, x1] * fx
+    return top * (1 - fy) + low * fy
+
+
+def fit_convolution(rows: DataFrame, n_classes: int, key: str = "key", label: str = "label", settings: Settings = Settings(), epochs: int | None = None, workers: int = 16) -> list[np.ndarray]:
+    """Weights of the network from patches (px of patch_side squared, label 0 .. n_classes - 1, key).
+
+    Data-parallel Adam: the rows are dealt to `workers` tasks and kept there; a hash of key and epoch
+    puts each row into one batch of about `settings.batch`; each task returns one sum of gradients
+    (0.8 MB) per batch. Rows are augmented and dropped out anew in each epoch.
+    """
+    side, epochs = settings.patch_side, settings.epochs if epochs is None else epochs
+    data = rows.select(F.xxhash64(key).alias("key"), F.transform("px", lambda v: v.cast("float")).alias("px"), F.col(label).cast("int").alias("label")).repartition(workers, "key").persist()
+    spark = rows.sparkSession
+    weights = convolution_weights(n_classes, side, settings.seed)
+    mean, square, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
+    try:
+        batches = max(1, -(-data.count() // settings.batch))
+        for epoch in range(epochs):
+            for number in range(batches):
+                shared = spark.sparkContext.broadcast(weights)
+
+                def run(parts: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
+                    n, total = 0, [np.zeros_like(w) for w in shared.value]
+                    for part in parts:
+                        if not part.num_rows:
+                            continue
+                        keys = part.column("key").to_numpy().view(np.uint64)
+                        rng = np.random.default_rng([settings.seed, epoch, int(np.bitwise_xor.reduce(keys))])
+                        images = augment(part.column("px").flatten().to_numpy().reshape(-1, side, side).astype(float), rng)
+                        pooled = side // 8
+                        dropped = (rng.random((len(images), pooled, pooled, 64)) >= settings.dropout) / (1 - settings.dropout)
+                        _, gradients = convolution_gradients(images, part.column("label").to_numpy(), shared.value, dropped)
+                        total = [a + b for a, b in zip(total, gradients, strict=True)]
+                        n += len(images)
+                    if n:
+                        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([g.ravel() for g in total]).tobytes()], pa.binary())], ["n", "sums"])
+
+                sums = data.where(F.pmod(F.xxhash64("key", F.lit(epoch)), F.lit(batches)) == number).mapInArrow(run, "n long, sums binary").collect()  # one row per worker
+                shared.destroy()
+                if not sums:
+                    continue
+                flat = sum(np.frombuffer(r["sums"]) for r in sums) / sum(r["n"] for r in sums)
+                cuts = np.cumsum([w.size for w in weights])[:-1]
+                gradients = [g.reshape(w.shape) for g, w in zip(np.split(flat, cuts), weights, strict=True)]
+                step += 1
+                mean = [0.9 * m + 0.1 * g for m, g in zip(mean, gradients, strict=True)]
+                square = [0.999 * s + 0.001 * g * g for s, g in zip(square, gradients, strict=True)]
+                weights = [w - settings.learning_rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-7) for w, m, s in zip(weights, mean, square, strict=True)]
+    finally:
+        data.unpersist()
+    return weights
+
+
+def save_weights(spark: SparkSession, weights: list[np.ndarray], path: str) -> None:
+    """Write the weights of a network; never over others."""
+    rows = [(k, list(w.shape), w.ravel().tolist()) for k, w in enumerate(weights)]
+    spark.createDataFrame(rows, "k int, shape array<int>, data array<double>").coalesce(1).write.parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> list[np.ndarray]:
+    return [np.array(r["data"]).reshape(r["shape"]) for r in spark.read.parquet(path).orderBy("k").collect()]  # ten arrays
+
+
 def predict_convolution(patches: DataFrame, weights: list[np.ndarray], side: int = 31, batch_size: int = 256) -> DataFrame:
     """Patches (h, w, px) with logits, in batches; weights are broadcast (under 1 MB)."""
     shared = patches.sparkSession.sparkContext.broadcast(weights)

@@ -503,7 +503,9 @@ def mlp_predict(spark, d):
 
 @query()
 def cnn_predict(spark, d):
-    """Rows only: the forward pass of the network with fixed weights over 8 x 8 rasters."""
+    """Rows only: the network, trained for an epoch on the training part of the 8 x 8 rasters, and its forward pass over all."""
     rows = b.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor((v + 1) * 127).cast("smallint")).alias("px"), F.lit(8).alias("h"), F.lit(8).alias("w"))
-    got = predictions.decide(model.predict_convolution(rows, model.convolution_weights(len(CLASS_NAMES))))
+    labelled = model.resize(rows.join(b.table(spark, d, "embeddings").select("vec_id", (F.col("label") % len(CLASS_NAMES)).alias("label")), "vec_id"), 31)
+    weights = model.fit_convolution(model.split(labelled, "vec_id")[0], len(CLASS_NAMES), key="vec_id", epochs=1, workers=8)
+    got = predictions.decide(model.predict_convolution(rows, weights))
     return got.select("vec_id", "label", F.round("confidence", 6).alias("confidence"))

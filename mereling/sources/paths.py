@@ -15,4 +15,4 @@ def native(uri: str) -> str:
 
 def file_system(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     """The file system of a path, and the path in it."""
-    return pyarrow.fs.FileSystem.from_uri(native(uri))
+    return pyarrow.fs.FileSystem.from_uri(native(uri).replace(" ", "%20") if ":" in uri else uri)

@@ -1,9 +1,12 @@
 """Labelling as a stream of events: append, correct and undo, folded to the current label rows."""
 
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mereling import schemas
+from mereling.sources.paths import file_system
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -25,10 +28,29 @@ def rate(events: DataFrame, window: str = "10 minutes", late: str = "1 hour") ->
     return events.withWatermark("at", late).groupBy(F.window("at", window), "tile").agg(F.count(F.lit(1)).alias("n")).select("tile", F.col("window.start").alias("since"), "n")
 
 
-def fold_to(events: DataFrame, path: str, checkpoint: str):
-    """Start the fold of a stream of events; each batch replaces the table of current rows at `path`."""
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The current rows: the newest version below `path` that is complete."""
+    return spark.read.parquet(_versions(path)[-1])
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+
+def _versions(path: str) -> list[str]:
+    """The complete versions below `path`, oldest first."""
+    fs, inner = file_system(path)
+    found = fs.get_file_info(pa.fs.FileSelector(inner, recursive=True, allow_not_found=True))
+    return sorted(f"{path}/{i.path.rsplit('/', 2)[1]}" for i in found if i.base_name == "_SUCCESS")
+
+
+def fold_to(events: DataFrame, path: str, checkpoint: str, keep: int = 3):
+    """Start the fold of a stream of events; each batch writes a version of the table of current rows below `path`.
+
+    Readers take the newest complete version (`latest`) and never see it half written; the last
+    `keep` versions stay. The state has one row per chunk that ever had a label.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version-{number:012d}")
+        for old in _versions(path)[:-keep]:
+            fs, inner = file_system(old)
+            fs.delete_dir(inner)
 
     return current(events).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).start()

@@ -226,3 +226,55 @@ def test_vegetation_and_names(spark):
     row = spark.range(1).select(
         pixels.evi(F.lit(5000), F.lit(1000), F.lit(500)).alias("evi"), names.true_colour_file(F.lit("T31UCU_1"), F.lit("10m")).alias("tci"), names.label_file(F.lit("31UCU"), F.lit(5000)).alias("label")).first()
     assert row.evi == pytest.approx(2.5 * 4000 / (5000 + 6000 - 3750 + 1)) and (row.tci, row.label) == ("T31UCU_1_TCI_10m.jp2", "31UCU-5000chunks.csv")
+
+
+def test_convolution_gradients_are_slopes():
+    r = np.random.default_rng(5)
+    w = model.convolution_weights(3, side=9)
+    images, labels = r.uniform(0, 255, (4, 9, 9)), np.array([0, 2, 1, 1])
+    dropped = (r.random((4, 1, 1, 64)) >= 0.3) / 0.7
+    loss, gradients = model.convolution_gradients(images, labels, w, dropped)
+    assert [g.shape for g in gradients] == [x.shape for x in w]
+    for k in range(10):
+        for place in r.integers(0, w[k].size, 4):
+            at = np.unravel_index(place, w[k].shape)
+            sides = []
+            for d in (1e-6, -1e-6):
+                moved = [x.copy() for x in w]
+                moved[k][at] += d
+                sides.append(model.convolution_gradients(images, labels, moved, dropped)[0])
+            assert gradients[k][at] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-4)
+    plain, _ = model.convolution_gradients(images, labels, w)
+    logits = model.convolution_forward(images, w)
+    assert plain == pytest.approx(float(sum(np.log(np.exp(z).sum()) - z[y] for z, y in zip(logits, labels, strict=True))))
+
+
+def test_augmentation():
+    r = np.random.default_rng(1)
+    images = r.uniform(0, 255, (20, 31, 31))
+    same = model.augment(images, np.random.default_rng(0), turn=0.0, zoom=0.0)
+    assert all(np.allclose(a, b) or np.allclose(a, b[:, ::-1]) for a, b in zip(same, images, strict=True)) and not np.allclose(same, images)
+    moved = model.augment(images, r)
+    assert moved.shape == images.shape and moved.min() >= 0 and moved.max() <= 255 and not np.allclose(moved, images)
+    assert np.allclose(model.augment(np.full((3, 31, 31), 7.0), r), 7.0)
+
+
+def test_convolution_learns_and_keeps_its_weights(spark, tmp_path):
+    from mereling.config import Settings
+
+    r = np.random.default_rng(3)
+    rows = []
+    for k in range(120):
+        px = r.uniform(0, 60, (15, 15))
+        if k % 2:
+            px[4:11, 4:11] += 150  # a bright middle
+        rows.append((k, px.ravel().tolist(), k % 2, 15, 15))
+    df = spark.createDataFrame(rows, "key long, px array<double>, label int, h int, w int")
+    settings = Settings(patch_side=15, batch=40, learning_rate=0.003)
+    weights = model.fit_convolution(df, 2, settings=settings, epochs=6, workers=4)
+    got = model.predict_convolution(df, weights, side=15).collect()
+    assert np.mean([int(np.argmax(x.logits)) == x.label for x in got]) > 0.95
+    again = model.fit_convolution(df.repartition(7), 2, settings=settings, epochs=1, workers=4)
+    assert [w.shape for w in again] == [w.shape for w in weights]
+    model.save_weights(spark, weights, str(tmp_path / "net"))
+    assert all((a == b).all() for a, b in zip(weights, model.load_weights(spark, str(tmp_path / "net")), strict=True))
