@@ -72,15 +72,23 @@ def _tokens(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
         yield i, j, words.hashes(plain, starts, ends), first
 
 
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (id, the tokens' hashes as bytes)."""
+    for batch in batches:
+        out = [tokens[a:b].tobytes() for _, _, tokens, first in _tokens(batch.column(1)) for a, b in zip(first, first[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "tokens"])
+
+
 def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", n: int = N, block: int = BLOCK) -> Iterator[Block]:
     """The benchmark in blocks of at most `block` tokens (one item at least), without items that have no token.
 
-    Neither `docs` nor `text_col` is read: seeds don't depend on the corpus.
+    Neither `docs` nor `text_col` is read: seeds don't depend on the corpus. Items are tokenized in
+    tasks; the driver sees the tokens of one partition at a time and holds those of one block.
     """
     ids, tokens, size = [], [], 0
-    for row in items.select(item_id, item_text).toLocalIterator():
-        got = [t for _, _, t, _ in _tokens(pa.array([row[1]], pa.string()))]
-        own = got[0] if got else np.zeros(0, np.uint64)
+    kind = items.schema[item_id].dataType.simpleString()
+    for row in items.select(item_id, item_text).mapInArrow(_item_tokens, f"id {kind}, tokens binary").toLocalIterator():
+        own = np.frombuffer(row[1], np.uint64)
         if not len(own):
             continue
         if ids and size + len(own) > block:
