@@ -401,16 +401,22 @@ def ordered_slice(spark, d):
 
 # --- predictions and evaluation
 
-_LOGITS_SQL = "logits AS (SELECT vec_id, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE) * 10) AS z FROM embeddings)"
+_LOGITS_SQL = "logits AS (SELECT vec_id, list_transform(range(4), lambda j: list_sum(list_transform(range(16), lambda i: CAST(embedding[4 * i + j + 1] AS DOUBLE)))) AS z FROM embeddings)"
 
 
 @query(f"""WITH {_LOGITS_SQL}, e AS (SELECT vec_id, z, list_transform(z, lambda v: exp(v - list_max(z))) AS s FROM logits)
   SELECT vec_id, ['LAND', 'RESERVOIRS', 'SEA', 'WATER-BODIES'][list_position(z, list_max(z))] AS label, round(100 * list_max(s) / list_sum(s), 6) AS confidence FROM e""")
 def predict_argmax(spark, d):
-    rows = b.table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double") * 10).alias("logits"))
+    """Four logits per vector: the sums of every fourth value."""
+    rows = b.table(spark, d, "embeddings").select("vec_id", F.array(*(_every_fourth(j) for j in range(4))).alias("logits"))
     return rounded(predictions.decide(rows).select("vec_id", "label", "confidence"), "confidence")
 
 
+def _every_fourth(j):
+    values = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("embedding", 4 * i + j).cast("double"))
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
 _CELLS = ", ".join(f"max(CASE WHEN minichunk = {m} THEN label || ' ' || CAST(CAST(confidence AS BIGINT) AS VARCHAR) || '.00' END) AS \"{m}\"" for m in range(25))
 
 
