@@ -86,6 +86,12 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([data], pa.binary())], ["pack", "data"])
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[list]:
+    """The rows of a batch, one at a time, for they are large."""
+    for k in range(batch.num_rows):
+        yield [c[k].as_py() for c in batch.columns]
+
+
 def _unpacked(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Ids, bytes and offsets of a pack's texts."""
     batch = pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
@@ -100,7 +106,7 @@ def _whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pack, data) -> (phrase, passage, pack, n): a pack's distinct seeds and their passages."""
     for batch in batches:
-        for pack, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for pack, data in _rows(batch):
             _, raw, offsets = _unpacked(data)
             starts, ends, first = words.split(raw, offsets)
             tokens = words.hashes(raw, starts, ends)
@@ -183,7 +189,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sent: a byte for the state, eight for the passage, and the phrase.
     """
     for batch in batches:
-        for pack, data, sent in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for pack, data, sent in _rows(batch):
             number: dict[bytes, int] = {}
             of = np.array([number.setdefault(x[9:], len(number)) for x in sent], np.int64)
             told = np.frombuffer(b"".join(x[:1] for x in sent), np.uint8)
@@ -265,7 +271,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data, lists in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for data, lists in _rows(batch):
                 ids, raw, offsets = _unpacked(data)
                 starts, ends, first = words.split(raw, offsets)
                 runs = np.frombuffer(b"".join(lists or []), np.int32).reshape(-1, 2).astype(np.int64)
