@@ -18,12 +18,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition,
     IsNotNull, IsNull, LessThan, LessThanOrEqual, StringStartsWith, WriterCommitMessage,
 )
+from pyspark.sql.types import DataType
 
 from mereling.llm import scratch
 from mereling.sources.paths import file_system
@@ -330,25 +331,26 @@ def to_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     groups = scratch.keep(groups.where("_n > 1").drop("_n"), "warc-groups")
     rows = rows.join(groups, "_same", "left")
     revisit = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("_id"))
-    urn = lambda c: F.concat(F.lit("urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")))
+    urn = lambda c: F.concat(F.lit("urn:page:"), F.url_encode(F.coalesce(F.col(c).cast("string"), F.lit(""))))
     return rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"), urn("_id").alias("record_id"), "target_uri", F.lit(date).alias("warc_date"), F.lit(None).cast("long").alias("content_length"),
         "payload_digest", "payload_bytes", F.when(revisit, urn("_first")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"))
 
 
-def page_id(urn: str):
+def page_id(urn: str, kind: DataType) -> Column:
     """The id in a record's name, null where it had none."""
-    return F.nullif(F.substring(urn, 10, 100), F.lit("")).cast("long")
+    return F.nullif(F.url_decode(F.substring_index(urn, ":", -1)), F.lit("")).cast(kind)
 
 
 def round_trip(pages: DataFrame, path: str) -> DataFrame:
     """Write `pages` to archives at `path` and read them back: page_id, payload_bytes, payload_digest,
-    record_type, refers_to; size and digest of responses are taken from the payload that was read."""
-    spark = pages.sparkSession
+    record_type, refers_to; size and digest of responses are taken from the payload that was read. Ids
+    may be of any type that a string can be cast to; an empty string comes back as null."""
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     register(spark)
     to_records(pages).write.format("warc").mode("append").save(path)
     read = spark.read.format("warc").load(path)
     own = F.col("record_type") == "response"
     return read.select(
-        page_id("record_id").alias("page_id"), F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page_id("refers_to").alias("refers_to"))
+        page_id("record_id", kind).alias("page_id"), F.when(own, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
+        F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", page_id("refers_to", kind).alias("refers_to"))

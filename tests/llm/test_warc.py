@@ -29,6 +29,13 @@ def test_round_trip(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == brute()
 
 
+def test_ids_of_other_types(spark):
+    rows = [("a b\r\n:é", "x" * 1500), ("z", "x" * 1500), ("", "y"), (None, "y")]
+    df = spark.createDataFrame([(i, "http://u", h) for i, h in rows], "page_id string, url string, html string")
+    got = sorted(((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(df, scratch.new_path(spark, "warc")).collect()), key=repr)
+    assert got == sorted([("a b\r\n:é", "revisit", "z"), ("z", "response", None), (None, "response", None), (None, "response", None)], key=repr)
+
+
 def test_source_pushes_filters_down(spark):
     warc.register(spark)
     path = scratch.new_path(spark, "warc")
