@@ -4,6 +4,7 @@ Two layouts have one meaning: a row per pixel, for clarity and SQL, and a row pe
 of a chunk's pixels), for scale. A composite shuffles once, on the pixel or on the chunk.
 """
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mereling.functions import pixels
+from mereling.functions import grid, pixels
 
 
 def align_bands(long: DataFrame, bands: tuple[str, ...] = ("green", "nir", "red"), keys: tuple[str, ...] = ("scene", "y", "x")) -> DataFrame:
@@ -129,6 +130,26 @@ def fill_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.mapInArrow(run, StructType([*rest, StructField("px", ArrayType(DoubleType()))]))
 
 
+def read_window(blocks: DataFrame, height: int, width: int, n_chunks: int, y0: int, y1: int, x0: int, x1: int) -> DataFrame:
+    """The pixels (y, x, v and the blocks' other columns) of a half-open window of a raster that is stored as blocks (chunk, h, w, px, ...).
+
+    Chunks outside the window aren't read: the range of chunk numbers reaches the scan.
+    """
+    k = grid.per_side(n_chunks)
+
+    def reach(low: int, high: int, n: int) -> tuple[int, int]:
+        starts = [p * (n // k) + min(p, n % k) for p in range(k)]
+        return bisect_right(starts, max(low, 0)) - 1, bisect_right(starts, min(high, n) - 1) - 1
+
+    (r0, r1), (c0, c1) = reach(y0, y1, height), reach(x0, x1, width)
+    row, col = F.floor(F.col("chunk") / k), F.col("chunk") % k
+    near = blocks.where(F.col("chunk").between(r0 * k + c0, r1 * k + c1) & row.between(r0, r1) & col.between(c0, c1))
+    rest = [c for c in blocks.columns if c not in ("h", "w", "px")]
+    cells = near.select(*rest, "w", grid.part_start(row, F.lit(height), k).alias("_y"), grid.part_start(col, F.lit(width), k).alias("_x"), F.posexplode("px").alias("_i", "v"))
+    cells = cells.withColumns({"y": F.col("_y") + F.floor(F.col("_i") / F.col("w")), "x": F.col("_x") + F.col("_i") % F.col("w")})
+    return cells.where((F.col("y") >= y0) & (F.col("y") < y1) & (F.col("x") >= x0) & (F.col("x") < x1)).select(*rest, "y", "x", "v")
+
+
 def bounds(raster: DataFrame, value: str = "v", share: float = pixels.LABEL_SHARE) -> DataFrame:
     """One row: the least value, and a share of the greatest; null and 0 without any."""
     return raster.agg(F.min(value).alias("low"), F.coalesce(F.lit(share) * F.max(value), F.lit(0.0)).alias("high"))

@@ -1,5 +1,7 @@
 """The four stages over tables: label, train, predict, evaluate."""
 
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,16 @@ def train(patches: DataFrame, settings: Settings = Settings(), steps: int = 60):
     return made, right
 
 
+def sweep(patches: DataFrame, choices: tuple[int, ...], repeats: int = 1, settings: Settings = Settings()) -> DataFrame:
+    """One row per choice of training steps and repeat: epochs, seed, accuracy on the held-out part; see `evaluation.mean_by_setting`."""
+    rows = []
+    for steps in choices:
+        for k in range(repeats):
+            own = replace(settings, seed=settings.seed + k)
+            rows.append((steps, own.seed, train(patches, own, steps=steps)[1]))
+    return patches.sparkSession.createDataFrame(rows, "epochs int, seed int, accuracy double")
+
+
 def mini_chunks(blocks: DataFrame, share: float = pixels.PREDICT_SHARE) -> DataFrame:
     """Index blocks as grey mini-chunks: file, chunk, minichunk, h, w, px; chunks without any value are cut too."""
     low_high = blocks.groupBy("file").agg(F.min(F.array_min("px")).alias("low"), F.coalesce(F.lit(share) * F.max(F.array_max("px")), F.lit(0.0)).alias("high"))

@@ -15,7 +15,7 @@ from mereling.sources.paths import file_system
 
 
 def read_png(spark: SparkSession, path: str) -> DataFrame:
-    """(name, class by folder, h, w, px) of the PNG files under path/class=.../; grey, or the mean of the channels."""
+    """(name, class by folder, h, w, px) of the PNG files under path/class=.../ or path/.../; grey, or the mean of the channels."""
     rows = spark.read.format("image").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
     image = F.col("image")
 
@@ -34,7 +34,7 @@ def read_png(spark: SparkSession, path: str) -> DataFrame:
 
     flat = rows.select(image["origin"].alias("origin"), image["height"].alias("h"), image["width"].alias("w"), image["nChannels"].alias("channels"), image["data"].alias("data"))
     out = flat.mapInArrow(run, "origin string, h int, w int, px array<smallint>")
-    return out.select(F.regexp_extract("origin", r"([^/]+)$", 1).alias("name"), F.regexp_extract("origin", r"class=([^/]+)/", 1).alias("class"), "h", "w", "px")
+    return out.select(F.regexp_extract("origin", r"([^/]+)$", 1).alias("name"), F.regexp_extract("origin", r"(?:class=)?([^/]+)/[^/]+$", 1).alias("class"), "h", "w", "px")
 
 
 def png(px: list[int], h: int, w: int) -> bytes:

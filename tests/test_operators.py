@@ -278,3 +278,17 @@ def test_convolution_learns_and_keeps_its_weights(spark, tmp_path):
     assert [w.shape for w in again] == [w.shape for w in weights]
     model.save_weights(spark, weights, str(tmp_path / "net"))
     assert all((a == b).all() for a, b in zip(weights, model.load_weights(spark, str(tmp_path / "net")), strict=True))
+
+
+def test_window_of_stored_blocks(spark, tmp_path):
+    from mereling.config import Settings
+    from mereling.plans import stages
+
+    pix = spark.range(23 * 17).select((F.col("id") / 17).cast("int").alias("y"), (F.col("id") % 17).cast("int").alias("x"), F.col("id").cast("double").alias("v"), F.lit("f").alias("file"))
+    stages.chunk_blocks(pix, 23, 17, Settings(n_chunks=16)).write.parquet(str(tmp_path / "b"))
+    blocks = spark.read.parquet(str(tmp_path / "b"))
+    for y0, y1, x0, x1 in ((0, 23, 0, 17), (5, 7, 3, 12), (22, 40, -3, 1), (6, 6, 0, 5), (11, 12, 16, 17)):
+        got = raster.read_window(blocks, 23, 17, 16, y0, y1, x0, x1)
+        assert {(r.y, r.x, r.v) for r in got.collect()} == {(y, x, float(y * 17 + x)) for y in range(max(y0, 0), min(y1, 23)) for x in range(max(x0, 0), min(x1, 17))}
+    plan = raster.read_window(blocks, 23, 17, 16, 5, 7, 3, 12)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(chunk," in plan

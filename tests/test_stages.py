@@ -49,6 +49,9 @@ def test_png_and_parquet_patches(spark, tmp_path):
     images.write_png(df, str(tmp_path / "png"))
     got = {x.name: (x["class"], x.h, x.w, x.px) for x in images.read_png(spark, str(tmp_path / "png")).collect()}
     assert got == {x[1]: (x[0], x[2], x[3], x[4]) for x in rows}
+    (tmp_path / "plain" / "sea").mkdir(parents=True)
+    (tmp_path / "plain" / "sea" / "p.png").write_bytes(images.png([1, 2, 3, 4], 2, 2))
+    assert [(x["class"], x.px) for x in images.read_png(spark, str(tmp_path / "plain")).collect()] == [("sea", [1, 2, 3, 4])]
     path = str(tmp_path / "parquet")
     images.write_parquet(df.withColumn("scene_prefix", F.lit("a")), path)
     images.write_parquet(df.limit(1).withColumn("scene_prefix", F.lit("b")), path)
@@ -98,6 +101,8 @@ def test_four_stages(spark):
     many = patches.crossJoin(spark.range(12)).withColumn("key", F.concat_ws("-", "class", "idx", "id"))
     classifier, right = stages.train(many, settings, steps=25)
     assert right > 0.9
+    runs = stages.sweep(many, (1, 20), settings=settings).collect()
+    assert [x.epochs for x in runs] == [1, 20] and runs[1].accuracy > 0.9
     cut = stages.mini_chunks(blocks)
     assert cut.count() == 100
     got = stages.predict(cut, classifier, settings).persist()
