@@ -94,3 +94,41 @@ def _url_tree(levels: int = 8, pages: int = 20, z: float = 2.58, prior: float =
 
 
 ORACLE_SQL["op9_url_filter"] = _url_tree()
+
+
+#: Damage by CRC-32 (its table from the polynomial), then a programme over every turn, from the last on: of each
+#: role before a turn the cheapest edits of what is left, as cost, audit and lines.
+_STATE = "{'c': CAST(%s AS BIGINT), 'a': %s, 'p': %s}"
+_LINE = "chr(10) || role || ':' || text"
+
+
+def _keep(to: str, state: int, before: str) -> str:
+    """A turn retained as `to`, with an empty turn in front where the role before needs it."""
+    role, between, other = ("'user'", "u", "assistant") if to == "u" else ("'assistant'", "a", "user")
+    kept, extra = f"kind = '{to}'", "fault = 'truncated'"
+    return ("CASE WHEN fault NOT IN ('blank', 'duplicate') THEN " + _STATE % (
+        f"CASE WHEN {before} THEN 2 ELSE 0 END + CASE WHEN {kept} THEN 0 ELSE 2 END + CASE WHEN {extra} THEN 1 ELSE 0 END + st[{state}].c",
+        f"CASE WHEN {before} THEN 'I' ELSE '' END || CASE WHEN {kept} THEN 'K' ELSE 'R' END || st[{state}].a",
+        f"CASE WHEN {before} THEN chr(10) || '{other}:' ELSE '' END || chr(10) || CASE WHEN {kept} THEN role ELSE {role} END || ':' || text || st[{state}].p") + " END")
+
+
+ORACLE_SQL["op12_conversation_repair"] = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, o: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+  keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS key FROM conversations),
+  cases AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(key, lambda ch: CAST(ord(ch) AS BIGINT))), lambda c, o: xor(c >> 8, t[(xor(c, o) & 255) + 1])), 4294967295) % 20 AS k FROM keyed, crc),
+  damaged AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM cases, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS u(copy) WHERE k <> 0),
+  seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS visible FROM damaged),
+  turns AS (SELECT conv_id, turn, role, text, substr(role, 1, 1) AS kind, CASE WHEN visible = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(visible, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS n FROM seen),
+  pairs AS (SELECT *, lag(kind) OVER (PARTITION BY conv_id ORDER BY n) || kind AS pair FROM turns),
+  counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS total FROM pairs GROUP BY conv_id),
+  steps AS (SELECT conv_id, total AS i, [{_STATE % (0, "''", "''")}, {_STATE % (4, "'II'", "chr(10) || 'user:' || chr(10) || 'assistant:'")}, {_STATE % (2, "'I'", "chr(10) || 'assistant:'")}, {_STATE % (0, "''", "''")}] AS st FROM counts
+    UNION ALL SELECT s.conv_id, i - 1, list_transform(range(1, 5), lambda r: list_sort(list_filter([{_STATE % ('3 + st[r].c', "'D' || st[r].a", 'st[r].p')},
+      CASE WHEN r = 1 AND kind = 's' AND fault NOT IN ('blank', 'duplicate') THEN {_STATE % ("CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END + st[2].c", "'K' || st[2].a", _LINE + ' || st[2].p')} END,
+      {_keep('u', 3, 'r = 3')},
+      {_keep('a', 4, 'r <> 3')}], lambda x: x IS NOT NULL))[1])
+    FROM steps s JOIN turns t ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND t.n = s.i),
+  done AS (SELECT c.*, st[1].c AS cost, st[1].a AS audit, sha256(substr(st[1].p, 2)) AS repaired_sha256 FROM counts c JOIN steps s ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = 0)
+  SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+    coalesce(repaired_sha256, sha256('')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN done d ON o.conv_id IS NOT DISTINCT FROM d.conv_id"""

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mereling.llm import decontaminate, exact_dedup, near_dedup, pii, scratch, sentencepiece_codec, substring_dedup, token_counts, toxicity, url_filter, warc
+from mereling.llm import conversation_repair, decontaminate, exact_dedup, near_dedup, pii, scratch, sentencepiece_codec, substring_dedup, token_counts, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -74,6 +74,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.spans_text(*base), 256).alias("base_sha256"), pii.spans_text(*every).alias("spans"), pii.scores_text(*every).alias("scores"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged conversations repaired; one of which no turn is left has zeros."""
+    turns = table(spark, sf_dir, "conversations")
+    done = conversation_repair.summaries(conversation_repair.damage(turns)).withColumnRenamed("conv_id", "_id")
+    out = turns.select("conv_id").distinct().join(done, F.col("conv_id").eqNullSafe(F.col("_id")), "left")
+    return out.select("conv_id", *(F.coalesce(n, F.lit(0)).alias(n) for n in conversation_repair.COUNTS), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_sentencepiece": op2_sentencepiece,
@@ -85,4 +93,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
+    "op12_conversation_repair": op12_conversation_repair,
 }
