@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mereling.llm import conversation_repair, decontaminate, exact_dedup, near_dedup, pii, scratch, sentencepiece_codec, substring_dedup, token_counts, toxicity, url_filter, warc
+from mereling.llm import conversation_repair, decontaminate, exact_dedup, near_dedup, nearest, pii, scratch, sentencepiece_codec, substring_dedup, token_counts, toxicity, url_filter, warc
 
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
@@ -74,6 +74,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(pii.spans_text(*base), 256).alias("base_sha256"), pii.spans_text(*every).alias("spans"), pii.scores_text(*every).alias("scores"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged conversations repaired; one of which no turn is left has zeros."""
     turns = table(spark, sf_dir, "conversations")
@@ -93,5 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_pii": op10_pii,
+    "op11_nearest": op11_nearest,
     "op12_conversation_repair": op12_conversation_repair,
 }
