@@ -2,8 +2,9 @@
 
 Vectors lie in blocks of bounded size. A block's index is one sorted array of projected values for
 each of M random directions. A query's windows on these arrays are centred on its own projections;
-rehashing widens them all by the radius R, R is raised step by step, and each step counts only what
-came into the windows. A vector that is in at least `threshold` of the M windows is verified by its
+rehashing widens them all by the radius R, R is raised step by step from a part of the k-th best distance in a
+small sample, and each step counts only what came into the windows (or what is still out, if that
+is less). A vector that is in at least `threshold` of the M windows is verified by its
 inner product. The search in a block ends when the k-th best verified vector is not farther than R: a vector at
 distance R or less falls into each window with probability P(|z| <= WIDTH) at least, so the binomial
 distribution gives a threshold that it misses with probability MISS at most. Nothing else ends a search:
@@ -30,9 +31,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Directions, half a window in units of the radius, and how often a vector within the radius may be missed.
-M, WIDTH, MISS = 96, 1.2, 0.04
-#: Vectors of a block, factor of the radius from step to step, and the first radius.
-BLOCK, STEP, FIRST = 1 << 14, 1.2, 0.25
+M, WIDTH, MISS = 64, 1.5, 0.04
+#: Vectors of a block, and those of its sample that each query looks at first.
+BLOCK, SAMPLE = 1 << 14, 256
+#: The first radius, as a part of the k-th best distance known, and the factor from step to step.
+START, STEP = 0.75, 1.2
+#: More than the errors of inner products in single precision; near the k-th place double precision decides.
+SLACK = 1e-5
 SEED = 20
 #: More than twice the largest projection of a vector of norm 1.
 APART = 256.0
@@ -52,9 +57,10 @@ class Index:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, norm: float, m: int = M, width: float = WIDTH, miss: float = MISS):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.vectors, self.norm, self.width = ids[order], vectors[order], norm, width
+        self.ids, self.vectors, self.norm, self.m, self.width = ids[order], vectors[order], norm, m, width
         self.least = threshold(m, width, miss)
-        directions = np.random.default_rng(SEED).standard_normal((vectors.shape[1] + 1, m))
+        random = np.random.default_rng(SEED)
+        directions = random.standard_normal((vectors.shape[1] + 1, m))
         unit = self.vectors / norm
         rest = np.sqrt(np.maximum(1 - (unit * unit).sum(axis=1), 0))
         values = (unit @ directions[:-1] + np.outer(rest, directions[-1])).T
@@ -63,42 +69,55 @@ class Index:
         self.moved = np.arange(m) * APART
         self.values = (np.take_along_axis(values, order, axis=1) + self.moved[:, None]).ravel()
         self.order, self.directions = order.ravel(), directions[:-1]
+        self.unit = unit.astype(np.float32)
+        self.sample = np.sort(random.permutation(len(ids))[:SAMPLE])
+
+    def near(self, places: np.ndarray, query: np.ndarray) -> np.ndarray:
+        """Inner products with the unit query over the greatest norm, to 1e-6 or so."""
+        return self.unit[places] @ query
+
+    def counted(self, counts: np.ndarray, low: np.ndarray, high: np.ndarray, new_low: np.ndarray, new_high: np.ndarray) -> np.ndarray:
+        """Collisions after the windows [low, high) became wider: what came in is added, or what is out is left, whichever is less."""
+        n = len(self.ids)
+        edge = np.arange(self.m) * n
+        inside = np.concatenate((new_low, high)), np.concatenate((low, new_high))
+        outside = np.concatenate((edge, new_high)), np.concatenate((new_low, edge + n))
+        take = min(inside, outside, key=lambda x: int((x[1] - x[0]).sum()))
+        parts = [self.order[a:b] for a, b in zip(take[0].tolist(), take[1].tolist(), strict=True) if b > a]
+        found = np.bincount(np.concatenate(parts), minlength=n) if parts else np.zeros(n, np.int64)
+        return counts + found if take is inside else self.m - found
 
     def search(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Ids and inner products of the k nearest found, and how many vectors were verified."""
-        n = len(self.ids)
-        length = sqrt(query @ query)
-        centre = (query / length) @ self.directions
-        low = high = np.searchsorted(self.values, np.clip(centre, -APART / 2, APART / 2) + self.moved)
-        counts, known = np.zeros(n, np.int64), self.ids == query_id
-        out_of = int(n - known.sum())
-        at, scores, radius = np.zeros(0, np.int64), np.zeros(0), FIRST
-        while True:
-            reach = radius * self.width
-            new_low, new_high = (np.searchsorted(self.values, np.clip(x, -APART / 2, APART / 2) + self.moved, side) for x, side in ((centre - reach, "left"), (centre + reach, "right")))
-            flanks = [self.order[a:b] for a, b in zip(np.concatenate((new_low, high)).tolist(), np.concatenate((low, new_high)).tolist(), strict=True) if b > a]
-            low, high = new_low, new_high
-            if flanks:
-                counts += np.bincount(np.concatenate(flanks), minlength=n)
-            fresh = np.flatnonzero((counts >= self.least) & ~known)
-            if len(fresh):
-                known[fresh] = True
-                at, scores = np.concatenate((at, fresh)), np.concatenate((scores, (self.vectors[fresh] * query).sum(axis=1)))
-            if len(at) == out_of:
+        n, length = len(self.ids), sqrt(query @ query)
+        unit = query / length
+        centre, small = unit @ self.directions, unit.astype(np.float32)
+        others = self.ids != query_id
+        out_of, others_left = int(others.sum()), others.copy()
+        at = self.sample[others[self.sample]]
+        scores = self.near(at, small)
+        others_left[at] = False
+        ends = lambda x, side: np.searchsorted(self.values, np.clip(x, -APART / 2, APART / 2) + self.moved, side)
+        low = high = ends(centre, "left")
+        counts, radius = np.zeros(n, np.int64), 0.0
+        while len(at) < out_of:
+            best = np.partition(scores, len(scores) - k)[len(scores) - k] if len(at) >= k else -1.0
+            far = sqrt(max(2 - 2 * float(best) + SLACK, 0.0))
+            if far <= radius:
                 break
-            far = 4.0
-            if len(at) >= k:
-                best = np.partition(scores, len(scores) - k)[len(scores) - k]
-                far = sqrt(max(2 - 2 * best / (self.norm * length), 0))
-                if far <= radius:
-                    break
-            radius = min(radius * STEP, max(far, radius * 1.01)) if radius < 4 else radius * 2
+            radius = min(max(radius * STEP, far * START), far) if radius < 2 else 2 * radius
+            new = ends(centre - radius * self.width, "left"), ends(centre + radius * self.width, "right")
+            counts = self.counted(counts, low, high, *new)
+            low, high = new
+            fresh = np.flatnonzero((counts >= self.least) & others_left)
+            others_left[fresh] = False
+            at, scores = np.concatenate((at, fresh)), np.concatenate((scores, self.near(fresh, small)))
         verified = len(at)
-        if len(at) > k:  # ties at the last place are all looked at
-            near = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
-            at, scores = at[near], scores[near]
-        first = np.lexsort((at, -scores))[:k]  # places are in the order of ids
-        return self.ids[at[first]], scores[first], verified
+        if verified > k:  # those that may be among the first k, ties too
+            at = at[scores >= np.partition(scores, verified - k)[verified - k] - SLACK]
+        exact = (self.vectors[at] * query).sum(axis=1)
+        first = np.lexsort((at, -exact))[:k]  # places are in the order of ids
+        return self.ids[at[first]], exact[first], verified
 
 
 def usable(vector: Column) -> Column:
@@ -153,7 +172,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     for low in range(0, b - a, 512):
                         yield _found(index, part.slice(low, 512), dimension, k)
 
-    dealt = held.union(asked).repartition(blocks, "block").sortWithinPartitions("block", "asks")
+    dealt = held.union(asked).repartitionByRange(4 * blocks, "block").sortWithinPartitions("block", "asks")  # a task for each block
     found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

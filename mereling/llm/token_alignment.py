@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from mereling.llm import scratch, words
 
 #: Events of a row, tokens of a slab, bytes of text encoded at a time, bytes of the store of segments, pairs of a broadcast part.
-PACK, SLAB, TEXT, STORE, PART = 2048, 1 << 18, 1 << 22, 48 << 20, 1 << 20
+PACK, SLAB, TEXT, STORE, PART = 2048, 1 << 16, 1 << 22, 128 << 20, 1 << 20
 A, B = 0, 1
 _state: dict = {}
 
