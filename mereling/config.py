@@ -22,7 +22,7 @@ class Settings:
     validation_share: float = 0.2
     confidence_threshold: float = 40.0
     max_label_rows: int | None = None  # of the labels that are evaluated; None: all
-    river_buffer: float = 20.0
+    river_buffer: float = 20.0  # map units of the raster: metres in UTM
     reservoir_buffer: float = 50.0
 
     def __post_init__(self):

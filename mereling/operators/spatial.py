@@ -1,14 +1,14 @@
-"""Rasters and vectors: buffered features, polygons, land cover, and crops by boxes.
+"""Rasters and vectors: known features masked, land cover, and crops by boxes.
 
-Pixels meet features in square cells: a feature is copied to each cell that it can touch, a pixel
-is in one, so the join is on equality and the geometry is tested within a cell. A copy holds only
-the edges that matter in its cell, so a long coast or river costs what its edges span, not its
-vertices times its extent.
+Layers become row spans (see `rasterize`) that pixels meet by an equi-join. Crops meet pixels in square cells.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mereling.operators import rasterize
+from mereling.operators.rasterize import Grid
+
 VERTICES = "array<struct<x:double,y:double>>"
 
 
@@ -23,77 +23,21 @@ def segments(vertices: Column) -> Column:
     return F.when(n == 1, F.arrays_zip(vertices.alias("a"), vertices.alias("b"))).otherwise(F.arrays_zip(F.slice(vertices, 1, F.greatest(n - 1, F.lit(0))).alias("a"), ahead.alias("b")))
 
 
-def ring(vertices: Column) -> Column:
-    """The edges (a, b) of a polygon, the last back to the first vertex."""
-    turned = F.concat(F.slice(vertices, 2, F.greatest(F.size(vertices) - 1, F.lit(0))), F.slice(vertices, 1, 1))
-    return F.arrays_zip(vertices.alias("a"), turned.alias("b"))
-
-
 def _span(edges: Column, axis: str, buffer: float) -> tuple[Column, Column]:
     ends = F.transform(edges, lambda e: F.struct(F.least(e["a"][axis], e["b"][axis]).alias("low"), F.greatest(e["a"][axis], e["b"][axis]).alias("high")))
     return F.array_min(F.transform(ends, lambda e: e["low"])) - buffer, F.array_max(F.transform(ends, lambda e: e["high"])) + buffer
 
 
-def _low(e: Column, axis: str) -> Column:
-    return F.least(e["a"][axis], e["b"][axis])
-
-
-def _high(e: Column, axis: str) -> Column:
-    return F.greatest(e["a"][axis], e["b"][axis])
-
-
-def by_cell(features: DataFrame, side: float, buffer: float = 0.0, closed: bool = False) -> DataFrame:
-    """(cy, cx, edges) of `features` (vertices): a row for each cell that a feature may touch.
-
-    Of a line, a cell has the segments within `buffer` of it; of a polygon (closed), the edges of
-    the cell's row that aren't all left of it, which decide the parity of its pixels.
-    """
-    rows = features.where(F.size("vertices") > 0).select((ring if closed else segments)(F.col("vertices")).alias("edges"))
-    low, high = _span(F.col("edges"), "y", buffer)
-    rows = rows.withColumn("cy", _cells(low, high, side))
-    rows = rows.select("cy", F.filter("edges", lambda e: (_low(e, "y") - buffer < (F.col("cy") + 1) * side) & (_high(e, "y") + buffer >= F.col("cy") * side)).alias("edges")).where(F.size("edges") > 0)
-    low, high = _span(F.col("edges"), "x", buffer)
-    rows = rows.withColumn("cx", _cells(low, high, side))
-    right = lambda e: _high(e, "x") + buffer >= F.col("cx") * side
-    near = right if closed else lambda e: right(e) & (_low(e, "x") - buffer < (F.col("cx") + 1) * side)
-    return rows.select("cy", "cx", F.filter("edges", near).alias("edges")).where(F.size("edges") > 0)
-
+def outside_buffer(raster: DataFrame, layer: DataFrame, buffer: float, grid: Grid, source: str | None = None, strict_bbox: bool = False, x: str = "x", y: str = "y") -> DataFrame:
+    """Pixels whose centres are farther than `buffer` map units from everything in a layer; all pixels if it is empty."""
+    return rasterize.meet(raster, rasterize.spans(layer, grid, buffer, source, strict_bbox), "left_anti", x, y)
 
-def _segment_distance2(px: Column, py: Column, a: Column, b: Column) -> Column:
-    """The squared distance of a point from a segment."""
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    length = dx * dx + dy * dy
-    t = F.when(length == 0, 0.0).otherwise(F.least(F.greatest(((px - a["x"]) * dx + (py - a["y"]) * dy) / F.nullif(length, F.lit(0.0)), F.lit(0.0)), F.lit(1.0)))
-    ex, ey = px - a["x"] - t * dx, py - a["y"] - t * dy
-    return ex * ex + ey * ey
 
-
-def within(px: Column, py: Column, edges: Column, distance: float) -> Column:
-    """Whether a point is within a distance of any of some segments."""
-    return F.exists(edges, lambda s: _segment_distance2(px, py, s["a"], s["b"]) <= distance * distance)
-
-
-def inside(px: Column, py: Column, edges: Column) -> Column:
-    """Whether a point is in a polygon, by the parity of edges that a ray to the right crosses."""
-    crossing = lambda e: ((e["a"]["y"] > py) != (e["b"]["y"] > py)) & (
-        px < (e["b"]["x"] - e["a"]["x"]) * (py - e["a"]["y"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0.0)) + e["a"]["x"])
-    return F.size(F.filter(edges, crossing)) % 2 == 1
-
-
-def outside_buffer(raster: DataFrame, features: DataFrame, buffer: float, x: str = "x", y: str = "y", side: float = 16.0) -> DataFrame:
-    """Pixels farther than `buffer` from every point and line of `features`; all pixels if there is none."""
-    cells = by_cell(features.select("vertices"), side, buffer)
-    on = (F.floor(raster[y] / side) == cells["cy"]) & (F.floor(raster[x] / side) == cells["cx"]) & within(raster[x], raster[y], cells["edges"], buffer)
-    return raster.join(cells, on, "left_anti")
-
-
-def covered(raster: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y", side: float = 16.0) -> DataFrame:
-    """Pixels in a polygon of `polygons`: with land polygons, the sea is masked. All pixels if there is no polygon."""
-    if polygons.isEmpty():
+def covered(raster: DataFrame, layer: DataFrame, grid: Grid, source: str | None = None, x: str = "x", y: str = "y") -> DataFrame:
+    """Pixels whose centres are in a polygon of a layer: with land polygons, the sea is masked. All pixels if no polygon meets the raster."""
+    if rasterize.fitted(layer, grid, source or grid.crs).isEmpty():
         return raster
-    cells = by_cell(polygons.select("vertices"), side, closed=True)
-    on = (F.floor(raster[y] / side) == cells["cy"]) & (F.floor(raster[x] / side) == cells["cx"]) & inside(raster[x], raster[y], cells["edges"])
-    return raster.join(cells, on, "left_semi")
+    return rasterize.meet(raster, rasterize.spans(layer, grid, source=source), "left_semi", x, y)
 
 
 def without_classes(raster: DataFrame, land_cover: DataFrame, classes: tuple[int, ...], keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
@@ -128,15 +72,20 @@ def to_pixels(features: DataFrame, transform: Column) -> DataFrame:
     return features.withColumn("vertices", F.transform("vertices", cell))
 
 
-def mask_features(raster: DataFrame, layers: dict[str, DataFrame | None], river_buffer: float = 20.0, reservoir_buffer: float = 50.0, urban: tuple[int, ...] = (20, 21)) -> DataFrame:
-    """Rivers, then sea, then known reservoirs, then towns masked; a layer that is missing is passed over."""
-    out = raster
+def mask_features(raster: DataFrame, layers: dict[str, DataFrame | None], grid: Grid, river_buffer: float = 20.0, reservoir_buffer: float = 50.0, urban: tuple[int, ...] = (20, 21), systems: dict[str, str] | None = None, cover: Grid | None = None, strict_bbox: bool = False) -> DataFrame:
+    """Rivers, then sea, then known reservoirs, then towns masked; a layer that is missing is passed over.
+
+    layers: rivers, land and reservoirs as layers (see `rasterize`), land_cover as rows (y, x, class). Buffers are in
+    the map units of the raster (metres for UTM). systems: the layers' coordinate systems, where they aren't the raster's.
+    cover: the grid of land_cover, if it isn't the raster's.
+    """
+    out, systems = raster, systems or {}
     if layers.get("rivers") is not None:
-        out = outside_buffer(out, layers["rivers"], river_buffer)
+        out = outside_buffer(out, layers["rivers"], river_buffer, grid, systems.get("rivers"), strict_bbox)
     if layers.get("land") is not None:
-        out = covered(out, layers["land"])
+        out = covered(out, layers["land"], grid, systems.get("land"))
     if layers.get("reservoirs") is not None:
-        out = outside_buffer(out, layers["reservoirs"], reservoir_buffer)
+        out = outside_buffer(out, layers["reservoirs"], reservoir_buffer, grid, systems.get("reservoirs"), strict_bbox)
     if layers.get("land_cover") is not None:
-        out = without_classes(out, layers["land_cover"], urban)
+        out = without_classes(out, layers["land_cover"], urban) if cover is None else rasterize.without_cover(out, layers["land_cover"], urban, grid, cover)
     return out

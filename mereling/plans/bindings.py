@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mereling.config import CLASS_NAMES
 from mereling.functions import pixels
+from mereling.operators.rasterize import Grid
 
 LINES_PER_FILE = 5000
 LANGUAGES = ("en", "fr", "de", "es")  # in the order of CLASS_NAMES
@@ -61,6 +62,12 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(w)).select("s_suppkey", F.array(xy).alias("vertices"))
 
 
+def mosaic_grid(spark: SparkSession, sf_dir: str, side: float = 1.0, west: float = 0.0, north: float = 0.0, crs: str = "EPSG:4326") -> Grid:
+    """The mosaic's grid, of pixels of `side` map units; rows run south where the side isn't 1."""
+    h, w = mosaic_side(spark, sf_dir).first()
+    return Grid(h, w, side, west, side if side == 1 else -side, north, crs)
+
+
 def mosaic_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: the mosaic's rows h and columns w, the least square that holds all ids."""
     last = table(spark, sf_dir, "events").agg(F.max("event_id").alias("last"), F.ceil(F.sqrt(F.max("event_id") + 1)).cast("bigint").alias("w"))

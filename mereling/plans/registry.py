@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mereling.config import CLASS_NAMES
-from mereling.functions import grid, names, pixels
-from mereling.operators import evaluation, labels, model, predictions, raster, spatial
+from mereling.functions import crs, grid, names, pixels
+from mereling.operators import evaluation, labels, model, predictions, raster, rasterize, spatial
 from mereling.plans import bindings as b
 from mereling.sources import images, scenes
 
@@ -239,27 +239,106 @@ def landcover_mask(spark, d):
 
 
 _POINTS = "pts AS (SELECT s_suppkey * 37 % w + 0.5 AS px, s_suppkey * 53 % w + 0.25 AS py FROM supplier, side)"
+# A pixel is where its centre is; until the third round these compared its corner.
+_NEAR = "(m.x + 0.5 - px) * (m.x + 0.5 - px) + (m.y + 0.5 - py) * (m.y + 0.5 - py)"
+_INSIDE = "m.x + 0.5 > x0 AND m.x + 0.5 <= x1 AND m.y + 0.5 >= y0 AND m.y + 0.5 < y1"
 
 
-@query(f"WITH {b.MOSAIC_SQL}, {_POINTS} SELECT event_id, y, x FROM mosaic m WHERE NOT EXISTS (SELECT 1 FROM pts WHERE (m.x - px) * (m.x - px) + (m.y - py) * (m.y - py) <= 4.0)")
+@query(f"WITH {b.MOSAIC_SQL}, {_POINTS} SELECT event_id, y, x FROM mosaic m WHERE NOT EXISTS (SELECT 1 FROM pts WHERE {_NEAR} <= 4.0)")
 def buffer_mask(spark, d):
-    return spatial.outside_buffer(b.mosaic(spark, d), b.points(spark, d), 2.0).select("event_id", "y", "x")
+    return spatial.outside_buffer(b.mosaic(spark, d), rasterize.layer_of(b.points(spark, d), "Point"), 2.0, b.mosaic_grid(spark, d)).select("event_id", "y", "x")
 
 
 _LAND = "land AS (SELECT s_suppkey * 41 % w - 0.5 AS x0, s_suppkey * 29 % w - 0.5 AS y0, s_suppkey * 41 % w + 3.5 + s_suppkey % 5 AS x1, s_suppkey * 29 % w + 2.5 + s_suppkey % 4 AS y1 FROM supplier, side)"
 
 
-@query(f"WITH {b.MOSAIC_SQL}, {_LAND} SELECT event_id, y, x FROM mosaic m WHERE EXISTS (SELECT 1 FROM land WHERE m.x > x0 AND m.x < x1 AND m.y > y0 AND m.y < y1)")
+@query(f"WITH {b.MOSAIC_SQL}, {_LAND} SELECT event_id, y, x FROM mosaic m WHERE EXISTS (SELECT 1 FROM land WHERE {_INSIDE})")
 def complement_mask(spark, d):
-    return spatial.covered(b.mosaic(spark, d), b.land_boxes(spark, d)).select("event_id", "y", "x")
+    return spatial.covered(b.mosaic(spark, d), rasterize.layer_of(b.land_boxes(spark, d), "Polygon"), b.mosaic_grid(spark, d)).select("event_id", "y", "x")
 
 
 @query(f"""WITH {b.MOSAIC_SQL}, {_POINTS}, {_LAND} SELECT event_id, v FROM mosaic m WHERE class NOT IN (20, 21)
-  AND EXISTS (SELECT 1 FROM land WHERE m.x > x0 AND m.x < x1 AND m.y > y0 AND m.y < y1) AND NOT EXISTS (SELECT 1 FROM pts WHERE (m.x - px) * (m.x - px) + (m.y - py) * (m.y - py) <= 2.25)""")
+  AND EXISTS (SELECT 1 FROM land WHERE {_INSIDE}) AND NOT EXISTS (SELECT 1 FROM pts WHERE {_NEAR} <= 2.25)""")
 def feature_masks(spark, d):
     m = b.mosaic(spark, d)
-    layers = {"rivers": b.points(spark, d), "land": b.land_boxes(spark, d), "land_cover": m.select("y", "x", "class")}
-    return spatial.mask_features(m, layers, river_buffer=1.5).select("event_id", "v")
+    layers = {"rivers": rasterize.layer_of(b.points(spark, d), "Point"), "land": rasterize.layer_of(b.land_boxes(spark, d), "Polygon"), "land_cover": m.select("y", "x", "class")}
+    return spatial.mask_features(m, layers, b.mosaic_grid(spark, d), river_buffer=1.5).select("event_id", "v")
+
+
+# Lakes: octagons with a square island, in metres on 10 m pixels of UTM zone 31; each vertex (k, x, y), ring 0 outer, 1 the hole.
+_LAKES_SQL = """corners AS (SELECT * FROM (VALUES (0, 0, 41, 0), (0, 1, 29, 31), (0, 2, 0, 43), (0, 3, -33, 29), (0, 4, -43, 0), (0, 5, -27, -34), (0, 6, 0, -47), (0, 7, 36, -28), (1, 0, 13, 11), (1, 1, -12, 14), (1, 2, -13, -12), (1, 3, 11, -14)) AS t(ring, k, dx, dy)),
+lakes AS (SELECT s_suppkey, ring, k, 500000.25 + s_suppkey * 613 % (w * 10) + dx AS px, 5900000.75 - s_suppkey * 977 % (w * 10) + dy AS py FROM supplier, side, corners),
+ends AS (SELECT l.s_suppkey, l.px AS ax, l.py AS ay, n.px AS ex, n.py AS ey FROM lakes l JOIN lakes n ON l.s_suppkey = n.s_suppkey AND l.ring = n.ring AND n.k = (l.k + 1) % CASE WHEN l.ring = 0 THEN 8 ELSE 4 END),
+centres AS (SELECT event_id, y, x, 500000 + (x + 0.5) * 10 AS cx, 5900000 - (y + 0.5) * 10 AS cy FROM mosaic),
+crossed AS (SELECT event_id, s_suppkey FROM centres JOIN ends ON (ay > cy) <> (ey > cy) AND cx <= ax + (cy - ay) * (ex - ax) / nullif(ey - ay, 0)),
+inside AS (SELECT DISTINCT event_id FROM (SELECT event_id, s_suppkey, count(*) AS n FROM crossed GROUP BY event_id, s_suppkey) WHERE n % 2 = 1)"""
+
+
+def _lakes(spark, d):
+    outer = [(41, 0), (29, 31), (0, 43), (-33, 29), (-43, 0), (-27, -34), (0, -47), (36, -28)]
+    hole = [(13, 11), (-12, 14), (-13, -12), (11, -14)]
+    s = b.table(spark, d, "supplier").crossJoin(F.broadcast(b.mosaic_side(spark, d)))
+    x, y = 500000.25 + F.col("s_suppkey") * 613 % (F.col("w") * 10), 5900000.75 - F.col("s_suppkey") * 977 % (F.col("w") * 10)
+    ring = lambda corners: F.array(*(F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dx, dy in corners))
+    return s.select("s_suppkey", F.lit("Polygon").alias("kind"), F.array(ring(outer), ring(hole)).alias("rings"))
+
+
+def _utm(spark, d):
+    return b.mosaic_grid(spark, d, 10.0, 500000.0, 5900000.0, "EPSG:32631")
+
+
+@query(f"WITH {b.MOSAIC_SQL}, {_LAKES_SQL} SELECT event_id, y, x FROM mosaic WHERE event_id IN (SELECT event_id FROM inside)")
+def polygons_with_holes(spark, d):
+    """Pixels whose centres are in lakes but not on their islands."""
+    return spatial.covered(b.mosaic(spark, d), _lakes(spark, d), _utm(spark, d)).select("event_id", "y", "x")
+
+
+_DISTANCE2 = """(cx - ax - t * (ex - ax)) * (cx - ax - t * (ex - ax)) + (cy - ay - t * (ey - ay)) * (cy - ay - t * (ey - ay))"""
+
+
+@query(f"""WITH {b.MOSAIC_SQL}, {_LAKES_SQL},
+  near AS (SELECT event_id, ax, ay, ex, ey, cx, cy, least(greatest(((cx - ax) * (ex - ax) + (cy - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0), 1) AS t
+    FROM centres JOIN ends ON cx BETWEEN least(ax, ex) - 20 AND greatest(ax, ex) + 20 AND cy BETWEEN least(ay, ey) - 20 AND greatest(ay, ey) + 20)
+  SELECT event_id, y, x FROM mosaic WHERE event_id NOT IN (SELECT event_id FROM inside) AND event_id NOT IN (SELECT event_id FROM near WHERE {_DISTANCE2} <= 400)""")
+def buffer_in_metres(spark, d):
+    """Pixels farther than 20 m from every lake; a buffer also reaches into islands."""
+    return spatial.outside_buffer(b.mosaic(spark, d), _lakes(spark, d), 20.0, _utm(spark, d)).select("event_id", "y", "x")
+
+
+@query(f"WITH {b.MOSAIC_SQL}, {_LAKES_SQL} SELECT event_id, y, x FROM mosaic WHERE event_id IN (SELECT event_id FROM inside)")
+def reprojected_layer(spark, d):
+    """The lakes given in degrees mask the same pixels as in UTM."""
+    degrees = _lakes(spark, d).withColumn("rings", F.transform("rings", lambda r: crs.points(r, "EPSG:32631", "EPSG:4326")))
+    return spatial.covered(b.mosaic(spark, d), degrees, _utm(spark, d), source="EPSG:4326").select("event_id", "y", "x")
+
+
+_KRUEGER_SQL = """par AS (SELECT 1 / 298.257223563 / (2 - 1 / 298.257223563) AS n, 6378137.0 AS a),
+ser AS (SELECT n, 0.9996 * a / (1 + n) * (1 + n**2 / 4 + n**4 / 64) AS r, [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280] AS al FROM par),
+geo AS (SELECT c_custkey, (c_custkey * 37 % 6000) / 1000.0 AS lon, (c_custkey * 53 % 70000) / 1000.0 AS lat FROM customer),
+sph AS (SELECT c_custkey, r, al, radians(lon - 3) AS l, sinh(atanh(sin(radians(lat))) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * sin(radians(lat)))) AS t FROM geo, ser),
+unit AS (SELECT c_custkey, r, al, atan2(t, cos(l)) AS p, atanh(sin(l) / sqrt(1 + t * t)) AS q FROM sph)"""
+
+
+@query(f"""WITH {_KRUEGER_SQL} SELECT c_custkey, round(500000 + r * (q + list_sum(list_transform([1, 2, 3, 4], lambda j: al[j] * cos(2 * j * p) * sinh(2 * j * q)))), 3) AS easting,
+  round(r * (p + list_sum(list_transform([1, 2, 3, 4], lambda j: al[j] * sin(2 * j * p) * cosh(2 * j * q)))), 3) AS northing, true AS back FROM unit""")
+def utm_coordinates(spark, d):
+    """Degrees to UTM zone 31 in millimetres; back: the inverse gives the degrees again, to a tenth of a millimetre."""
+    k = F.col("c_custkey")
+    geo = b.table(spark, d, "customer").select("c_custkey", (k * 37 % 6000 / 1000.0).alias("lon"), (k * 53 % 70000 / 1000.0).alias("lat"))
+    placed = geo.withColumn("p", crs.point(F.col("lon"), F.col("lat"), "EPSG:4326", "EPSG:32631"))
+    again = placed.withColumn("q", crs.point(F.col("p.x"), F.col("p.y"), "EPSG:32631", "EPSG:4326"))
+    return again.select("c_custkey", F.round("p.x", 3).alias("easting"), F.round("p.y", 3).alias("northing"), ((F.abs(F.col("q.x") - F.col("lon")) < 1e-9) & (F.abs(F.col("q.y") - F.col("lat")) < 1e-9)).alias("back"))
+
+
+@query(f"""WITH {b.MOSAIC_SQL}, cover AS (SELECT y, x, class FROM mosaic)
+  SELECT m.event_id, c.class FROM mosaic m LEFT JOIN cover c ON c.y = floor((m.y * 10 + 5 + 37) / 100) AND c.x = floor((m.x * 10 + 5 + 61) / 100) WHERE c.class IS NULL OR c.class NOT IN (20, 21)""")
+def nearest_land_cover(spark, d):
+    """Land cover of 100 m cells, whose grid begins 61 m west and 37 m north of the raster's, on pixels of 10 m."""
+    m, grid_of = b.mosaic(spark, d), _utm(spark, d)
+    cover = rasterize.Grid(grid_of.height, grid_of.width, 100.0, grid_of.c - 61, -100.0, grid_of.f + 37, grid_of.crs)
+    kept = rasterize.without_cover(m.select("event_id", "y", "x"), m.select("y", "x", "class"), pixels.URBAN_CLASSES, grid_of, cover)
+    placed, land = rasterize.nearest_class(kept, grid_of, cover), m.select(F.col("y").alias("cover_y"), F.col("x").alias("cover_x"), "class")
+    return placed.join(land, ["cover_y", "cover_x"], "left").select("event_id", "class")
 
 
 # --- label files

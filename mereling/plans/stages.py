@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 
 from mereling.config import CLASS_NAMES, Settings
 from mereling.functions import grid, pixels
-from mereling.operators import evaluation, labels, model, predictions, raster, spatial
+from mereling.operators import evaluation, labels, model, predictions, raster, rasterize, spatial
 from mereling.sources import images
 
 
-def water_index(bands: DataFrame, cloud: DataFrame | None, settings: Settings, layers: dict | None = None) -> DataFrame:
+def water_index(bands: DataFrame, cloud: DataFrame | None, settings: Settings, layers: dict | None = None, grid_of: rasterize.Grid | None = None, **options) -> DataFrame:
     """Pixels (scene, y, x, green, nir) to (y, x, v): clouds masked, NDWI, composited over scenes, then features masked.
 
     Features don't depend on the scene, so they are masked once, after the composite. The composite is
-    the median of each pixel, or its mean where `settings.composite` says so or compositing is off.
+    the median of each pixel, or its mean where `settings.composite` says so or compositing is off. Layers need the
+    scenes' grid; buffers are in its map units. options: `systems`, `cover` and `strict_bbox` of `spatial.mask_features`.
     """
     seen = bands if cloud is None else raster.mask_classes(bands, cloud, ("green", "nir"))
     index = seen.select("scene", "y", "x", pixels.ndwi(F.col("green"), F.col("nir")).alias("v"))
@@ -24,7 +25,11 @@ def water_index(bands: DataFrame, cloud: DataFrame | None, settings: Settings, l
         out = raster.composite(index, keys=("y", "x")).select("y", "x", F.col("median").alias("v"))
     else:
         out = raster.composite_mean(index, keys=("y", "x")).select("y", "x", F.col("mean").alias("v"))
-    return spatial.mask_features(out, layers or {}, settings.river_buffer, settings.reservoir_buffer)
+    if not layers:
+        return out
+    if grid_of is None:
+        raise ValueError("layers need the grid of the scenes")
+    return spatial.mask_features(out, layers, grid_of, settings.river_buffer, settings.reservoir_buffer, **options)
 
 
 def chunk_blocks(index: DataFrame, height: int, width: int, settings: Settings) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Vector features: GeoJSON files as rows of vertices, within a bounding box."""
+"""Vector features: GeoJSON files as rows of rings, with the coordinate system they name, within a bounding box."""
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,27 +8,30 @@ from mereling.operators import spatial
 _POINT = "array<double>"
 
 
-def _lines(kind: Column, coordinates: Column) -> Column:
-    """The point lists of a geometry: one for points and lines, the outer ring of each polygon; holes are left out."""
+def _parts(kind: Column, coordinates: Column) -> Column:
+    """The parts of a geometry, each an array of rings: one for points and lines, a polygon's outer ring and its holes."""
     read = lambda depth: F.from_json(coordinates, "array<" * (depth - 1) + _POINT + ">" * (depth - 1))
-    outer = lambda rings: F.slice(rings, 1, 1)
-    return (F.when(kind == "Point", F.array(F.array(read(1)))).when(kind == "MultiPoint", F.transform(read(2), lambda p: F.array(p)))
-            .when(kind == "LineString", F.array(read(2))).when(kind == "MultiLineString", read(3))
-            .when(kind == "Polygon", outer(read(3))).when(kind == "MultiPolygon", F.flatten(F.transform(read(4), outer))))
+    alone = lambda lines: F.transform(lines, lambda line: F.array(line))
+    return (F.when(kind == "Point", alone(F.array(F.array(read(1))))).when(kind == "MultiPoint", alone(F.transform(read(2), lambda p: F.array(p))))
+            .when(kind == "LineString", alone(F.array(read(2)))).when(kind == "MultiLineString", alone(read(3)))
+            .when(kind == "Polygon", F.array(read(3))).when(kind == "MultiPolygon", read(4)))
 
 
 def read_geojson(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None, strict: bool = False) -> DataFrame:
-    """(file, feature, kind, properties as JSON, vertices) of all features at `path`, a row per part of a multi-geometry.
+    """(file, feature, kind, properties as JSON, crs, rings, vertices) of all features at `path`, a row per part of a multi-geometry.
 
-    bbox (left, bottom, right, top): only parts that meet it, or with `strict` lie in it. A ring's
-    repeated last vertex is left out. Features without a geometry give nothing. A file is read by
-    one task; a large layer belongs in several files, or in a table of these rows.
+    crs: the EPSG code that the file names, or EPSG:4326. rings: a polygon's outer ring and its holes, each without its
+    repeated last vertex; of lines and points one. vertices: the first ring. bbox (left, bottom, right, top, in the file's
+    system): only parts that meet it, or with `strict` lie in it. Features without a geometry give nothing. A
+    file is read by one task; a large layer belongs in several files, or in a table of these rows.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "features array<string>")["features"].alias("features"))
-    each = whole.select("file", F.posexplode("features").alias("feature", "json"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.get_json_object("value", "$.crs.properties.name").alias("name"), F.from_json("value", "features array<string>")["features"].alias("features"))
+    named = F.when(F.col("name").isNull() | F.upper("name").contains("CRS84"), "EPSG:4326").otherwise(F.concat(F.lit("EPSG:"), F.regexp_extract("name", r"(\d+)\s*$", 1)))
+    each = whole.select("file", named.alias("crs"), F.posexplode("features").alias("feature", "json"))
     kind = F.get_json_object("json", "$.geometry.type")
-    parts = each.select("file", "feature", kind.alias("kind"), F.get_json_object("json", "$.properties").alias("properties"), F.explode(_lines(kind, F.get_json_object("json", "$.geometry.coordinates"))).alias("line"))
-    points = F.transform("line", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    closed = F.col("kind").endswith("Polygon") & (F.size("line") > 1)
-    rows = parts.withColumn("vertices", F.when(closed, F.slice(points, 1, F.greatest(F.size("line") - 1, F.lit(0)))).otherwise(points)).drop("line").where(F.size("vertices") > 0)
+    parts = each.select("file", "feature", kind.alias("kind"), F.get_json_object("json", "$.properties").alias("properties"), "crs", F.explode(_parts(kind, F.get_json_object("json", "$.geometry.coordinates"))).alias("lines"))
+    points = lambda line: F.transform(line, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    opened = lambda line: F.when(F.col("kind").endswith("Polygon") & (F.size(line) > 1), F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(0)))).otherwise(line)
+    rows = parts.withColumn("rings", F.filter(F.transform("lines", lambda line: points(opened(line))), lambda r: F.size(r) > 0)).drop("lines")
+    rows = rows.where(F.size("rings") > 0).withColumn("vertices", F.col("rings")[0])
     return rows if bbox is None else spatial.in_bounds(rows, *bbox, strict=strict)

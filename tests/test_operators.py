@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mereling.operators import evaluation, labels, model, predictions, raster, spatial
+from mereling.operators.rasterize import Grid, layer_of
 
 LINES = ["chunk,reservoirs,water-bodies,reservoir-coordinates,,,,,water-body-coordinates", "0,0,1,,,,,,[  0.   0. 157. 157.]", "1,1,0,[ 10. 20. 30. 40.],,,,", "", "2,0,0,,,,,", "3,1,0,,,,,", "4,0,0,[ 1. 2. 3. 4.],,,,", "6,0,0,,,,,"]
 
@@ -88,12 +89,12 @@ def test_spatial(spark):
             best = min(best, (x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (by - ay)) ** 2)
         return best <= d * d
 
-    for side in (3.0, 16.0, 100.0):
-        got = {(r.y, r.x) for r in spatial.outside_buffer(pix, line, 2.5, side=side).collect()}
-        assert got == {(y, x) for y in range(20) for x in range(20) if not near(x, y, [(2, 3), (15, 11), (15, 18)], 2.5) and not near(x, y, [(18, 1)], 2.5)}
-    none = line.limit(0)
-    assert spatial.outside_buffer(pix, none, 2.5).count() == 400 and spatial.covered(pix, none).count() == 400
-    polygon = [(1.5, 1.5), (12.5, 3.5), (6.5, 6.5), (13.5, 14.5), (2.5, 12.5)]
+    plain = Grid(20, 20)
+    got = {(r.y, r.x) for r in spatial.outside_buffer(pix, layer_of(line, "LineString"), 2.5, plain).collect()}
+    assert got == {(y, x) for y in range(20) for x in range(20) if not near(x + 0.5, y + 0.5, [(2, 3), (15, 11), (15, 18)], 2.5) and not near(x + 0.5, y + 0.5, [(18, 1)], 2.5)}
+    none = layer_of(line.limit(0), "Polygon")
+    assert spatial.outside_buffer(pix, none, 2.5, plain).count() == 400 and spatial.covered(pix, none, plain).count() == 400
+    polygon = [(1.25, 1.25), (12.25, 3.75), (6.25, 6.75), (13.25, 14.75), (2.25, 12.75)]
 
     def within(x, y):
         odd = False
@@ -103,7 +104,7 @@ def test_spatial(spark):
         return odd
 
     land = spark.createDataFrame([(polygon,)], "vertices array<struct<x:double,y:double>>")
-    assert {(r.y, r.x) for r in spatial.covered(pix, land, side=4.0).collect()} == {(y, x) for y in range(20) for x in range(20) if within(x, y)}
+    assert {(r.y, r.x) for r in spatial.covered(pix, layer_of(land, "Polygon"), plain).collect()} == {(y, x) for y in range(20) for x in range(20) if within(x + 0.5, y + 0.5)}
 
 
 def test_predictions(spark):
@@ -185,20 +186,6 @@ def test_filled_blocks(spark):
     assert {r.chunk: r.px for r in raster.fill_blocks(df).collect()} == {0: [2.5, None, None, 1.5], 1: [None, None]}
 
 
-def test_cells_hold_only_the_edges_that_matter(spark):
-    """A polygon of many vertices: the rows of all cells follow its edges, not vertices times cells."""
-    n = 4000
-    ring = [(500 + 400 * float(np.cos(t)), 500 + 400 * float(np.sin(t))) for t in np.linspace(0, 2 * np.pi, n, endpoint=False)]
-    land = spark.createDataFrame([(ring,)], "vertices array<struct<x:double,y:double>>")
-    cells = spatial.by_cell(land, 16.0, closed=True)
-    assert cells.agg(F.sum(F.size("edges"))).first()[0] < 60 * n and cells.count() > 1500
-    points = spark.range(2000).select((F.col("id") * 37 % 1000).cast("double").alias("y"), (F.col("id") * 91 % 997).cast("double").alias("x"))
-    inside = spatial.covered(points, land).count()
-    assert abs(inside - points.where("(x - 500) * (x - 500) + (y - 500) * (y - 500) < 160000").count()) <= 2
-    line = spatial.by_cell(land, 16.0, 5.0)
-    assert line.agg(F.sum(F.size("edges"))).first()[0] < 6 * n
-
-
 def test_features_in_bounds_and_pixels(spark):
     f = spark.createDataFrame([(1, [(1.0, 1.0), (3.0, 3.0)]), (2, [(9.0, 9.0)]), (3, [(4.0, 4.0), (6.0, 6.0)])], "id int, vertices array<struct<x:double,y:double>>")
     assert [r.id for r in spatial.in_bounds(f, 0, 0, 5, 5).orderBy("id").collect()] == [1, 3]
