@@ -1,17 +1,19 @@
-"""Benchmark decontamination: shared n-grams find passages, Smith-Waterman scores them.
-
-Texts are lower-case tokens. All n-grams of an item are seeds, however common they are, so a copy
-that shares any run of N tokens with its item is aligned, wherever its edits are. Seeds are looked
-up in every text on the map side. Around hits of an item the text is aligned with the whole item,
-so substituted, inserted and dropped words cost some of the score and not the match. Places
-where too few of the item's tokens occur for the least score are left out: each token of the
-item can match once at most, so they can't reach it.
+"""Benchmark decontamination: rare pairs of tokens find passages, Smith-Waterman scores them.
+
+Texts are lower-case tokens. An item's seeds are its pairs of tokens that are neighbours or have one token between
+them, and so are a text's; a seed is found whichever of the two it is in either. Where two matched tokens
+follow each other in an alignment, what is skipped between them costs the greater of both sides' skips; so an
+alignment of n tokens' item that reaches the share `least` of its score has at least least * n - 1 places where
+that is 0 or 1, each of them a hit of a seed. Of an item's seeds the most frequent ones of the benchmark are left
+out, less than half as many as the hits that an alignment has, so enough of the rarer ones are always hit. All
+hits of an alignment lie within `drift` diagonals, the gaps that its score allows. Texts where no
+such window of hits is, or where too few of the item's tokens occur, can't reach the score; the
+others are aligned around the hits, as far as the drift goes. Nothing that reaches the score is lost.
 
 A long item leaks in parts too. With `passage`, an item also matches where an alignment of its own
-length reaches the score of so many matched tokens, each edit costing EDIT: at least two thirds of
-such an alignment match, and it has at least passage - N + 1 hits of seeds, so other places are
-left out without loss. An item of fewer than N tokens has no seed and matches only as a whole: where
-its tokens occur one after the other.
+length reaches the score of so many matched tokens, each edit costing EDIT: it has at least
+passage - 1 neighbours in place, and drifts half as far as the item is longer than the passage. An item of
+fewer than N tokens matches only as a whole: where its tokens occur one after the other.
 
 The benchmark is broadcast in blocks of at most BLOCK tokens; a larger one makes more passes
 over the corpus. Texts themselves are never shuffled.
@@ -27,6 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from mereling.llm import words
 
+#: Items of fewer tokens match as a whole; tokens of a block.
 N, BLOCK = 3, 1_000_000
 MATCH, MISMATCH, GAP = 2.0, -1.0, 1.0
 #: The least score, as a share of the item's score with itself.
@@ -60,6 +63,8 @@ class Block:
     seeds: np.ndarray
     item: np.ndarray  # of each seed
     offset: np.ndarray  # of each seed in its item
+    hits: np.ndarray  # of each item: how many of its seeds an alignment hits at least
+    drift: np.ndarray  # of each item: over how many diagonals
     first: np.ndarray  # first token of each item in `places`, and the end
     vocabulary: np.ndarray  # all distinct tokens, in order
     places: np.ndarray  # of all items' tokens in the vocabulary
@@ -79,7 +84,7 @@ def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "tokens"])
 
 
-def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", n: int = N, block: int = BLOCK) -> Iterator[Block]:
+def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", text_col: str = "text", n: int = N, block: int = BLOCK, least: float = SCORE, passage: int | None = None) -> Iterator[Block]:
     """The benchmark in blocks of at most `block` tokens (one item at least), without items that have no token.
 
     Neither `docs` nor `text_col` is read: seeds don't depend on the corpus. Items are tokenized in
@@ -92,32 +97,47 @@ def blocks(docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_tex
         if not len(own):
             continue
         if ids and size + len(own) > block:
-            yield _block(ids, tokens, n)
+            yield _block(ids, tokens, n, least, passage)
             ids, tokens, size = [], [], 0
         ids.append(row[0])
         tokens.append(own)
         size += len(own)
     if ids:
-        yield _block(ids, tokens, n)
+        yield _block(ids, tokens, n, least, passage)
+
 
+def pairs(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of all pairs of tokens of a text that are neighbours or have one between them."""
+    at = [words.within(first, 2), words.within(first, 3)]
+    return np.concatenate(at), np.concatenate([words.join(tokens[p], tokens[p + k]) for k, p in enumerate(at, 1)])
 
-def _block(ids: list, tokens: list[np.ndarray], n: int) -> Block:
+
+def _block(ids: list, tokens: list[np.ndarray], n: int, least: float = SCORE, passage: int | None = None) -> Block:
     sizes = np.array([len(own) for own in tokens])
     first = np.append(0, np.cumsum(sizes))
-    seeds, item, offset = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     few: dict[int, list[tuple[int, int]]] = {}
     for k, own in enumerate(tokens):
         if len(own) < n:
             few.setdefault(len(own), []).append((int(words.runs(own, len(own))[0]), k))
-            continue
-        seeds.append(words.runs(own, n))
-        item.append(np.full(len(seeds[-1]), k))
-        offset.append(np.arange(len(seeds[-1])))
-    seeds, item, offset = map(np.concatenate, (seeds, item, offset))
-    order = np.argsort(seeds, kind="stable")
+    at, seeds = pairs(np.concatenate(tokens), first)
+    item = np.searchsorted(first, at, "right") - 1
+    offset = at - first[item]
+    hits = np.maximum(np.ceil(least * sizes - 1 - 1e-9).astype(np.int64), 1)
+    drift = (2 * sizes * (1 - least) + 1e-9).astype(np.int64)
+    if passage is not None:
+        hits = np.where(sizes >= passage, np.minimum(hits, max(passage - 1, 1)), hits)
+        drift = np.maximum(drift, (sizes - passage) // 2)
+    # without the most frequent seeds of each item
+    less = (hits - 1) // 2
+    _, code, count = np.unique(seeds, return_inverse=True, return_counts=True)
+    order = np.lexsort((offset, -count[code], item))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+    stays = np.flatnonzero((place >= less[item]) & (sizes[item] >= n))
+    order = stays[np.argsort(seeds[stays], kind="stable")]
     vocabulary, places = np.unique(np.concatenate(tokens), return_inverse=True)
     short = {m: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([k for _, k in sorted(x)])) for m, x in few.items()}
-    return Block(ids, tokens, seeds[order], item[order], offset[order], first, vocabulary, places, short)
+    return Block(ids, tokens, seeds[order], item[order], offset[order], hits - less, drift, first, vocabulary, places, short)
 
 
 def _places(block: Block, tokens: np.ndarray) -> np.ndarray:
@@ -152,12 +172,13 @@ def search(block: Block, column: pa.Array, n: int = N, least: float = SCORE, pas
     """(row, item of the block, score, end token) of each text and item that reach `least` or have a passage; the best place of each pair."""
     for i, _, tokens, first in _tokens(column):
         yield from ((i + t, k, 1.0, e) for (t, k), e in sorted(_whole(block, tokens, first).items()))
-        at, hashes = words.grams(tokens, first, n)
+        at, hashes = pairs(tokens, first)
         low = np.searchsorted(block.seeds, hashes)
         low[low == len(block.seeds)] = 0
         hit = np.flatnonzero(block.seeds[low] == hashes) if len(block.seeds) else np.zeros(0, np.int64)
         if not len(hit):
             continue
+        hit = hit[np.argsort(at[hit], kind="stable")]
         place = _places(block, tokens)
         known = words.owners(first) * len(block.vocabulary) + place
         known = np.unique(known[place >= 0])
@@ -184,6 +205,17 @@ def _whole(block: Block, tokens: np.ndarray, first: np.ndarray) -> dict[tuple[in
     return out
 
 
+def _dense(begin: np.ndarray, pair: np.ndarray, hits: np.ndarray, drift: np.ndarray) -> np.ndarray:
+    """Which hits are among so many of their pair within the drift; begin is in order in each pair."""
+    n = len(begin)
+    last = np.arange(n) + hits - 1
+    inside = last < n
+    last = np.minimum(last, n - 1)
+    head = inside & (pair[last] == pair) & (begin[last] - begin <= drift)
+    edge = np.bincount(np.flatnonzero(head), minlength=n + 1) - np.bincount(last[head] + 1, minlength=n + 1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndarray, known: np.ndarray, at: np.ndarray, low: np.ndarray, size: np.ndarray, least: float, passage: int | None, cut: list, best: dict) -> None:
     """Align around hits: token `at` of the texts begins the `size` seeds from `low` on; texts of `cut` have more hits than these."""
     seed = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
@@ -194,28 +226,31 @@ def _search(block: Block, tokens: np.ndarray, places: np.ndarray, first: np.ndar
     text, item, begin = text[order], item[order], begin[order]
     pair = np.ones(len(order), bool)  # another text or item
     pair[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-    lengths = np.diff(block.first)[item]
     need = np.ceil(least * np.diff(block.first) - 1e-9).astype(np.int64)  # matches of each item
     enough = need if passage is None else np.minimum(need, passage)
+    keep = _dense(begin, np.cumsum(pair), block.hits[item], block.drift[item]) | np.isin(text, cut)
+    text, item, begin, pair = text[keep], item[keep], begin[keep], np.cumsum(pair)[keep]
+    if not len(text):
+        return
+    pair = np.append(True, pair[1:] != pair[:-1])
     heads = np.flatnonzero(pair)
     able = _common(block, known, text[heads], item[heads]) >= enough[item[heads]]
-    able = np.repeat(able, np.diff(np.append(heads, len(order))))
-    text, item, begin, pair, lengths = text[able], item[able], begin[able], pair[able], lengths[able]
+    able = np.repeat(able, np.diff(np.append(heads, len(text))))
+    text, item, begin, pair = text[able], item[able], begin[able], pair[able]
     if not len(text):
         return
     new = pair.copy()  # or another place
-    new[1:] |= np.diff(begin) > lengths[1:] // 2
+    new[1:] |= np.diff(begin) > block.drift[item[1:]]
     heads = np.flatnonzero(new)
     tails = np.append(heads[1:], len(text)) - 1
     for h, t in zip(heads.tolist(), tails.tolist(), strict=True):
         own = block.tokens[item[h]]
-        slack = len(own) // 2 + 2
+        slack = int(block.drift[item[h]])
         a, b = max(int(first[text[h]]), int(begin[h]) - slack), min(int(first[text[h] + 1]), int(begin[t]) + len(own) + slack)
         mine = block.places[block.first[item[h]] : block.first[item[h] + 1]]
         common = np.isin(mine, places[a:b]).sum()
         found = (
-            enough[item[h]] < need[item[h]] and common >= passage and (t - h + 1 >= passage - N + 1 or text[h] in cut)
-            and align(own, tokens[a:b], -EDIT, EDIT)[0] >= MATCH * passage)
+            enough[item[h]] < need[item[h]] and common >= passage and align(own, tokens[a:b], -EDIT, EDIT)[0] >= MATCH * passage)
         if not found and common < need[item[h]]:
             continue
         score, end = align(own, tokens[a:b])
@@ -236,7 +271,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     kinds = f"doc_id {docs.schema[id_col].dataType.simpleString()}, item_id {items.schema[item_id].dataType.simpleString()}, score double, end_token long"
     item_type = to_arrow_type(items.schema[item_id].dataType)
     out = docs.sparkSession.createDataFrame([], kinds)
-    for block in blocks(docs, items, item_id, item_text, text_col):
+    for block in blocks(docs, items, item_id, item_text, text_col, least=least, passage=passage):
         shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK tokens, or one item
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -254,7 +289,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = SCORE, passage: int | None = None) -> DataFrame:
     """The rows of `docs` that match no item, with all their columns."""
     at, out = docs.columns.index(text_col), docs
-    for block in blocks(docs, items, item_id, item_text, text_col):
+    for block in blocks(docs, items, item_id, item_text, text_col, least=least, passage=passage):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

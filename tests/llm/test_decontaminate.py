@@ -72,6 +72,44 @@ def test_against_aligning_all_pairs(spark):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == {i for i, _ in docs if i % 8 >= 3}
 
 
+@pytest.mark.parametrize("passage", [None, D.PASSAGE])
+def test_dense_edits_and_torn_items(spark, passage):
+    """Every second to sixth word changed, words put in up to the item's length, and an item in two parts: all that reach the score are found."""
+    r = random.Random(4)
+    items = [(k, words(300 + k, n)) for k, n in enumerate([3, 4, 5, 9, 20, 30, 54, 100])]
+    common = words(999, 12).split()
+    items += [(20, " ".join(r.choice(common) for _ in range(40))), (21, " ".join(r.choice(common) for _ in range(15)))]
+    docs = []
+    for k, u in items:
+        w = u.split()
+        for step in range(2, 7):
+            for shift in range(step):
+                docs.append([x if (i + shift) % step else words(7000 + i + shift, 1) for i, x in enumerate(w)])
+                docs.append([x for i, x in enumerate(w) if (i + shift) % step])
+        for n in (len(w) // 2, len(w) - 1, len(w), len(w) + 3):
+            own = list(w)
+            for _ in range(n):
+                own.insert(r.randrange(1, len(own)) if len(own) > 1 else 0, words(r.randrange(9999), 1))
+            docs.append(own)
+            docs.append([y for i, x in enumerate(w) for y in ([x] if i >= n else [x, words(8000 + i, 1)])])
+            docs.append(w[: len(w) // 2] + words(r.randrange(9999), n).split() + w[len(w) // 2 :])
+        docs.append(w[: len(w) * 4 // 9] + words(5, 40).split() + w[len(w) - len(w) * 4 // 9 :])
+    docs = [(i, " ".join(words(40_000 + i, 30).split() + d + words(50_000 + i, 30).split())) for i, d in enumerate(docs)]
+    want = brute(items, docs)
+    got = D.matches(make(spark, docs), spark.createDataFrame(items, "item_id long, text string"), passage=passage).collect()
+    assert len(want) > 250
+    assert {(x.doc_id, x.item_id) for x in got if x.score >= D.SCORE} == want
+
+
+def test_the_edits_that_hide_every_run(spark):
+    """A third of 30 words changed leaves no run of three; an item in two parts around 40 words: both reach the score."""
+    whole, torn = words(1, 30).split(), words(2, 54).split()
+    docs = [(1, " ".join(w if k % 3 != 1 else f"x{k}" for k, w in enumerate(whole))), (2, " ".join(torn[:24] + words(3, 40).split() + torn[30:]))]
+    items = [(1, " ".join(whole)), (2, " ".join(torn))]
+    got = {(r.doc_id, r.item_id): r.score for r in D.matches(make(spark, docs), spark.createDataFrame(items, "item_id long, text string"), passage=D.PASSAGE).collect()}
+    assert set(got) == brute(items, docs) == {(1, 1), (2, 2)}
+
+
 def test_blocks_make_no_difference(spark):
     items, docs = cases()
     table = spark.createDataFrame(items, "item_id long, text string")
@@ -130,7 +168,7 @@ def test_passages_of_long_items(spark, monkeypatch):
     assert {x.doc_id for x in D.drop_contaminated(df, items, passage=D.PASSAGE).collect()} == set(range(120)) - want
     import pyarrow as pa
 
-    block = next(D.blocks(df, items))
+    block = next(D.blocks(df, items, passage=D.PASSAGE))
     for part in (7, 40):  # hits of a text in several parts
         monkeypatch.setattr(D, "_PART", part)
         assert {row for row, *_ in D.search(block, pa.array([t for _, t in docs[:12]]), passage=D.PASSAGE)} == {i for i in want if i < 12}
