@@ -9,7 +9,7 @@ equal totals, the one whose last piece is longest, from the end.
 
 A pre-token's pieces don't depend on what is around it (see `pretokens`), so each distinct one
 of a batch, told apart by its bytes, is segmented once and its ids are copied to where it occurs;
-a bounded cache of the worker keeps those of earlier batches.
+a cache of the worker, bounded in bytes, keeps those of earlier batches.
 """
 
 from collections.abc import Iterator
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 
 from mereling.llm import pretokens, words
 
-CACHE = 200_000
+#: Of the cache, bytes in all and of one pre-token (longer ones, of texts without spaces, aren't kept); and of one id in it.
+CACHE, LONG, ID = 64 << 20, 128, 36
 #: Models mark pieces without a score (runs of spaces) by one below this; they rank last, above the bytes.
 UNSCORED = -1e8
 _state: dict = {}
@@ -60,6 +61,7 @@ class Codec:
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.cache: dict[bytes, tuple[int, ...]] = {}
+        self.held = 0  # bytes of the cache
 
     def segment(self, text: str) -> tuple[int, ...]:
         """The ids of one pre-token, whose spaces are given as the model's space sign."""
@@ -95,10 +97,14 @@ class Codec:
             for key in each.to_pylist():
                 ids = cache.get(key)
                 if ids is None:
-                    ids = cache[key] = self.segment(key.decode("utf-8", "replace").replace(" ", pretokens.SPACE))
+                    ids = self.segment(key.decode("utf-8", "replace").replace(" ", pretokens.SPACE))
+                    if len(key) <= LONG:
+                        cache[key] = ids
+                        self.held += len(key) + ID * len(ids) + 200
                 found.append(ids)
-            if len(cache) > CACHE:
+            if self.held > CACHE:
                 cache.clear()
+                self.held = 0
             lengths = np.fromiter(map(len, found), np.int64, len(found))
             flat = np.fromiter((i for ids in found for i in ids), np.int32, int(lengths.sum()))
             each = lengths[back]

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +76,17 @@ def _passages(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (pack, data): Arrow tables of a bounded size."""
+    """(id, text) -> (pack, data): Arrow tables of a bounded size, each with a number of its own (equal rows make equal packs)."""
+    context = TaskContext.get()
+    pack = (context.partitionId() if context else 0) << 40
     for batch in batches:
         for i, j, _, _ in words.pieces(batch.column(1), PACK):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 out.write_batch(batch.slice(i, j - i))
             data = sink.getvalue().to_pybytes()
-            pack = int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
             yield pa.RecordBatch.from_arrays([pa.array([pack]), pa.array([data], pa.binary())], ["pack", "data"])
+            pack += 1
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[list]:

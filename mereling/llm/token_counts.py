@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from mereling.llm import pretokens, words
 
-TABLE, CACHE = 1 << 16, 300_000
+#: Entries of the table and of a worker's cache, and bytes of a pre-token in the cache; longer ones (of texts without spaces) aren't kept.
+TABLE, CACHE, LONG = 1 << 16, 300_000, 128
 #: Of the sample that fills the table: tasks, bytes of text that each reads (a text at least), and pre-tokens that each returns.
 TASKS, SAMPLE, SUMMARY = 32, 1 << 20, 8192
 _state: dict = {}
@@ -139,8 +140,9 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: st
                 if len(cache) + len(unknown) > CACHE:
                     cache.clear()
                     unknown = keys
-                cache.update(zip(unknown, encode_lengths(sp, unknown), strict=True))
-                lengths[missed] = np.fromiter(map(cache.__getitem__, keys), np.int32, len(keys))
+                fresh = dict(zip(unknown, encode_lengths(sp, unknown), strict=True))
+                cache.update((k, n) for k, n in fresh.items() if len(k) <= LONG)
+                lengths[missed] = np.fromiter((fresh[k] if k in fresh else cache[k] for k in keys), np.int32, len(keys))
                 lengths = lengths[codes]
                 total = np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
                 sizes = np.diff(offsets) - 1

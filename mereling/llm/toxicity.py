@@ -106,12 +106,13 @@ def _some(features: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, graded: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", per_grade: int = PER_GRADE) -> Model:
     """A model from `graded` (doc_id, grade 0 .. n_grades - 1) and the texts of at most `per_grade` rows of each grade.
 
-    The sample of a grade is its rows with the smallest hash of the id, so what reaches the driver is
-    bounded by n_grades * per_grade * PER_TEXT features. Null ids, grades and texts and grades outside
-    0 .. n_grades - 1 are left out; an id that is labelled more than once has its highest grade.
-    Documents that share an id all count. Without any labelled row the model gives severity near 0.
+    The sample of a grade is its ids with the smallest hash, and of documents that share an id the text that is
+    least, so what reaches the driver is bounded by n_grades * per_grade * PER_TEXT features. Null ids, grades and
+    texts and grades other than 0 .. n_grades - 1 (fractions too) are left out; an id that is labelled more than
+    once has its highest grade. Without any labelled row the model gives severity near 0.
     """
-    graded = graded.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, n_grades - 1)).groupBy("doc_id").agg(F.max("grade").alias("grade"))
+    whole = F.col("grade").isin(*range(n_grades))
+    graded = graded.where(F.col("doc_id").isNotNull() & whole).groupBy("doc_id").agg(F.max("grade").alias("grade"))
     shares = {r["grade"]: r["n"] for r in graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per grade
     parts = [graded.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_grade) for g in sorted(shares)]
     if not parts:
@@ -121,7 +122,8 @@ def train(docs: DataFrame, graded: DataFrame, n_grades: int, id_col: str = "doc_
         sample = sample.unionByName(p)
     sample = sample.select(F.col("doc_id").alias("_id"), F.col("grade").cast("int").alias("_grade"))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).where("_text is not null").join(
-        F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_grade", "_text")  # at most n_grades * per_grade ids
+        F.broadcast(sample), F.col("_doc") == F.col("_id"))  # at most n_grades * per_grade ids
+    rows = rows.groupBy("_id").agg(F.max("_grade").alias("_grade"), F.min("_text").alias("_text")).select("_grade", "_text")
     table = rows.mapInArrow(_listed, "grade int, features array<int>").toArrow()
     grades = table["grade"].to_numpy()
     lists = [x for c in table["features"].chunks if len(c) for x in np.split(c.flatten().to_numpy(), np.cumsum(c.value_lengths().to_numpy())[:-1])]

@@ -142,7 +142,12 @@ def _member(stream: _Stream, wanted, payload: bool) -> tuple[dict, bytes | None]
         if stream.have() <= used and not stream.need(used + 1):
             break
         part = stream.peek(used, used + AHEAD)
-        parts.append(inflate.decompress(part))
+        if take and payload:
+            parts.append(inflate.decompress(part))
+        else:  # inflated into nothing, a bounded part at a time
+            inflate.decompress(part, AHEAD)
+            while inflate.unconsumed_tail and not inflate.eof:
+                inflate.decompress(inflate.unconsumed_tail, AHEAD)
         used += len(part) - len(inflate.unused_data)
     stream.skip(used if size is None else size)
     return (fields, b"".join(parts)[begin : begin + fields["_size"]]) if take else None

@@ -122,6 +122,17 @@ def test_edges(edge, edge_rows, empty):
     assert got(empty) == []
 
 
+def test_many_equal_rows_without_an_id(spark):
+    """Packs of equal rows have numbers of their own: what they say grows with the rows, not with their square."""
+    text, size = words(3, 200), []
+    for n in (8000, 16_000):
+        df = make(spark, [(None, text)]).select("doc_id", "text").crossJoin(spark.range(0, n, 1, 2).select()).select("doc_id", "text")
+        rows = S.confirmed(df).selectExpr("pack", "aggregate(runs, 0L, (t, r) -> t + length(r)) as bytes").collect()
+        assert len({r["pack"] for r in rows}) == len(rows) > 3
+        size.append(sum(r["bytes"] or 0 for r in rows))
+    assert size[1] < 2.3 * size[0]
+
+
 def test_equal_windows_have_equal_seeds():
     r = np.random.default_rng(0)
     tokens = np.concatenate([r.integers(0, 2**63, 50, dtype=np.uint64), (p := r.integers(0, 2**63, 60, dtype=np.uint64)), r.integers(0, 2**63, 9, dtype=np.uint64), p])

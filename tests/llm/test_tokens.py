@@ -111,3 +111,28 @@ def test_viterbi_is_best_and_round_trips(spark, edge, edge_rows):
 def test_codec_empty(spark, empty):
     assert C.encode(empty, MODEL).count() == 0
     assert [r.text for r in C.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), MODEL).collect()] == ["", ""]
+
+
+def test_texts_without_spaces_fill_no_cache():
+    """Long pre-tokens are segmented right and not kept; the cache is bounded in bytes."""
+    import pyarrow as pa
+
+    from mereling.llm import sentencepiece_codec as C
+    from mereling.llm.queries import model_file
+
+    texts = pa.array(["".join(chr(0x4E00 + (7 * i + k) % 9000) for k in range(3000)) for i in range(20)] + ["a few words"])
+    own = C.Codec(model_file())
+    ids, offsets = own.encode_batch(texts)
+    assert all(len(k) <= C.LONG for k in own.cache) and 0 < own.held < 5000
+    data, at = own.decode_batch(ids, offsets)
+    assert [data[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)] == texts.to_pylist()
+
+
+def test_counts_of_texts_without_spaces(spark):
+    from mereling.llm import token_counts as T
+    from mereling.llm.queries import model_file
+
+    texts = ["".join(chr(0x4E00 + (7 * i + k) % 9000) for k in range(500)) for i in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sp = T.processor(model_file())
+    assert {r.doc_id: r.n_tokens for r in T.count_tokens(df, model_file()).collect()} == {i: len(sp.encode(t)) for i, t in enumerate(texts)}

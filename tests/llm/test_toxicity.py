@@ -108,6 +108,17 @@ def test_odd_labels_and_bounded_sample(spark, edge, monkeypatch):
     assert len(some) == 100 and (np.diff(some) > 0).all() and set(X._some(some[:99])) == set(some[:99])
 
 
+def test_documents_that_share_an_id_and_fractional_grades(spark, monkeypatch):
+    """However many documents share a labelled id, one of them reaches the driver; a grade of 1.5 is none."""
+    seen = []
+    fit = X.fit
+    monkeypatch.setattr(X, "fit", lambda lists, *rest: (seen.append(len(lists)), fit(lists, *rest))[1])
+    docs = spark.range(20_000).selectExpr("cast(case when id < 19998 then 5 else id end as long) as doc_id", "concat('some text ', cast(id % 7 as string)) as text")
+    grades = spark.createDataFrame([(5, 2.0), (19_998, 0.0), (19_999, 1.5)], "doc_id long, grade double")
+    X.train(docs, grades, 3)
+    assert seen == [2]
+
+
 def test_edges(spark, edge, empty):
     no_labels = spark.createDataFrame([], "doc_id long, grade int")
     model = X.train(edge, no_labels, 3)

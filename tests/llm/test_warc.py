@@ -89,6 +89,21 @@ def test_unwanted_members_are_stepped_over():
     assert [r["payload"] for r in warc.records(file, lambda f: f["record_type"] == "resource")] == bodies[1::2]
 
 
+def test_unwanted_payloads_are_not_kept():
+    """Members of other writers don't tell their size: their unwanted payloads are inflated into nothing."""
+    import gzip
+    import tracemalloc
+
+    head = lambda kind, body: f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    raw = gzip.compress(head("response", b"z" * 40_000_000)) + gzip.compress(head("resource", b"body"))
+    for wanted, payload in ((lambda f: f["record_type"] == "resource", True), (lambda f: True, False)):
+        tracemalloc.start()
+        got = list(warc.records(io.BytesIO(raw), wanted, payload))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got[-1]["payload"] == (b"body" if payload else None) and most < 12_000_000
+
+
 def test_records_cut_at_every_place(monkeypatch):
     """Short reads and inflating steps don't change what is found."""
     import gzip
