@@ -1,6 +1,6 @@
 """Count-based confusion and metrics: per chunk and class, predicted against true counts of cells."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mereling.operators import labels
@@ -48,6 +48,41 @@ def confusion(predicted: DataFrame, true: DataFrame) -> DataFrame:
         F.sum(F.greatest(F.col("p") - F.col("n"), F.lit(0))).alias("fp"), F.sum(F.greatest(F.col("n") - F.col("p"), F.lit(0))).alias("fn"), F.count(F.lit(1)).alias("chunks"))
 
 
+def confusion_by_threshold(cells: DataFrame, true: DataFrame, thresholds: list[float]) -> DataFrame:
+    """`confusion` at every threshold, in one pass over the cells: threshold, class, tp, tn, fp, fn, chunks.
+
+    The r-th surest of a chunk's reservoirs counts while the threshold isn't above its confidence, as a hit if r is at
+    most the true number, else as a false one; so a threshold's counts are the sums of a histogram of confidences
+    from it on. Land gains the unsure cells, the least sure first: the same from the other end.
+    """
+    steps = sorted(set(map(float, thresholds)))
+    text = F.replace(F.lower(F.trim("cell")), F.lit("-"), F.lit(" "))
+    kind = F.when(F.contains(text, F.lit("reservoir")), "reservoirs").when(F.contains(text, F.lit("water bod")), "water_bodies").when(F.contains(text, F.lit("land")), "land").when(F.contains(text, F.lit("sea")), "sea")
+    conf = F.coalesce(F.element_at(F.split(F.trim("cell"), " "), -1).try_cast("double"), F.lit(100.0))
+    reached = F.size(F.filter(F.array(*map(F.lit, steps)), lambda t: t <= F.col("conf")))  # how many thresholds it passes
+    rows = cells.select("chunk", kind.alias("kind"), conf.alias("conf")).join(true, "chunk").withColumn("reached", reached)
+    open_ = F.col("kind").isin("reservoirs", "water_bodies")
+    chunk = Window.partitionBy("chunk")
+    ranked = rows.select(
+        "*", F.row_number().over(Window.partitionBy("chunk", "kind").orderBy(F.desc("conf"))).alias("place"), F.count_if(F.col("kind") == "land").over(chunk).alias("land"),
+        F.count_if(open_).over(chunk.orderBy("conf").rowsBetween(Window.unboundedPreceding, 0)).alias("unsure"))
+    own = F.when(F.col("kind") == "reservoirs", F.col("n_reservoirs")).otherwise(F.col("n_water_bodies"))
+    marks = F.array(
+        F.struct(F.col("kind").alias("class"), (F.col("place") <= own).alias("hit")), F.struct(F.lit("land").alias("class"), (F.col("land") + F.col("unsure") <= F.col("n_land")).alias("hit")))
+    counted = ranked.where(open_).select("reached", F.explode(marks).alias("m")).groupBy("m.class", "m.hit", "reached").agg(F.count(F.lit(1)).alias("n"))  # at most 6 rows a threshold
+    fixed = rows.groupBy("chunk").agg(*(F.count_if(F.col("kind") == c).alias(f"p_{c}") for c in ("land", "sea")), *(F.first(f"n_{c}").alias(f"n_{c}") for c in CLASSES))
+    least = {"land": F.col("p_land"), "sea": F.col("p_sea"), "reservoirs": F.lit(0), "water_bodies": F.lit(0)}
+    base = fixed.select(F.explode(F.array(*(F.struct(F.lit(c).alias("class"), F.col(f"n_{c}").alias("n"), least[c].cast("bigint").alias("p")) for c in CLASSES))).alias("k")).select("k.*")
+    base = base.groupBy("class").agg(F.sum(F.least("p", "n")).alias("tp"), F.sum(F.greatest(F.col("p") - F.col("n"), F.lit(0))).alias("fp"), F.sum("n").alias("true"), F.count(F.lit(1)).alias("chunks"))
+    each = base.select("*", F.posexplode(F.array(*map(F.lit, steps))).alias("i", "threshold"))
+    counts = F.when(F.col("class") == "land", F.col("reached") <= F.col("i")).otherwise(F.col("reached") > F.col("i"))
+    more = each.join(F.broadcast(counted), "class", "left")
+    sums = more.groupBy("threshold", "class").agg(
+        *(F.first(c).alias(c) for c in ("tp", "fp", "true", "chunks")), *(F.coalesce(F.sum(F.when(counts & (F.col("hit") == h), F.col("n"))), F.lit(0)).alias(a) for a, h in (("more_tp", True), ("more_fp", False))))
+    tp, fp = F.col("tp") + F.col("more_tp"), F.col("fp") + F.col("more_fp")
+    return sums.select("threshold", "class", tp.alias("tp"), (CELLS * F.col("chunks") - fp - F.col("true")).alias("tn"), fp.alias("fp"), (F.col("true") - tp).alias("fn"), "chunks")
+
+
 def check_lengths(cells: DataFrame, true: DataFrame) -> DataFrame:
     """`cells` (chunk, cell), or an error where there are fewer chunks than label rows: a short file would shrink the counts unseen."""
     sizes = cells.agg(F.countDistinct("chunk").alias("p")).crossJoin(true.agg(F.count(F.lit(1)).alias("t")))  # one row each

@@ -539,11 +539,16 @@ def history_extrema(spark, d):
     return evaluation.extrema(h, "loss", by=("run",))
 
 
-def _confusion(spark, d):
+def _cells_and_truth(spark, d):
     p = b.predictions(spark, d)
     cells = p.select("chunk", F.concat_ws(" ", "label", F.col("confidence").cast("string")).alias("cell"))
     truth = p.select("chunk").distinct().select("chunk", (F.col("chunk") % 6).alias("reservoirs"), (F.col("chunk") % 4).alias("water_bodies"), (F.col("chunk") % 10 == 0).alias("sea"))
-    return evaluation.confusion(evaluation.predicted_counts(cells, 40.0), evaluation.true_counts(truth))
+    return cells, evaluation.true_counts(truth)
+
+
+def _confusion(spark, d):
+    cells, truth = _cells_and_truth(spark, d)
+    return evaluation.confusion(evaluation.predicted_counts(cells, 40.0), truth)
 
 
 @query(_COUNTS_SQL + " SELECT * FROM c")
@@ -551,6 +556,21 @@ def confusion_counts(spark, d):
     return _confusion(spark, d)
 
 
+_THRESHOLDS = (0.0, 10.0, 25.0, 33.0, 40.0, 50.0, 62.5, 75.0, 90.0, 99.0, 100.0, 101.0)
+
+
+@query(f"""WITH {b.PREDICTIONS_SQL}, steps AS (SELECT unnest([{', '.join(map(str, _THRESHOLDS))}])::DOUBLE AS threshold),
+  sure AS (SELECT threshold, chunk, CASE WHEN label IN ('RESERVOIRS', 'WATER-BODIES') AND confidence < threshold THEN 'LAND' ELSE label END AS label FROM predictions, steps),
+  p AS (SELECT threshold, chunk, count(*) FILTER (label = 'LAND') AS land, count(*) FILTER (label = 'RESERVOIRS') AS reservoirs, count(*) FILTER (label = 'SEA') AS sea, count(*) FILTER (label = 'WATER-BODIES') AS water_bodies FROM sure GROUP BY threshold, chunk),
+  k AS (SELECT threshold, 'land' AS class, land AS p, CASE WHEN chunk % 10 = 0 THEN 0 ELSE 25 - chunk % 6 - chunk % 4 END AS n FROM p UNION ALL SELECT threshold, 'reservoirs', reservoirs, CASE WHEN chunk % 10 = 0 THEN 0 ELSE chunk % 6 END FROM p
+    UNION ALL SELECT threshold, 'sea', sea, CASE WHEN chunk % 10 = 0 THEN 25 ELSE 0 END FROM p UNION ALL SELECT threshold, 'water_bodies', water_bodies, CASE WHEN chunk % 10 = 0 THEN 0 ELSE chunk % 4 END FROM p)
+  SELECT threshold, class, CAST(sum(least(p, n)) AS BIGINT) AS tp, CAST(sum(25 - greatest(p, n)) AS BIGINT) AS tn, CAST(sum(greatest(p - n, 0)) AS BIGINT) AS fp, CAST(sum(greatest(n - p, 0)) AS BIGINT) AS fn, count(*) AS chunks FROM k GROUP BY threshold, class""")
+def confusion_by_threshold(spark, d):
+    """The confusion counts of all thresholds at once."""
+    cells, truth = _cells_and_truth(spark, d)
+    return evaluation.confusion_by_threshold(cells, truth, list(_THRESHOLDS))
+
+
 @query(_COUNTS_SQL + """, m AS (SELECT *, round(coalesce(100.0 * (tp + tn) / nullif(chunks * 25, 0), 100), 2) AS acc, round(coalesce(CAST(100 AS DOUBLE) * tp / nullif(tp + fp, 0), 100), 2) AS prec,
   round(coalesce(CAST(100 AS DOUBLE) * tp / nullif(tp + fn, 0), 100), 2) AS recall, round(coalesce(CAST(100 AS DOUBLE) * tn / nullif(tn + fp, 0), 100), 2) AS spec FROM c)
   SELECT class, CAST(acc AS DOUBLE) AS acc, prec, recall, spec, round(coalesce(2 * prec * recall / nullif(prec + recall, 0), 100), 2) AS f1 FROM m""")

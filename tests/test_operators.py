@@ -279,3 +279,17 @@ def test_window_of_stored_blocks(spark, tmp_path):
         assert {(r.y, r.x, r.v) for r in got.collect()} == {(y, x, float(y * 17 + x)) for y in range(max(y0, 0), min(y1, 23)) for x in range(max(x0, 0), min(x1, 17))}
     plan = raster.read_window(blocks, 23, 17, 16, 5, 7, 3, 12)._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(chunk," in plan
+
+
+def test_confusion_at_all_thresholds_is_that_of_each(spark):
+    """Ties, cells without a confidence, chunks that only one side has."""
+    names = ["LAND", "RESERVOIRS", "SEA", "WATER-BODIES", "odd", "reservoir x"]
+    cells = spark.createDataFrame([(c, names[(c * 7 + m * 5 + m * m) % 6] + (f" {(c * 31 + m * 17) % 12 * 9.0}" if (c + m) % 9 else "")) for c in range(40) for m in range(25)], "chunk int, cell string")
+    rows = spark.createDataFrame([(c, c % 7, c % 5, c % 11 == 0) for c in range(5, 60)], "chunk int, reservoirs int, water_bodies int, sea boolean")
+    true = evaluation.true_counts(rows)
+    steps = [-1.0, 0.0, 9.0, 10.0, 27.0, 40.0, 54.0, 90.0, 99.0, 100.0, 100.5]
+    got = {(r.threshold, r["class"]): (r.tp, r.tn, r.fp, r.fn, r.chunks) for r in evaluation.confusion_by_threshold(cells, true, steps).collect()}
+    assert len(got) == 4 * len(steps)
+    for t in steps:
+        for r in evaluation.confusion(evaluation.predicted_counts(cells, t), true).collect():
+            assert got[t, r["class"]] == (r.tp, r.tn, r.fp, r.fn, r.chunks), (t, r["class"])
