@@ -195,3 +195,41 @@ def test_all_masks_in_order(spark):
     got = spatial.mask_features(pix, {"rivers": layer(spark, river), "land": layer(spark, land), "reservoirs": layer(spark, lake), "land_cover": spark.createDataFrame(cover, "y int, x int, class int")}, grid)
     every = {(y, x) for y in range(20) for x in range(20)}
     assert {(r.y, r.x) for r in got.collect()} == {p for p in every - brute([river], grid, 20.0) - brute([lake], grid, 50.0) if p in brute([land], grid) and p[1] != 19}
+
+
+def curve(order, d):
+    """The cell at a place of the Hilbert curve, by its definition in quarters."""
+    if not order:
+        return 0, 0
+    n, quarter = 1 << (order - 1), 4 ** (order - 1)
+    q, rest = divmod(d, quarter)
+    x, y = curve(order - 1, rest)
+    return [(y, x), (x, y + n), (x + n, y + n), (2 * n - 1 - y, n - 1 - x)][q]
+
+
+def test_hilbert_curve(spark):
+    for order in (1, 2, 4):
+        cells = spark.range(4**order).selectExpr(f"cast(floor(id / {2**order}) as long) as x", f"id % {2**order} as y")
+        assert {r.d: (r.x, r.y) for r in cells.select("x", "y", features.hilbert(F.col("x"), F.col("y"), order).alias("d")).collect()} == {d: curve(order, d) for d in range(4**order)}
+
+
+def test_a_box_reads_a_few_row_groups_of_the_store(spark, tmp_path):
+    """Of 40,000 parts a small box scans a few hundred; all that meet it are found."""
+    parts = spark.range(40_000).selectExpr("id", "double(pmod(hash(id), 100000)) as x", "double(pmod(hash(id, 7), 100000)) as y")
+    corner = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    rows = parts.select("id", F.lit("Polygon").alias("kind"), F.array(F.array(corner(0, 0), corner(40, 0), corner(0, 30))).alias("rings"))
+    features.write_store(rows, str(tmp_path / "store"), files=8, group_bytes=64 << 10)
+    box = (41_000.0, 63_000.0, 44_000.0, 65_000.0)
+    got = features.read_store(spark, str(tmp_path / "store"), box)
+    want = {r.id for r in parts.where("x + 40 >= 41000 and x <= 44000 and y + 30 >= 63000 and y <= 65000").collect()}
+    assert {r.id for r in got.collect()} == want and 10 < len(want) < 60
+    assert "PushedFilters: [IsNotNull(max_x)" in got._jdf.queryExecution().toString()
+    plan = got._jdf.queryExecution().executedPlan()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    assert plan.metrics().apply("numOutputRows").value() < 8000, "rows of the groups that the scan read"
+    assert features.read_store(spark, str(tmp_path / "store")).count() == 40_000
+    grid = Grid(200, 300, 10.0, 41_000.0, -10.0, 65_000.0)
+    assert pixels(rasterize.spans(got, grid)) == pixels(rasterize.spans(rows, grid))
+    features.write_store(rows.limit(0), str(tmp_path / "none"), files=2)
+    assert features.read_store(spark, str(tmp_path / "none"), box).count() == 0
