@@ -128,8 +128,9 @@ def patches(box_rows: DataFrame, blocks: DataFrame, align: str = "chunk", share:
     """
     seen = blocks.where(F.exists("px", lambda v: v.isNotNull()))
     low_high = seen.groupBy("file").agg(F.min(F.array_min("px")).alias("low"), (F.lit(share) * F.max(F.array_max("px"))).alias("high"))
-    by_chunk = Window.partitionBy("file").orderBy("chunk")
-    seen = seen.withColumn("ordinal", F.row_number().over(by_chunk) - 1)
+    if align == "ordinal":  # numbered without their pixels
+        numbers = seen.select("file", "chunk", (F.row_number().over(Window.partitionBy("file").orderBy("chunk")) - 1).alias("ordinal"))
+        seen = seen.join(numbers, ["file", "chunk"])
     key = "ordinal" if align == "ordinal" else "chunk"
     wanted = box_rows.where("box is not null").withColumn("_at", (F.col("line_no") - 1).cast("int") if align == "ordinal" else F.col("chunk"))
     cut = wanted.select("file", "line_no", "class", "k", "box", "_at").join(seen.select("file", F.col(key).alias("_at"), "h", "w", "px"), ["file", "_at"]).join(low_high, "file")
