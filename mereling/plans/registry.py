@@ -2,12 +2,13 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mereling.config import CLASS_NAMES
 from mereling.functions import crs, grid, names, pixels
-from mereling.operators import evaluation, labels, model, predictions, raster, rasterize, spatial
+from mereling.operators import clouds, evaluation, labels, model, predictions, raster, rasterize, spatial
 from mereling.plans import bindings as b
 from mereling.sources import images, scenes
 
@@ -66,6 +67,25 @@ def cloud_masked_ndwi(spark, d):
     return seen.select("scene", "y", "x", pixels.ndwi(F.col("green"), F.col("nir")).alias("ndwi"))
 
 
+@query(f"""WITH {b.PIXELS_SQL}, s AS (SELECT scene, y, x, green + coalesce(lead(green) OVER (PARTITION BY scene, y ORDER BY x), 0) AS a, 2 * nir + 0.25 AS b FROM pixels)
+  SELECT scene, y, x, CASE WHEN a >= b AND a >= 2000.5 THEN 0 WHEN b >= 2000.5 THEN 1 ELSE 2 END AS cls FROM s""")
+def blended_clouds(spark, d):
+    """Classes of a linear predictor that looks one pixel to the right, from overlapping patches: those of whole images."""
+    blocks = raster.to_blocks(_with_chunk(b.scenes_pixels(spark, d)).select("scene", "chunk", "y", "x", F.col("green").cast("double").alias("v")), keys=("scene", "chunk")).withColumnRenamed("px", "green")
+    other = raster.to_blocks(_with_chunk(b.scenes_pixels(spark, d)).select("scene", "chunk", "y", "x", F.col("nir").cast("double").alias("v")), keys=("scene", "chunk")).withColumnRenamed("px", "nir")
+    both = blocks.select("scene", "chunk", "green").join(other.select("scene", "chunk", "nir"), ["scene", "chunk"]).withColumns({"h": F.lit(4), "w": F.lit(4)})
+    got = clouds.blended_classes(both, _looks_right, 3, 8, 8, 4, 2, ("green", "nir"))
+    cells = got.select("scene", "chunk", F.posexplode("cls").alias("i", "cls"))
+    y, x = F.floor(F.col("chunk") / 2) * 4 + F.floor(F.col("i") / 4), F.col("chunk") % 2 * 4 + F.col("i") % 4
+    return cells.select("scene", y.cast("int").alias("y"), x.cast("int").alias("x"), "cls")
+
+
+def _looks_right(planes):
+    right = np.zeros_like(planes[0])
+    right[:, :-1] = planes[0, :, 1:]
+    return np.stack((planes[0] + right, 2 * planes[1] + 0.25, np.full_like(right, 2000.5)))
+
+
 COMPOSITE_SQL = f"""WITH {b.PIXELS_SQL} SELECT tile, y, x, (y * 2 // 8) * 2 + x * 2 // 8 AS chunk, round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS median,
   round(quantile_cont(v, 0.75), 6) AS p75, round(avg(v), 6) AS mean FROM masked GROUP BY tile, y, x"""
 
