@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -151,12 +152,19 @@ def augment(images: np.ndarray, rng: np.random.Generator, turn: float = 0.1, zoo
     return top * (1 - fy) + low * fy
 
 
+def _added(table: pa.Table) -> pa.Table:
+    """One row: the sums of all workers added up in the workers' order, so the last bits don't depend on which comes first."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["worker"])
+    return pa.table({"n": [sum(r["n"] for r in rows)], "sums": pa.array([sum(np.frombuffer(r["sums"]) for r in rows).tobytes()], pa.binary())})
+
+
 def fit_convolution(rows: DataFrame, n_classes: int, key: str = "key", label: str = "label", settings: Settings = Settings(), epochs: int | None = None, workers: int = 16) -> list[np.ndarray]:
     """Weights of the network from patches (px of patch_side squared, label 0 .. n_classes - 1, key).
 
     Data-parallel Adam: the rows are dealt to `workers` tasks and kept there; a hash of key and epoch
-    puts each row into one batch of about `settings.batch`; each task returns one sum of gradients
-    (0.8 MB) per batch. Rows are augmented and dropped out anew in each epoch.
+    puts each row into one batch of about `settings.batch`; each task gives one sum of gradients
+    (0.8 MB) per batch, and one task adds these up, so the driver gets one sum per batch. Rows are
+    augmented and dropped out anew in each epoch.
     """
     side, epochs = settings.patch_side, settings.epochs if epochs is None else epochs
     data = rows.select(F.xxhash64(key).alias("key"), F.transform("px", lambda v: v.cast("float")).alias("px"), F.col(label).cast("int").alias("label")).repartition(workers, "key").persist()
@@ -183,9 +191,11 @@ def fit_convolution(rows: DataFrame, n_classes: int, key: str = "key", label: st
                         total = [a + b for a, b in zip(total, gradients, strict=True)]
                         n += len(images)
                     if n:
-                        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([np.concatenate([g.ravel() for g in total]).tobytes()], pa.binary())], ["n", "sums"])
+                        worker = TaskContext.get().partitionId()
+                        yield pa.RecordBatch.from_arrays([pa.array([worker], pa.int32()), pa.array([n]), pa.array([np.concatenate([g.ravel() for g in total]).tobytes()], pa.binary())], ["worker", "n", "sums"])
 
-                sums = data.where(F.pmod(F.xxhash64("key", F.lit(epoch)), F.lit(batches)) == number).mapInArrow(run, "n long, sums binary").collect()  # one row per worker
+                own = data.where(F.pmod(F.xxhash64("key", F.lit(epoch)), F.lit(batches)) == number).mapInArrow(run, "worker int, n long, sums binary")
+                sums = own.groupBy().applyInArrow(_added, "n long, sums binary").collect()  # one row
                 shared.destroy()
                 if not sums:
                     continue

@@ -1,6 +1,7 @@
 """Operators on small tables: values by hand, NumPy, and properties."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -267,6 +268,25 @@ def test_convolution_learns_and_keeps_its_weights(spark, tmp_path):
     assert all((a == b).all() for a, b in zip(weights, model.load_weights(spark, str(tmp_path / "net")), strict=True))
 
 
+def test_driver_gets_one_sum_of_gradients_a_batch(spark, monkeypatch):
+    from mereling.config import Settings
+
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(k, r.normal(size=81).tolist(), k % 2) for k in range(60)], "key long, px array<double>, label int")
+    got, collect = [], type(df).collect
+
+    def seen(self):
+        got.append(collect(self))
+        return got[-1]
+
+    monkeypatch.setattr(type(df), "collect", seen)
+    model.fit_convolution(df, 2, settings=Settings(patch_side=9, batch=20), epochs=2, workers=4)
+    assert len(got) == 6 and all(len(rows) == 1 for rows in got) and sum(rows[0]["n"] for rows in got) == 120
+    parts = [(w, 1 + w, np.array([0.1 * 3**w, 1e16 * (-1) ** w])) for w in range(4)]
+    whole = [model._added(pa.table({"worker": [p[0] for p in order], "n": [p[1] for p in order], "sums": [p[2].tobytes() for p in order]})).to_pylist() for order in (parts, parts[::-1])]
+    assert whole[0] == whole[1] == [{"n": 10, "sums": sum(p[2] for p in parts).tobytes()}]
+
+
 def test_window_of_stored_blocks(spark, tmp_path):
     from mereling.config import Settings
     from mereling.plans import stages
