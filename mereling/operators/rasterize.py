@@ -79,13 +79,17 @@ def fitted(layer: DataFrame, grid: Grid, source: str, buffer: float = 0.0, stric
 
 
 def edges(layer: DataFrame) -> DataFrame:
-    """part, closed, ax, ay, bx, by: every edge of every ring; a ring of one vertex gives one of no length."""
+    """part, closed, ax, ay, bx, by: every edge of every ring; a ring of one vertex gives one of no length.
+
+    Edges are dealt to all tasks: a layer is often one small file, but each edge has a row for each raster row that it meets.
+    """
     parts = layer.select(F.monotonically_increasing_id().alias("part"), F.col("kind").endswith("Polygon").alias("closed"), "rings")  # numbered before rings are
     rows = parts.select("part", "closed", F.explode("rings").alias("ring")).where(F.size("ring") > 0)
     rows = rows.select("part", "closed", "ring", F.posexplode("ring").alias("i", "p"))
     following = F.get("ring", F.col("i") + 1)
     end = F.coalesce(following, F.when(F.col("closed") | (F.size("ring") == 1), F.get("ring", F.lit(0))))
-    return rows.select("part", "closed", "p", end.alias("q")).where("q is not null").select("part", "closed", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+    every = rows.select("part", "closed", "p", end.alias("q")).where("q is not null").select("part", "closed", F.col("p.x").alias("ax"), F.col("p.y").alias("ay"), F.col("q.x").alias("bx"), F.col("q.y").alias("by"))
+    return every.repartition("ax", "ay", "bx", "by")
 
 
 def _rows(first: Column, last: Column, height: int) -> Column:
@@ -128,8 +132,11 @@ def stroked(every: DataFrame, grid: Grid, buffer: float) -> DataFrame:
         t = (F.col("line") - F.col("ay") - dy) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0))
         return F.when((t >= 0) & (t <= 1), F.col("ax") + dx + t * (F.col("bx") - F.col("ax")))
 
-    places = [F.col("ax") - reach("ay"), F.col("ax") + reach("ay"), F.col("bx") - reach("by"), F.col("bx") + reach("by"), parallel(1), parallel(-1)]
-    px = [(F.least(*places) - grid.c) / grid.a, (F.greatest(*places) - grid.c) / grid.a]
+    near = near.select("y", "ax", "bx", reach("ay").alias("ra"), reach("by").alias("rb"), parallel(1).alias("p1"), parallel(-1).alias("p2"))
+    places = [F.col("ax") - F.col("ra"), F.col("ax") + F.col("ra"), F.col("bx") - F.col("rb"), F.col("bx") + F.col("rb"), F.col("p1"), F.col("p2")]
+    # A generator of one row: no filter or projection moves below it, so the formulas stay single and small enough to be compiled.
+    near = near.select("y", F.inline(F.array(F.struct(F.least(*places).alias("low"), F.greatest(*places).alias("high")))))
+    px = [(F.col("low") - grid.c) / grid.a, (F.col("high") - grid.c) / grid.a]
     bound = lambda v: F.least(F.greatest(v, F.lit(-1.0)), F.lit(float(grid.width)))
     return _spans(near.select("y", F.ceil(bound(F.least(*px) - 0.5)).alias("x0"), F.floor(bound(F.greatest(*px) - 0.5)).alias("x1")), grid)
 

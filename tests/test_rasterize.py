@@ -102,6 +102,14 @@ def test_buffers_at_the_border(spark):
     assert pixels(rasterize.spans(layer(spark, part), grid, 20.0, strict_bbox=True)) == set()
 
 
+def test_buffer_formulas_are_evaluated_once_by_all_tasks(spark):
+    """A filter pushed below the spans' ends repeated every formula in it; a layer of one file kept its edges in one task."""
+    grid = rasterize.Grid(100, 100, 10.0, 0.0, -10.0, 1000.0)
+    every = rasterize.edges(layer(spark, ("Polygon", [SQUARE])).coalesce(1))
+    plan = rasterize.stroked(every, grid, 20.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SQRT(") <= 3 and "RepartitionByExpression" in plan
+
+
 def test_masks_in_both_layouts(spark):
     grid = Grid(40, 40, 10.0, 0.0, -10.0, 400.0)
     parts = [("Polygon", [[(33.0, 41.0), (350.0, 60.0), (300.0, 333.0), (51.0, 380.0)], [(100.0, 100.0), (200.0, 110.0), (190.0, 220.0)]])]
