@@ -4,7 +4,9 @@ A block sends each of its eight neighbours the strip that lies in the neighbour'
 grid, so this is one shuffle of the halos besides the blocks, and a group is nine strips at most. The predictor sees
 a block with its halo. Its scores go back the same way: each pixel gets the weighted mean of all patches that
 hold it, with weights that rise from 0 at a patch's edge to 1 over the overlap (but not at the image's border), so no
-seam is left where patches meet, and what a patch's edge does to a prediction has no weight.
+seam is left where patches meet, and what a patch's edge does to a prediction has no weight. Strips between the same
+two chunks have the same places in every scene, so all scenes of an Arrow batch (64 MB at most, by Spark's default)
+are cut and added up together.
 """
 
 from collections.abc import Callable, Iterator
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mereling.functions import grid
 
-STRIP = "y int, x int, h int, w int, data array<double>"
+Window = tuple[int, int, int, int]  # y0, y1, x0, x1
 
 
 def _cuts(n: int, k: int) -> np.ndarray:
@@ -37,7 +39,7 @@ class Patches:
         if self.k > 1 and overlap > min(np.diff(self.rows).min(), np.diff(self.cols).min()):
             raise ValueError("an overlap that is wider than a chunk would need more than the neighbours")
 
-    def window(self, chunk: int, halo: int = 0) -> tuple[int, int, int, int]:
+    def window(self, chunk: int, halo: int = 0) -> Window:
         """y0, y1, x0, x1 of a chunk and a halo within the image."""
         r, c = divmod(chunk, self.k)
         return max(self.rows[r] - halo, 0), min(self.rows[r + 1] + halo, self.height), max(self.cols[c] - halo, 0), min(self.cols[c + 1] + halo, self.width)
@@ -60,27 +62,51 @@ class Patches:
         return np.outer(ramp(y0, y1, self.height), ramp(x0, x1, self.width))
 
 
-def _strips(planes: np.ndarray, at: tuple[int, int], window: tuple[int, int, int, int]) -> tuple[int, int, np.ndarray] | None:
-    """The part of planes (n, h, w) that begin at `at` which lies in a window: its place and values."""
-    y0, y1, x0, x1 = max(window[0], at[0]), min(window[1], at[0] + planes.shape[1]), max(window[2], at[1]), min(window[3], at[1] + planes.shape[2])
-    if y0 >= y1 or x0 >= x1:
-        return None
-    return y0, x0, planes[:, y0 - at[0] : y1 - at[0], x0 - at[1] : x1 - at[1]]
+def _meet(a: Window, b: Window) -> Window | None:
+    """What two windows share."""
+    y0, y1, x0, x1 = max(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), min(a[3], b[3])
+    return (y0, y1, x0, x1) if y0 < y1 and x0 < x1 else None
 
 
-def _joined(table: pa.Table, window: tuple[int, int, int, int], n: int) -> np.ndarray:
-    """Strips added up in a window: planes (n, h, w)."""
-    out = np.zeros((n, window[1] - window[0], window[3] - window[2]))
-    for y, x, h, w, data in zip(*(table.column(c).to_pylist() for c in ("y", "x", "h", "w")), table.column("data"), strict=True):
-        out[:, y - window[0] : y - window[0] + h, x - window[2] : x - window[2] + w] += data.values.to_numpy().reshape(n, h, w)
-    return out
+def _part(planes: np.ndarray, window: Window, part: Window) -> np.ndarray:
+    """Of planes (..., h, w) that fill a window, the view of a part of it."""
+    return planes[..., part[0] - window[0] : part[1] - window[0], part[2] - window[2] : part[3] - window[2]]
+
+
+def _by_chunk(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Each chunk of a batch, with its rows (of different scenes)."""
+    chunk = batch.column("chunk").to_numpy()
+    order = np.argsort(chunk, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(chunk[order])) + 1):
+        if len(rows):
+            yield int(chunk[rows[0]]), rows
 
 
-def _sent(scene, targets: list[tuple[int, tuple[int, int, np.ndarray]]], kind: pa.DataType) -> pa.RecordBatch:
-    rows = [(scene, t, y, x, part.shape[1], part.shape[2]) for t, (y, x, part) in targets]
-    lists = pa.array([part.ravel() for _, (_, _, part) in targets], pa.list_(pa.float64()))
-    kinds = [kind, *[pa.int32()] * 5]
-    return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), lists], ["scene", "chunk", "y", "x", "h", "w", "data"])
+def _lists(values: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    """Each of the first axis as a list."""
+    size = values[0].size
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * size, pa.int32()), pa.array(values.ravel(), kind))
+
+
+def _sent(patches: Patches, scenes: pa.Array, chunk: int, planes: np.ndarray, halo: int, into: int) -> Iterator[pa.RecordBatch]:
+    """The strips of a chunk's planes (scenes, n, h, w; with their halo) that lie in its neighbours' windows with the halo `into`."""
+    window, same = patches.window(chunk, halo), lambda v: pa.array(np.full(len(scenes), v), pa.int32())
+    for target in patches.near(chunk):
+        part = _meet(window, patches.window(target, into))
+        if part:
+            yield pa.RecordBatch.from_arrays([scenes, same(target), same(chunk), _lists(_part(planes, window, part), pa.float64())], ["scene", "chunk", "source", "data"])
+
+
+def _joined(patches: Patches, strips: pa.ListArray, chunk: int, n: int, halo: int, into: int) -> np.ndarray:
+    """Lists of strips added up in a chunk's window with the halo `into`, in the order of their sources: planes (lists, n, h, w)."""
+    window, every = patches.window(chunk, into), strips.flatten()
+    out = np.zeros((len(strips), n, window[1] - window[0], window[3] - window[2]))
+    at, source, data = np.repeat(np.arange(len(strips)), strips.value_lengths()), every.field("source").to_numpy(), every.field("data")
+    for s in np.unique(source).tolist():
+        own, part = np.flatnonzero(source == s), _meet(patches.window(s, halo), window)
+        values = data.take(pa.array(own)).flatten().to_numpy()
+        np.add.at(_part(out, window, part), at[own], values.reshape(len(own), n, part[1] - part[0], part[3] - part[2]))
+    return out
 
 
 def blended_classes(blocks: DataFrame, predictor: Callable[[np.ndarray], np.ndarray], n_classes: int, height: int, width: int, n_chunks: int, overlap: int, bands: tuple[str, ...] = ("red", "green", "nir"), reach: int = 1) -> DataFrame:
@@ -95,30 +121,34 @@ def blended_classes(blocks: DataFrame, predictor: Callable[[np.ndarray], np.ndar
 
     def halos(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                scene, chunk, h, w = (batch.column(c)[i].as_py() for c in range(4))
-                planes = np.stack([np.nan_to_num(batch.column(4 + b)[i].values.to_numpy(zero_copy_only=False).astype(float)).reshape(h, w) for b in range(len(bands))])
-                y0, _, x0, _ = patches.window(chunk)
-                cut = [(t, _strips(planes, (y0, x0), patches.window(t, overlap))) for t in patches.near(chunk)]
-                yield _sent(scene, [(t, s) for t, s in cut if s is not None], batch.schema.field(0).type)
-
-    def predict(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        scene, chunk = (k.as_py() for k in key)
-        window = patches.window(chunk, overlap)
-        weight = patches.weights(chunk)
-        scores = np.concatenate((np.asarray(predictor(_joined(table, window, len(bands))), float) * weight, weight[None]))
-        cut = [(t, _strips(scores, (window[0], window[2]), patches.window(t))) for t in patches.near(chunk)]
-        return pa.Table.from_batches([_sent(scene, [(t, s) for t, s in cut if s is not None], table.schema.field("scene").type)])
-
-    def blend(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        scene, chunk = (k.as_py() for k in key)
-        window = patches.window(chunk)
-        total = _joined(table, window, n_classes + 1)
-        scores = total[:-1] / np.where(total[-1] > 0, total[-1], 1)
-        h, w = scores.shape[1:]
-        return pa.table({"scene": pa.array([scene], table.schema.field("scene").type), "chunk": pa.array([chunk], pa.int32()), "h": pa.array([h], pa.int32()), "w": pa.array([w], pa.int32()), "scores": pa.array([scores.ravel()], pa.list_(pa.float64())), "cls": pa.array([scores.argmax(axis=0).astype(np.int32).ravel()], pa.list_(pa.int32()))})
-
-    strips = f"scene {kind}, chunk int, {STRIP}"
-    sent = blocks.select("scene", F.col("chunk").cast("int").alias("chunk"), "h", "w", *bands).mapInArrow(halos, strips)
-    back = sent.groupBy("scene", "chunk").applyInArrow(predict, strips)
-    return back.groupBy("scene", "chunk").applyInArrow(blend, f"scene {kind}, chunk int, h int, w int, scores array<double>, cls array<int>")
+            for chunk, rows in _by_chunk(batch):
+                y0, y1, x0, x1 = patches.window(chunk)
+                own = batch.take(pa.array(rows))
+                planes = np.stack([np.nan_to_num(own.column(b).flatten().to_numpy(zero_copy_only=False).astype(float)).reshape(len(rows), y1 - y0, x1 - x0) for b in bands], axis=1)
+                yield from _sent(patches, own.column("scene"), chunk, planes, 0, overlap)
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, rows in _by_chunk(batch):
+                own, weight = batch.take(pa.array(rows)), patches.weights(chunk)
+                seen = _joined(patches, own.column("strips"), chunk, len(bands), 0, overlap)
+                scores = np.empty((len(rows), n_classes + 1, *seen.shape[2:]))
+                scores[:, -1] = weight
+                for planes, out in zip(seen, scores, strict=True):
+                    out[:-1] = np.asarray(predictor(planes), float) * weight
+                yield from _sent(patches, own.column("scene"), chunk, scores, overlap, 0)
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, rows in _by_chunk(batch):
+                own = batch.take(pa.array(rows))
+                total = _joined(patches, own.column("strips"), chunk, n_classes + 1, overlap, 0)
+                scores = total[:, :-1] / np.where(total[:, -1:] > 0, total[:, -1:], 1)
+                size = [pa.array(np.full(len(rows), v), pa.int32()) for v in scores.shape[2:]]
+                yield pa.RecordBatch.from_arrays([own.column("scene"), own.column("chunk"), *size, _lists(scores, pa.float64()), _lists(scores.argmax(axis=1).astype(np.int32), pa.int32())], ["scene", "chunk", "h", "w", "scores", "cls"])
+
+    strips = f"scene {kind}, chunk int, source int, data array<double>"
+    gather = lambda sent: sent.groupBy("scene", "chunk").agg(F.collect_list(F.struct("source", "data")).alias("strips"))
+    sent = blocks.select("scene", F.col("chunk").cast("int").alias("chunk"), *bands).mapInArrow(halos, strips)
+    back = gather(sent).mapInArrow(predict, strips)
+    return gather(back).mapInArrow(blend, f"scene {kind}, chunk int, h int, w int, scores array<double>, cls array<int>")

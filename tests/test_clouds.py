@@ -51,6 +51,22 @@ def test_stitched_equals_the_whole_image(spark, k, overlap, reach):
         assert all(np.array_equal(np.array(x.cls), np.array(x.scores).reshape(3, -1).argmax(axis=0)) for x in own)
 
 
+def test_many_scenes_at_once(spark):
+    """Scenes share batches, one lacks a block (zeros), the order of rows doesn't matter; no call to Python for each block."""
+    r = np.random.default_rng(5)
+    images = [r.normal(size=(2, 11, 13)) for _ in range(40)]
+    images[7][:, 4:8, 5:9] = 0  # the block that is missing
+    blocks = blocks_of(spark, images, 3).where("not (scene = 's7' and chunk = 4)")
+    stitched = lambda df: clouds.blended_classes(df, box_mean, 3, 11, 13, 9, 3, ("red", "nir"))
+    assert "FlatMapGroups" not in stitched(blocks)._jdf.queryExecution().optimizedPlan().toString()
+    rows = {(x.scene, x.chunk): x for x in stitched(blocks).collect()}
+    assert len(rows) == 360
+    for s, image in enumerate(images):
+        assert np.allclose(whole([x for (scene, _), x in rows.items() if scene == f"s{s}"], 3, (11, 13), 3), box_mean(image))
+    again = stitched(blocks.repartition(3, "h").orderBy("w", "scene")).collect()
+    assert all(x == rows[x.scene, x.chunk] for x in again)
+
+
 def test_no_seams_of_predictors_that_differ_by_patch(spark):
     """Each patch is predicted as its own mean: across a border the blend moves in small steps, without a blend in one."""
     image = np.repeat(np.linspace(0, 90, 60)[None, :], 60, axis=0)[None].repeat(2, axis=0)
